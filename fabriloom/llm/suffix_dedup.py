@@ -1,7 +1,7 @@
 """Removal of long repeated passages by prefix-free parsing.
 
 Rolling-hash triggers cut every text into phrases that overlap by length - 1 bytes, so every string of `length`
-bytes (a window) lies whole in exactly one phrase. The trigger of a window is its 16-byte gram of least hash: a choice
+bytes (a window) lies whole in exactly one phrase. The trigger of a window is its 50-byte gram of least hash (long enough that unrelated texts hardly share one): a choice
 by content alone, so equal windows have equal triggers at equal places wherever they stand. The distinct phrases
 are the dictionary, each text's phrases the parse. A phrase that is parsed twice repeats all its windows, and is
 settled in the dictionary at the cost of one row. Different phrases with the same trigger may share some windows;
@@ -30,7 +30,7 @@ from fabriloom.llm import textops as T
 from fabriloom.llm.common import BitMap, bit_map, stage
 
 #: Bytes of a string whose repetition is removed; bytes of a trigger; bits of the Bloom filters.
-LENGTH, GRAM, BITS = 200, 16, 24
+LENGTH, GRAM, BITS = 200, 50, 24
 _PLACE = np.uint64((1 << 28) - 1)
 
 
