@@ -9,8 +9,8 @@ only of these are the phrase suffixes compared, cut at `length` bytes. Full suff
 that: two suffixes share a window just if they fall in one class at that depth, so a suffix's rank is replaced by the
 64-bit identity of its class, and Spark groups instead of sorting.
 
-Texts go by content: copies have the same phrases, so the spans of a text are worked out once. Nothing is gathered
-by trigger, phrase or text; hot ones are combined before the shuffle. Hashes have 64 bits.
+Texts go by content: copies have the same phrases, so the spans of a text are worked out once. Phrases are
+compared by trigger where a trigger has at most HOT of them; the windows of hotter ones are combined before the shuffle. Hashes have 64 bits.
 
 Defined results: a null text is empty; texts shorter than `length` keep everything; copies of long enough
 texts lose everything, as do repeated rows; a null doc_id is kept as null; extra columns are ignored. A span may cut a
@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from fabriloom.llm import textops as T
 from fabriloom.llm.common import BitMap, bit_map, stage
 
-#: Bytes of a string whose repetition is removed; bytes of a trigger; bits of the Bloom filters.
-LENGTH, GRAM, BITS = 200, 50, 24
+#: Bytes of a string whose repetition is removed; bytes of a trigger; bits of the Bloom filters; phrases of a trigger
+#: beyond which their windows are counted by Spark rather than compared in one task.
+LENGTH, GRAM, BITS, HOT = 200, 50, 24, 500
 _PLACE = np.uint64((1 << 28) - 1)
 
 
@@ -93,8 +94,8 @@ def dictionary(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return docs.select("text").mapInArrow(run, "trigger long, phrase long, n long").groupBy("trigger", "phrase").agg(F.sum("n").alias("n"))
 
 
-def suffixes(docs: DataFrame, shared: BitMap, once: BitMap | None, length: int = LENGTH) -> DataFrame:
-    """(suffix, phrase): the identity of each window of each phrase whose trigger other phrases may share."""
+def shared_phrases(docs: DataFrame, shared: BitMap, length: int = LENGTH) -> DataFrame:
+    """(trigger, phrase, body): the bytes of each phrase whose trigger passes, about once for each task."""
 
     def run(batches):
         seen: set[int] = set()
@@ -102,68 +103,119 @@ def suffixes(docs: DataFrame, shared: BitMap, once: BitMap | None, length: int =
             for _, _, data, offsets in T.blocks(T.column(batch, "text")):
                 p = phrases(data, offsets, length)
                 hit = np.flatnonzero(shared.hit(p["trigger"]))
-                hit = hit[[x not in seen for x in p["phrase"][hit].tolist()]] if len(hit) else hit
                 _, own = np.unique(p["phrase"][hit], return_index=True)
-                hit = hit[np.sort(own)]
-                if len(seen) < 1_000_000:  # only spares rows that the next aggregate would drop
+                hit = hit[[x not in seen for x in p["phrase"][hit].tolist()] & np.isin(np.arange(len(hit)), own)] if len(hit) else hit
+                if len(seen) < 1_000_000:  # only spares rows
                     seen.update(p["phrase"][hit].tolist())
                 if len(hit):
-                    many = p["last"][hit] - p["first"][hit] + 1
-                    start = np.repeat(p["first"][hit], many) + np.arange(many.sum()) - np.repeat(np.r_[0, np.cumsum(many)[:-1]], many)
-                    suffix = T.span_hashes(p["prefix"], start, start + length)
-                    yield _batch(suffix=_longs(suffix), phrase=_longs(np.repeat(p["phrase"][hit], many)))
+                    body = [data[a:z].tobytes() for a, z in zip(p["first"][hit], p["last"][hit] + length)]
+                    yield _batch(trigger=_longs(p["trigger"][hit]), phrase=_longs(p["phrase"][hit]), body=pa.array(body, pa.binary()))
 
-    return docs.select("text").mapInArrow(run, "suffix long, phrase long")
+    return docs.select("text").mapInArrow(run, "trigger long, phrase long, body binary")
 
 
-def parse(docs: DataFrame, repeated: BitMap, shared: BitMap, common: BitMap, length: int = LENGTH) -> DataFrame:
-    """Rows of the parse that may be removed: (text_key, kind, key, start, size). Kind 0: a whole phrase, key its
-    identity; kind 1: one window of a phrase parsed once, key its suffix. Starts and sizes are in bytes of the text."""
+def _windows(body: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(suffix identity, index of the phrase, place in it) of every window of some phrases."""
+    size = np.array([len(x) for x in body], np.int64)
+    many = np.maximum(size - length + 1, 0)
+    owner = np.repeat(np.arange(len(body)), many)
+    place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    start = (np.cumsum(size) - size)[owner] + place
+    prefix = T.prefix_hashes(np.frombuffer(b"".join(body), np.uint8))
+    return T.span_hashes(prefix, start, start + length), owner, place
+
+
+def _runs(phrase: np.ndarray, owner: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """(phrase, first place, last place) of runs of neighbouring windows; owner and place are in order."""
+    new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (place[1:] != place[:-1] + 1)]) if len(owner) else np.zeros(0, np.int64)
+    end = np.r_[new[1:], len(owner)] - 1 if len(new) else new
+    return _batch(phrase=_longs(phrase[owner[new]]), a=pa.array(place[new]), z=pa.array(place[end]))
+
+
+def compare(rows: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(phrase, a, z): places of windows that another phrase of the same trigger also has. All phrases of a trigger come one
+    after another, so memory holds a batch and one trigger's phrases."""
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            trigger = T.column(batch, "trigger").to_numpy(zero_copy_only=False)
+            cut = int(np.searchsorted(trigger, trigger[-1]))
+            if cut or held and T.column(held[-1], "trigger")[-1].as_py() != trigger[0]:
+                yield found(held + [batch.slice(0, cut)])
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield found(held)
+
+    def found(parts):
+        table = pa.Table.from_batches(parts)
+        phrase = table.column("phrase").to_numpy().view(np.uint64)
+        _, one = np.unique(phrase, return_index=True)
+        suffix, owner, place = _windows(table.column("body").take(pa.array(one)).to_pylist(), length)
+        order = np.argsort(suffix, kind="stable")
+        same = suffix[order][1:] == suffix[order][:-1]
+        again = np.zeros(len(suffix), bool)
+        again[order[1:][same]] = again[order[:-1][same]] = True
+        return _runs(phrase[one], owner[again], place[again])
+
+    return rows.repartition("trigger").sortWithinPartitions("trigger").mapInArrow(run, "phrase long, a long, z long")
+
+
+def compare_hot(rows: DataFrame, length: int = LENGTH) -> DataFrame:
+    """compare() for triggers of very many phrases: Spark counts the windows, combining them before the shuffle."""
+
+    def run(batches):
+        for batch in batches:
+            phrase = T.column(batch, "phrase").to_numpy(zero_copy_only=False)
+            for at in range(0, len(phrase), 1000):
+                suffix, owner, place = _windows(T.column(batch, "body").slice(at, 1000).to_pylist(), length)
+                yield _batch(suffix=_longs(suffix), phrase=pa.array(phrase[at : at + 1000][owner]), place=pa.array(place))
+
+    each = rows.mapInArrow(run, "suffix long, phrase long, place long")
+    common = each.groupBy("suffix").agg(F.min("phrase").alias("p"), F.max("phrase").alias("q")).where("p < q").select("suffix")
+    places = each.join(common, "suffix", "left_semi").select("phrase", "place").distinct()
+    return places.select("phrase", F.col("place").alias("a"), F.col("place").alias("z"))
+
+
+def parse(docs: DataFrame, wanted: BitMap, length: int = LENGTH) -> DataFrame:
+    """The parse, as far as the filter lets pass: (text_key, phrase, start, windows), starts in bytes of the text."""
 
     def run(batches):
         for batch in batches:
             for _, _, data, offsets in T.blocks(T.column(batch, "text")):
                 p = phrases(data, offsets, length)
-                whole, part = repeated.hit(p["phrase"]), np.flatnonzero(shared.hit(p["trigger"]))
-                rows = np.unique(np.r_[p["row"][whole], p["row"][part]])
-                if not len(rows):
-                    continue
-                key = np.zeros(len(offsets) - 1, np.int64)
-                for r in rows:
-                    key[r] = content_key(data, offsets[r : r + 2])[0]
-                r = p["row"][whole]
-                many = p["last"][part] - p["first"][part] + 1
-                start = np.repeat(p["first"][part], many) + np.arange(many.sum()) - np.repeat(np.r_[0, np.cumsum(many)[:-1]], many)
-                suffix = T.span_hashes(p["prefix"], start, start + length)
-                row = np.repeat(p["row"][part], many)
-                keep = common.hit(suffix)
-                start, suffix, row = start[keep], suffix[keep], row[keep]
-                yield _batch(
-                    text_key=pa.array(np.r_[key[r], key[row]]),
-                    kind=pa.array(np.r_[np.zeros(len(r), np.int8), np.ones(len(row), np.int8)]),
-                    key=_longs(np.r_[p["phrase"][whole], suffix]),
-                    start=pa.array(np.r_[p["first"][whole] - offsets[r], start - offsets[row]]),
-                    size=pa.array(np.r_[p["last"][whole] - p["first"][whole] + length, np.full(len(row), length)]),
-                )
-
-    return docs.select("text").mapInArrow(run, "text_key long, kind byte, key long, start long, size long")
+                hit = wanted.hit(p["phrase"])
+                row = p["row"][hit]
+                if len(row):
+                    key = np.zeros(len(offsets) - 1, np.int64)
+                    for r in np.unique(row):
+                        key[r] = content_key(data, offsets[r : r + 2])[0]
+                    yield _batch(text_key=pa.array(key[row]), phrase=_longs(p["phrase"][hit]), start=pa.array(p["first"][hit] - offsets[row]), windows=pa.array(p["last"][hit] - p["first"][hit] + 1))
+
+    return docs.select("text").mapInArrow(run, "text_key long, phrase long, start long, windows long")
 
 
 def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(text_key, spans): the maximal removed byte runs [start, end) of each different text that loses any."""
     words = stage(dictionary(docs, length), "dictionary")
-    repeated = words.where("n > 1").select(F.col("phrase").alias("key"))
-    shared = words.groupBy("trigger").agg(F.count(F.lit(1)).alias("phrases")).where("phrases > 1").select("trigger")
-    shared_map = bit_map(shared, BITS)
-    common = stage(suffixes(docs, shared_map, None, length).groupBy("suffix").agg(F.min("phrase").alias("a"), F.max("phrase").alias("b")).where("a < b").select(F.col("suffix").alias("key")), "suffixes")
-    rows = parse(docs, bit_map(repeated, BITS), shared_map, bit_map(common, BITS), length).distinct()
-    keys = repeated.withColumn("kind", F.lit(0).cast("byte")).union(common.withColumn("kind", F.lit(1).cast("byte")))
-    sure = rows.join(keys, ["kind", "key"], "left_semi")
+    repeated = words.where("n > 1").select("phrase")
+    by_trigger = words.groupBy("trigger").agg(F.count(F.lit(1)).alias("phrases")).where("phrases > 1")
+    shared = stage(by_trigger, "triggers")
+    bodies = stage(shared_phrases(docs, bit_map(shared.select("trigger"), BITS), length), "phrases")
+    few, many = (bodies.join(shared.where(x), "trigger", "left_semi") for x in (F.col("phrases") <= HOT, F.col("phrases") > HOT))
+    # a phrase parsed twice repeats all its windows; of one parsed once, those count that other phrases have too
+    parts = stage(compare(few, length).union(compare_hot(many, length)).join(repeated, "phrase", "left_anti"), "parts")
+    known = repeated.select("phrase", F.lit(0).cast("long").alias("a"), F.lit(None).cast("long").alias("z")).union(parts)
+    rows = parse(docs, bit_map(known.select("phrase"), BITS), length).distinct()
+    sure = rows.join(known, "phrase").select("text_key", (F.col("start") + F.col("a")).alias("start"), (F.coalesce("z", F.col("windows") - 1) - F.col("a") + length).alias("size"))
     # adjoining and overlapping pieces of a text become one run
     order = Window.partitionBy("text_key").orderBy("start", "size").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.max(F.col("start") + F.col("size")).over(order)
     run = F.sum(F.when(F.col("reach") >= F.col("start"), 0).otherwise(1)).over(Window.partitionBy("text_key").orderBy("start", "size").rowsBetween(Window.unboundedPreceding, 0))
-    marked = sure.select("text_key", "start", "size", reach.alias("reach")).withColumn("run", run)
+    marked = sure.withColumn("reach", reach).withColumn("run", run)
     runs = marked.groupBy("text_key", "run").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"))
     return runs.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
