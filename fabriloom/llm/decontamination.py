@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fabriloom.llm import textops as T
-from fabriloom.llm.common import BitMap, bit_map, stage
+from fabriloom.llm.common import bit_map, small_batches, stage, BitMap
 
 #: Words in a window; words in a shingle (1 in windows of fewer words); rows up to which the prefix table is broadcast.
 WINDOW, SHINGLE, BROADCAST_ROWS = 10, 3, 200_000
@@ -149,5 +149,6 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int =
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs, items = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return hits(docs, items).select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fabriloom.llm import textops as T
-from fabriloom.llm.common import BitMap, bit_map, mix64, stage
+from fabriloom.llm.common import bit_map, mix64, small_batches, stage, BitMap
 from fabriloom.llm.components import connected_components
 
 #: Words in a shingle; least similarity in percent; min-hash bands and hashes in each; classes in a chunk of a group.
@@ -256,5 +256,6 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return components(docs).select("doc_id", "n_shingles", "component_id")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fabriloom.llm import textops as T
-from fabriloom.llm.common import held_out, label_sample
+from fabriloom.llm.common import held_out, label_sample, small_batches
 
 #: log2 of the n-gram buckets, labelled texts of each language to learn from, largest margin gap called ambiguous.
 BITS, PER_LANGUAGE, AMBIGUOUS = 12, 600, 0.1
@@ -117,5 +117,6 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return identify(docs, fit(docs))

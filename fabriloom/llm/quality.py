@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fabriloom.llm import textops as T
-from fabriloom.llm.common import held_out, label_sample
+from fabriloom.llm.common import held_out, label_sample, small_batches
 
 #: Words in a passage, size of the attention layer, labelled rows of each class to learn from.
 PASSAGE, HIDDEN, PER_CLASS = 32, 16, 1500
@@ -137,5 +137,6 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.7) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fabriloom.llm import textops as T
-from fabriloom.llm.common import BitMap, bit_map, stage
+from fabriloom.llm.common import bit_map, small_batches, stage, BitMap
 
 #: Bytes of a string whose repetition is removed; bytes of a trigger; bits of the Bloom filters; phrases of a trigger
 #: beyond which their windows are counted by Spark rather than compared in one task.
@@ -254,6 +254,7 @@ def join_spans(keyed: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
     def run(batches):

@@ -34,7 +34,7 @@ BYTE_VALUE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE^i and BASE^-i mod 2^64 for i < n."""
     if len(_powers.get("up", ())) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 19)
         for name, base in (("up", BASE), ("down", BASE_INVERSE)):
             step = np.full(size, base)
             step[0] = 1
@@ -42,7 +42,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
-def blocks(column: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(column: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) for runs of rows of about limit bytes; nulls are empty."""
     text = column.cast(pa.large_string()).fill_null("")
     n = len(text)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fabriloom.llm import textops as T
-from fabriloom.llm.common import held_out, label_sample
+from fabriloom.llm.common import held_out, label_sample, small_batches
 
 #: log2 of the number of embeddings; their size; words in a passage; about so many toxic and clean labelled rows to
 #: learn from.
@@ -177,5 +177,6 @@ def reject(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
