@@ -11,16 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fabriloom.llm import decontamination, jaccard_join, mixing, suffix_dedup, toxicity
-from fabriloom.llm.common import stage
+from fabriloom.llm.common import small_batches, stage
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
+    small_batches(spark)
     return toxicity.reject(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar documents that of the least doc_id stays; documents without words all stay."""
+    small_batches(spark)
     found = jaccard_join.components(docs)
     gone = found.where("class is not null and doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti")
@@ -35,12 +37,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte strings of 200 or more that repeat anywhere are cut out of the texts; documents with nothing left go."""
+    small_batches(spark)
     had = F.coalesce(F.length("text"), F.lit(0)) > 0
     return suffix_dedup.remove_repeats(docs.where(had)).where(had).unionByName(docs.where(~had))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item go."""
+    small_batches(spark)
     found = decontamination.occurrences(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return docs.join(found.where("start is not null").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
