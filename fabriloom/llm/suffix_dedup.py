@@ -31,7 +31,7 @@ from fabriloom.llm.common import bit_map, small_batches, stage, BitMap
 
 #: Bytes of a string whose repetition is removed; bytes of a trigger; bits of the Bloom filters; phrases of a trigger
 #: beyond which their windows are counted by Spark rather than compared in one task.
-LENGTH, GRAM, BITS, HOT = 200, 50, 24, 500
+LENGTH, GRAM, BITS, HOT = 200, 50, 24, 20_000
 _PLACE = np.uint64((1 << 28) - 1)
 
 
