@@ -4,7 +4,7 @@ Texts with equal sets are one class from the start. Similar classes are partitio
 least class that shares a min-hash band with it and really is similar, and what hangs together is a group; large
 groups are cut into chunks of bounded size. The token-group matrix then holds, distributed, which token stands in
 which group. A class queries the groups of others: it looks up the tokens that it cannot be similar without (its
-prefix, rare tokens first), each hit group's size range and then the overlap of the query with the group's token
+prefix, rare tokens first, long enough that similar sets share several tokens of it), each hit group's size range and then the overlap of the query with the group's token
 union bound what any member can reach, and only qualifying groups are opened and their members compared exactly.
 
 The result is exact: min-hash bands only choose the groups. Links inside a group are not all listed: they hold
@@ -30,7 +30,9 @@ from fabriloom.llm.common import bit_map, mix64, small_batches, stage, BitMap
 from fabriloom.llm.components import connected_components
 
 #: Words in a shingle; least similarity in percent; min-hash bands and hashes in each; classes in a chunk of a group.
-SHINGLE, PERCENT, BANDS, DEPTH, CHUNK = 5, 75, 6, 2, 64
+SHINGLE, PERCENT, BANDS, DEPTH, CHUNK = 5, 75, 8, 3, 64
+#: A set's prefix is longer by its size / EXTRA, and so many of its tokens must be found in common.
+EXTRA = 8
 #: A token in so many sets of a task is reported; so many of the most frequent tokens are put last in the prefix order.
 REPORT, FREQUENT = 4, 1 << 17
 #: Bits of the Bloom filters.
@@ -51,7 +53,7 @@ def sets(text: pa.Array, shingle: int = SHINGLE):
 
 def bands(own: np.ndarray) -> list[int]:
     low = mix64(own[None, :] * _SEEDS[:, None]).min(1).reshape(BANDS, DEPTH)
-    keys = low[:, 0] * np.uint64(0x9E3779B97F4A7C15) + low[:, 1] + np.arange(BANDS, dtype=np.uint64)
+    keys = (low * _SEEDS[:DEPTH]).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)
     return mix64(keys).view(np.int64).tolist()
 
 
@@ -119,9 +121,10 @@ def members(docs: DataFrame, wanted: BitMap) -> DataFrame:
 
 
 def prefix(own: np.ndarray, frequent: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
-    """The tokens of which a similar set must have one: by the order rare before frequent, then by hash."""
+    """The first tokens of a set in the order rare before frequent, then by hash. With an overlap of percent of the
+    larger set, the prefixes of similar sets share max(1, n / EXTRA) tokens, n being the smaller size."""
     n = len(own)
-    size = n - -(-percent * n // 100) + 1
+    size = min(n, n - -(-percent * n // 100) + max(1, n // EXTRA))
     place = np.searchsorted(frequent, own)
     often = (place < len(frequent)) & (frequent[np.minimum(place, len(frequent) - 1)] == own) if len(frequent) else np.zeros(n, bool)
     rare = own[~often]
@@ -220,7 +223,10 @@ def class_components(docs: DataFrame, rows: DataFrame, percent: int = PERCENT) -
     matrix = asked.groupBy("token", F.col("grp").alias("g"), F.col("chunk").alias("c")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
     q = asked.select("token", F.col("class").alias("a"), F.col("n").alias("n_a"), "grp")
     fits = (F.col("grp") > F.col("g")) & (F.col("high") * 100 >= F.col("n_a") * percent) & (F.col("n_a") * 100 >= F.col("low") * percent)
-    hit = stage(q.join(matrix, "token").where(fits).select("a", "n_a", "g", "c").distinct(), "hit")
+    # prefixes are max(1, n / EXTRA) longer than an overlap of one token would need; the smallest similar set counts
+    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n_a") * percent / 100) / EXTRA))
+    common = q.join(matrix, "token").where(fits).groupBy("a", "n_a", "g", "c").agg(F.count(F.lit(1)).alias("common"))
+    hit = stage(common.where(F.col("common") >= least).select("a", "n_a", "g", "c"), "hit")
     opened = hit.select(F.col("g").alias("grp"), F.col("c").alias("chunk")).distinct()
     inside_opened = groups.join(opened, ["grp", "chunk"], "left_semi").select("class").union(opened.select(F.col("grp").alias("class")))
     store = stage(members(docs, bit_map(hit.select("a").distinct().union(inside_opened), BITS)), "hit-sets")
