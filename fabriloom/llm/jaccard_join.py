@@ -1,7 +1,7 @@
 """Jaccard self-join of shingle sets through a token-group matrix.
 
 Texts with equal sets are one class from the start. Similar classes are partitioned into groups: a class joins the
-least class that shares a min-hash band with it and really is similar, and what hangs together is a group; large
+leaders drawn from those that share a min-hash band with it, as far as it really is similar, and what hangs together is a group; large
 groups are cut into chunks of bounded size. The token-group matrix then holds, distributed, which token stands in
 which group. A class queries the groups of others: it looks up the tokens that it cannot be similar without (its
 prefix, rare tokens first, long enough that similar sets share several tokens of it), each hit group's size range and then the overlap of the query with the group's token
@@ -29,10 +29,11 @@ from fabriloom.llm import textops as T
 from fabriloom.llm.common import bit_map, mix64, small_batches, stage, BitMap
 from fabriloom.llm.components import connected_components
 
-#: Words in a shingle; least similarity in percent; min-hash bands and hashes in each; classes in a chunk of a group.
-SHINGLE, PERCENT, BANDS, DEPTH, CHUNK = 5, 75, 8, 3, 64
+#: Words in a shingle; least similarity in percent; min-hash bands, hashes in each and
+#: leaders of each; classes in a chunk of a group.
+SHINGLE, PERCENT, BANDS, DEPTH, LEADERS, CHUNK = 5, 75, 8, 3, 3, 64
 #: A set's prefix is longer by its size / EXTRA, and so many of its tokens must be found in common.
-EXTRA = 8
+EXTRA = 10
 #: A token in so many sets of a task is reported; so many of the most frequent tokens are put last in the prefix order.
 REPORT, FREQUENT = 4, 1 << 17
 #: Bits of the Bloom filters.
@@ -183,10 +184,13 @@ def similar(pairs: DataFrame, store: DataFrame, percent: int) -> DataFrame:
 def class_components(docs: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(class, component): which classes hang together by links; classes without a link to another are left out.
     rows: the staged survey of docs."""
-    # groups: the least class of a band, where it really is similar
-    keys = rows.where("bands is not null").select("class", F.explode("bands").alias("band"))
-    least = keys.groupBy("band").agg(F.min("class").alias("b"), F.max("class").alias("top")).where("b < top").select("band", "b")
-    stars = stage(keys.join(least, "band").where("class <> b").select(F.col("class").alias("a"), "b").distinct(), "stars")
+    # groups: each band has several leaders, drawn by hash, so that a class that is unlike one may be like another
+    keys = rows.where("bands is not null").select("class", "n", F.explode("bands").alias("band"))
+    drawn = [F.min(F.struct(F.xxhash64("class", F.lit(salt)).alias("draw"), F.col("class").alias("b"), F.col("n").alias("n_b"))).alias(f"leader_{salt}") for salt in range(LEADERS)]
+    leaders = keys.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("top"), *drawn).where("low < top")
+    leaders = leaders.select("band", F.explode(F.array_distinct(F.array(*(f"leader_{salt}" for salt in range(LEADERS))))).alias("l")).select("band", "l.b", "l.n_b")
+    near = (F.col("n") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n") * percent) & (F.col("class") != F.col("b"))
+    stars = stage(keys.join(leaders, "band").where(near).select(F.greatest("class", "b").alias("a"), F.least("class", "b").alias("b")).distinct(), "stars")
     store = stage(members(docs, bit_map(stars.select(F.explode(F.array("a", "b"))), BITS)), "star-sets")
     inside = stage(similar(stars, store, percent), "inside")
     groups = connected_components(inside).withColumnRenamed("node", "class").withColumnRenamed("component", "grp")
