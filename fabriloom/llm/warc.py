@@ -130,14 +130,14 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return found.where(~F.col("path").isin(torn)).unionByName(again).drop("whole")
 
 
-def captures(found: DataFrame) -> DataFrame:
+def captures(found: DataFrame, payloads: bool = True) -> DataFrame:
     """One nested row for each response or revisit: the record, its requests and its metadata, and for a revisit the
-    record id that it refers to."""
+    record id that it refers to. Without payloads only their lengths take part in the join."""
     main = found.where(F.col("warc_type").isin("response", "revisit"))
     http_end = F.instr(F.col("block").cast("string"), BREAK)
     head = F.octet_length(F.substring(F.col("block").cast("string"), F.lit(1), http_end - 1)) + len(BREAK)
     payload = F.when(http_end > 0, F.substring(F.col("block"), head + 1, F.octet_length("block") - head)).otherwise(F.col("block"))
-    main = main.select("record_id", F.struct("warc_type", "target_uri", F.regexp_replace("digest", "^sha1:", "").alias("digest"), "refers_to", payload.alias("payload")).alias("response"))
+    main = main.select("record_id", F.struct("warc_type", "target_uri", F.regexp_replace("digest", "^sha1:", "").alias("digest"), "refers_to", F.octet_length(payload).alias("payload_bytes"), *([payload.alias("payload")] if payloads else [])).alias("response"))
 
     def side(kind: str, name: str) -> DataFrame:
         rows = found.where(F.col("warc_type") == kind).select(F.col("concurrent_to").alias("record_id"), F.struct(F.col("record_id").alias("id"), "target_uri", F.col("block").cast("string").alias("text")).alias("r"))
@@ -153,8 +153,8 @@ def page_of(metadata: Column) -> Column:
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    found = captures(read_records(spark, path))
-    rows = found.select("record_id", page_of(F.col("metadata")).alias("page_id"), F.octet_length("response.payload").cast("long").alias("bytes"), F.col("response.digest").alias("payload_digest"), F.col("response.warc_type").alias("record_type"), F.col("response.refers_to").alias("refers"))
+    found = captures(read_records(spark, path), payloads=False)
+    rows = found.select("record_id", page_of(F.col("metadata")).alias("page_id"), F.col("response.payload_bytes").cast("long").alias("bytes"), F.col("response.digest").alias("payload_digest"), F.col("response.warc_type").alias("record_type"), F.col("response.refers_to").alias("refers"))
     rows = stage(rows, "captures")
     responses = rows.where("record_type = 'response'").select(F.col("record_id").alias("refers"), F.col("page_id").alias("refers_to"), F.col("bytes").alias("first_bytes"))
     # responses need no look-up; only revisits meet the response they refer to
