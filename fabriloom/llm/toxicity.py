@@ -24,7 +24,7 @@ from fabriloom.llm.common import held_out, label_sample, small_batches
 
 #: log2 of the number of embeddings; their size; words in a passage; about so many toxic and clean labelled rows to
 #: learn from.
-BITS, SIZE, PASSAGE, TOXIC, CLEAN = 17, 8, 8, 900, 2200
+BITS, SIZE, PASSAGE, TOXIC, CLEAN = 17, 8, 8, 400, 1000
 GRAMS = (3, 5, 7)
 _MULTIPLY = {n: np.uint64(x) for n, x in zip(GRAMS, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))}
 
@@ -93,7 +93,7 @@ def train(texts: pa.Array, labels: np.ndarray, bits: int = BITS, rounds: int = 4
     labels = np.asarray(labels, np.float64)
     if not len(labels) or labels.min() == labels.max():
         return {"values": np.zeros(1 << bits, np.float32), "bias": -50.0, "bits": bits}
-    bucket, passage, rows, n_passages = [], [], [], 0
+    bucket, passage, rows, n_passages, n_rows, docs_with = [], [], [], 0, len(labels), np.zeros(1 << bits, np.int64)
     for lo, _, data, offsets in T.blocks(texts):
         grams, start, end, row, whole, n = _subwords(data, offsets, bits)
         first, passage_row = _passages(row)
@@ -101,19 +101,27 @@ def train(texts: pa.Array, labels: np.ndarray, bits: int = BITS, rounds: int = 4
         word_at = np.zeros(n + 1, np.int64)
         word_at[start] = 1
         word_at = np.cumsum(word_at) - 1
-        bucket += [whole, *(b for _, b in grams)]
-        passage += [of_word, *(of_word[word_at[i + 1]] for i, _ in grams)]
+        own = np.concatenate([whole, *(b for _, b in grams)])
+        at = np.concatenate([of_word, *(of_word[word_at[i + 1]] for i, _ in grams)])
+        docs_with += np.bincount(np.unique(own * n_rows + np.concatenate([row, *(row[word_at[i + 1]] for i, _ in grams)])) // n_rows, minlength=1 << bits)
+        bucket.append(own.astype(np.int32))
+        passage.append(at.astype(np.int32))
         rows.append(passage_row + lo)
         n_passages += len(first)
     bucket, passage, rows = np.concatenate(bucket), np.concatenate(passage), np.concatenate(rows)
     size = np.bincount(passage, minlength=n_passages).astype(np.float64)
     # subwords of few documents can only memorise wrong labels; they keep the value 0 and count in the averages
-    pairs = np.unique(bucket * len(labels) + rows[passage]) // len(labels)
-    used = np.flatnonzero(np.bincount(pairs, minlength=1 << bits) >= max(2, least_share * len(labels)))
-    place = np.full(1 << bits, -1)
+    used = np.flatnonzero(docs_with >= max(2, least_share * len(labels)))
+    place = np.full(1 << bits, -1, np.int32)
     place[used] = np.arange(len(used))
     kept = place[bucket] >= 0
     bucket, passage = place[bucket[kept]], passage[kept]
+    parts = [slice(k, k + (1 << 20)) for k in range(0, len(bucket), 1 << 20)]
+
+    def summed(to: np.ndarray, values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+        """bincount(to, values[of], n), a part of the pairs at a time."""
+        return sum((np.bincount(to[c], values[of[c]], n) for c in parts), np.zeros(n))
+
     rng = np.random.default_rng(seed)
     e, w, bias = rng.normal(0, 0.1, (len(used), SIZE)), rng.normal(0, 0.5, (SIZE, 2)), -4.0
     importance = np.full(len(labels), 1 / len(labels))
@@ -121,13 +129,13 @@ def train(texts: pa.Array, labels: np.ndarray, bits: int = BITS, rounds: int = 4
     many, doc = np.diff(np.r_[first, len(rows)]), rows[first]
     for step in range(rounds):
         direction = w[:, 1] - w[:, 0]
-        z = np.bincount(passage, (e @ direction)[bucket], n_passages) / size + bias
+        z = summed(passage, e @ direction, bucket, n_passages) / size + bias
         top = np.maximum.reduceat(z, first)
         share = np.exp(z - np.repeat(top, many))
         total = np.add.reduceat(share, first)
         p = 1 / (1 + np.exp(-np.clip(top + np.log(total), -50, 50)))
         slope = np.repeat(importance[doc] * (p - labels[doc]) / total, many) * share
-        g = np.bincount(bucket, (slope / size)[passage], len(used))
+        g = summed(bucket, slope / size, passage, len(used))
         g_e, g_w = np.outer(g, direction), e.T @ g
         pace = rate * (1 - step / rounds) ** 0.5
         # steps in proportion to the slopes: what many documents share moves, what a few have hardly does
