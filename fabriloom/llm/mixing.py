@@ -29,7 +29,7 @@ from fabriloom.llm.native_text import plain, words_of
 TARGETS = {"good": 0.9, "low": 0.08, "toxic": 0.02}
 #: log2 of the word buckets of the classifier, labelled rows of each domain to learn from, steps at most, and the
 #: residual (share of all tokens) at which they end.
-BITS, PER_DOMAIN, STEPS, ENOUGH = 14, 2000, 40, 1e-4
+BITS, PER_DOMAIN, STEPS, ENOUGH = 14, 2000, 12, 1e-4
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:
@@ -100,17 +100,19 @@ def fit(scored: DataFrame, targets: dict[str, float], steps_most: int = STEPS, e
     for i, j in pairs:
         gram[i, j] = gram[j, i] = first[f"g{i}_{j}"] / first["n"]
     share = np.array(list(targets.values())) / sum(targets.values())
-    pace = 1 / np.linalg.eigvalsh(gram)[-1]
+    largest = np.linalg.eigvalsh(gram)[-1]
+    # the gradient is scaled by the inverse of the domains' Gram matrix, which shortens the way along flat directions;
+    # where bounds stop it from helping, plain steps of the safe length take over
+    scaled, pace, before = np.linalg.inv(gram + 1e-4 * largest * np.eye(k)), np.eye(k) / largest, math.inf
     steps: list[list[float]] = []
-    ahead = np.zeros(k)
     for _ in range(steps_most):
         got = scored.agg(*(F.sum(rate_of(F.col("p"), steps) * F.col("n_tokens") * F.get("p", d)).alias(f"d{d}") for d in range(k))).first()
         residual = np.array([got[f"d{d}"] for d in range(k)]) / first["n"] - share
         if np.abs(residual).max() < enough:
             break
-        # heavy ball: the last step is carried on in part, which shortens the way along flat directions
-        ahead = pace * residual + 0.7 * ahead
-        steps.append([float(x) for x in ahead])
+        size = float(np.linalg.norm(residual))
+        scaled, before = (pace if size > 0.8 * before else scaled), size
+        steps.append([float(x) for x in scaled @ residual])
     return steps
 
 
