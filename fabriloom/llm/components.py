@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fabriloom.llm.common import stage
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b), component being the least node reachable.
 
     Each round gives every node the least label of its neighbours and then of the node that its label names, so
@@ -16,7 +16,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     comes back. Least labels are combined before the shuffle, so a node with very many links is no hot task."""
     both = stage(edges.select("a", "b").where("a <> b").union(edges.select("b", "a").where("a <> b")).distinct(), "links")
     labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "labels")
-    for _ in range(max_rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         mine = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
@@ -24,5 +24,4 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         changed = after.where("label <> old").limit(1).count()
         labels = after.select("node", "label")
         if not changed:
-            break
-    return labels.select("node", F.col("label").alias("component"))
+            return labels.select("node", F.col("label").alias("component"))

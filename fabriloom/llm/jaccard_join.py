@@ -1,14 +1,15 @@
 """Jaccard self-join of shingle sets through a token-group matrix.
 
-Texts with equal sets are one class from the start. Similar classes are partitioned into groups: a class joins the
-leaders drawn from those that share a min-hash band with it, as far as it really is similar, and what hangs together is a group; large
-groups are cut into chunks of bounded size. The token-group matrix then holds, distributed, which token stands in
-which group. A class queries the groups of others: it looks up the tokens that it cannot be similar without (its
-prefix, rare tokens first, long enough that similar sets share several tokens of it), each hit group's size range and then the overlap of the query with the group's token
-union bound what any member can reach, and only qualifying groups are opened and their members compared exactly.
-
-The result is exact: min-hash bands only choose the groups. Links inside a group are not all listed: they hold
-together already, so only links between groups can change a component. Tokens of a single group never leave the
+Texts with equal sets are one class from the start. Similar classes are partitioned into groups: a class meets the
+leaders drawn from those that share a min-hash band with it, and what hangs together by a looser similarity is a group; large
+groups are cut into units of bounded size. The token-group matrix then holds, distributed, which token stands in
+which unit, of the tokens that a member cannot be similar without (its prefix, rare tokens first, long enough
+that similar sets share several tokens of it). Units that share enough of them, by size ranges and counts, are held
+against each other in one task: the overlap of a member with the other unit's token union bounds what it can reach
+there, and only if it qualifies is the unit opened and its members are compared exactly.
+
+The result is exact: min-hash bands only choose the groups. Classes that leaders' links already hold together (a
+comp) need no comparison, so only links between comps are sought. Tokens of a single comp never leave the
 executors (a Bloom filter of fixed size thins them out before the exact join).
 
 Defined results: null, empty and blank texts have the empty set and link with nothing; texts with fewer words
@@ -30,8 +31,8 @@ from fabriloom.llm.common import bit_map, mix64, small_batches, stage, BitMap
 from fabriloom.llm.components import connected_components
 
 #: Words in a shingle; least similarity in percent; min-hash bands, hashes in each and
-#: leaders of each; classes in a chunk of a group.
-SHINGLE, PERCENT, BANDS, DEPTH, LEADERS, CHUNK = 5, 75, 8, 3, 3, 64
+#: leaders of each; similarity in percent by which classes share a group; about so many classes and tokens in a unit.
+SHINGLE, PERCENT, BANDS, DEPTH, LEADERS, LOOSE, CHUNK, CHUNK_TOKENS = 5, 75, 8, 3, 3, 50, 64, 1 << 14
 #: A set's prefix is longer by its size / EXTRA, and so many of its tokens must be found in common.
 EXTRA = 10
 #: A token in so many sets of a task is reported; so many of the most frequent tokens are put last in the prefix order.
@@ -159,26 +160,66 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray, percent:
     return docs.select("text").mapInArrow(run, "class long, n long, tokens binary")
 
 
-def overlap(pairs: DataFrame, left: str, right: str) -> DataFrame:
-    """pairs with their column `shared` filled in and the packed token columns dropped."""
-    names = [n for n in pairs.columns if n not in (left, right)]
+def _shared(left: pa.Array, right: pa.Array) -> list[int]:
+    return [len(np.intersect1d(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), assume_unique=True)) for x, y in zip(left, right)]
 
-    def run(batches):
-        for batch in batches:
-            a, b = T.column(batch, left), T.column(batch, right)
-            shared = [len(np.intersect1d(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), assume_unique=True)) for x, y in zip(a, b)]
-            yield pa.RecordBatch.from_arrays([*(T.column(batch, n) for n in names), pa.array(shared, pa.int64())], names=[*names, "shared"])
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in pairs.dtypes if n in names)
-    return pairs.select(*names, left, right).mapInArrow(run, f"{schema}, shared long")
+def close_pairs(pairs: DataFrame, store: DataFrame, percent: int, loose: int) -> DataFrame:
+    """(a, b, linked): the pairs of classes whose sets are similar by loose percent, and whether they are by percent."""
 
-
-def similar(pairs: DataFrame, store: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar, by their exact intersection."""
-    a = store.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("tokens_a"))
-    b = store.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("tokens_b"))
-    both = pairs.select("a", "b").join(a, "a").join(b, "b").where((F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent))
-    return overlap(both, "tokens_a", "tokens_b").where((F.col("shared") * 100) >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * percent).select("a", "b")
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*(T.column(batch, n) for n in ("a", "b", "n")), pa.array(_shared(T.column(batch, "tokens_a"), T.column(batch, "tokens_b")), pa.int64())], names=["a", "b", "n", "shared"])
+
+    sides = [store.select(F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"tokens_{x}")) for x in "ab"]
+    both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "tokens_a", "tokens_b")
+    found = both.mapInArrow(run, "a long, b long, n long, shared long")
+    by = lambda least: F.col("shared") * 100 >= (F.col("n") - F.col("shared")) * least
+    return found.where(by(min(loose, percent))).select("a", "b", by(percent).alias("linked"))
+
+
+def groups_of(close: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(class, comp) of linked classes, comp being what hangs together by links so far; and (class, comp, unit) of all
+    classes of close. A unit is a group, or a part of a large one, of bounded size; a large comp has units of its own."""
+    comps = stage(connected_components(close.where("linked")).select(F.col("node").alias("class"), F.col("component").alias("comp")), "comps")
+    member = close.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(comps, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+    member = stage(member.join(store.select("class", "n"), "class"), "grouped")
+    loose = close.where("not linked").select("a", "b")
+    for x in "ab":
+        loose = loose.join(member.select(F.col("class").alias(x), F.col("comp").alias(f"comp_{x}")), x)
+    groups = connected_components(loose.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))).select(F.col("node").alias("comp"), F.col("component").alias("grp"))
+    own = member.groupBy("comp").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("size")).join(groups, "comp", "left")
+    own = own.withColumn("large", (F.col("many") >= CHUNK) | (F.col("size") >= CHUNK_TOKENS)).withColumn("key", F.when(F.col("large"), F.col("comp")).otherwise(F.coalesce("grp", "comp")))
+    total = own.groupBy("key", "large").agg(F.ceil(F.greatest(F.sum("many") / CHUNK, F.sum("size") / CHUNK_TOKENS)).alias("chunks"))
+    own = own.select("comp", "key", "large").join(total, ["key", "large"])
+    chunk = F.pmod(F.xxhash64(F.when(F.col("large"), F.col("class")).otherwise(F.col("comp"))), F.col("chunks"))
+    return comps, member.join(own, "comp").select("class", "comp", F.xxhash64("key", "large", chunk).alias("unit"))
+
+
+def open_units(batches, percent: int):
+    """Links (a, b) of comps from pairs of packed units: a set of the left unit is held against the token union of the
+    right one, and only where that bound lets it be similar to a member are its overlaps with the members counted."""
+    for batch in batches:
+        links: set[tuple[int, int]] = set()
+        for same, left, right in zip(T.column(batch, "same").to_pylist(), T.column(batch, "left"), T.column(batch, "right")):
+            left, right = left.as_py(), right.as_py()
+            sets_b = [np.frombuffer(m["tokens"], np.uint64) for m in right]
+            n_b = np.array([len(x) for x in sets_b])
+            tokens, owner = np.concatenate(sets_b), np.repeat(np.arange(len(right)), n_b)
+            order = np.argsort(tokens, kind="stable")
+            tokens, owner = tokens[order], owner[order]
+            comp_b, class_b = np.array([m["comp"] for m in right]), np.array([m["class"] for m in right])
+            for m in left:
+                own = np.frombuffer(m["tokens"], np.uint64)
+                lo, hi = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
+                if int((hi > lo).sum()) * 100 < len(own) * percent:
+                    continue
+                many = hi - lo
+                at = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                shared = np.bincount(owner[at], minlength=len(right))
+                linked = (shared * 100 >= (len(own) + n_b - shared) * percent) & (comp_b != m["comp"]) & ((class_b > m["class"]) | (not same))
+                links.update((m["comp"], int(b)) for b in comp_b[linked])
+        yield _rows(a=pa.array([x[0] for x in links], pa.int64()), b=pa.array([x[1] for x in links], pa.int64()))
 
 
 def class_components(docs: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -192,10 +233,8 @@ def class_components(docs: DataFrame, rows: DataFrame, percent: int = PERCENT) -
     near = (F.col("n") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n") * percent) & (F.col("class") != F.col("b"))
     stars = stage(keys.join(leaders, "band").where(near).select(F.greatest("class", "b").alias("a"), F.least("class", "b").alias("b")).distinct(), "stars")
     store = stage(members(docs, bit_map(stars.select(F.explode(F.array("a", "b"))), BITS)), "star-sets")
-    inside = stage(similar(stars, store, percent), "inside")
-    groups = connected_components(inside).withColumnRenamed("node", "class").withColumnRenamed("component", "grp")
-    sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("many"))
-    groups = stage(groups.join(sizes, "grp").select("class", "grp", F.pmod(F.xxhash64("class"), F.ceil(F.col("many") / CHUNK)).alias("chunk")), "groups")
+    comps, units = groups_of(stage(close_pairs(stars, store, percent, LOOSE), "close"), store)
+    units = stage(units, "units")
 
     # the order of tokens: those that many sets have come last. Any order gives the same result
     often = rows.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= 8 * REPORT).orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
@@ -203,53 +242,45 @@ def class_components(docs: DataFrame, rows: DataFrame, percent: int = PERCENT) -
     order = np.argsort(token)
     frequent, counts = token[order], count[order]
 
-    def in_group(df: DataFrame) -> DataFrame:
-        return df.join(groups, "class", "left").withColumns({"grp": F.coalesce("grp", "class"), "chunk": F.coalesce("chunk", F.lit(0))})
-
-    def unpack(batches):
-        for batch in batches:
-            packed = T.column(batch, "tokens").to_pylist()
-            many = np.array([len(x) // 8 for x in packed], np.int64)
-            at = pa.array(np.repeat(np.arange(len(packed)), many))
-            yield pa.RecordBatch.from_arrays([*(T.column(batch, n).take(at) for n in ("class", "n", "grp", "chunk")), _longs(np.frombuffer(b"".join(packed), np.uint64))], names=["class", "n", "grp", "chunk", "token"])
-
-    def grp_tokens(batches):
-        for batch in unpack(batches):
-            yield batch.select(["grp", "token"])
-
-    wide = "class long, n long, grp long, chunk long, token long"
-    every = in_group(prefixes(docs, frequent, counts, percent, None)).mapInArrow(grp_tokens, "grp long, token long")
-    contested = stage(every.groupBy("token").agg(F.min("grp").alias("a"), F.max("grp").alias("b")).where("a < b").select("token"), "contested")
-    asked = in_group(prefixes(docs, frequent, counts, percent, bit_map(contested, BITS))).mapInArrow(unpack, wide)
-    asked = stage(asked.distinct().join(contested, "token", "left_semi"), "asked")
-
-    # the matrix, with the size range of each chunk; a query asks the chunks of groups below its own
-    matrix = asked.groupBy("token", F.col("grp").alias("g"), F.col("chunk").alias("c")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    q = asked.select("token", F.col("class").alias("a"), F.col("n").alias("n_a"), "grp")
-    fits = (F.col("grp") > F.col("g")) & (F.col("high") * 100 >= F.col("n_a") * percent) & (F.col("n_a") * 100 >= F.col("low") * percent)
-    # prefixes are max(1, n / EXTRA) longer than an overlap of one token would need; the smallest similar set counts
-    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n_a") * percent / 100) / EXTRA))
-    common = q.join(matrix, "token").where(fits).groupBy("a", "n_a", "g", "c").agg(F.count(F.lit(1)).alias("common"))
-    hit = stage(common.where(F.col("common") >= least).select("a", "n_a", "g", "c"), "hit")
-    opened = hit.select(F.col("g").alias("grp"), F.col("c").alias("chunk")).distinct()
-    inside_opened = groups.join(opened, ["grp", "chunk"], "left_semi").select("class").union(opened.select(F.col("grp").alias("class")))
-    store = stage(members(docs, bit_map(hit.select("a").distinct().union(inside_opened), BITS)), "hit-sets")
-
-    # the token union of each opened chunk bounds what any of its members can share with the query
-    def union(key, table):
-        tokens = np.unique(np.frombuffer(b"".join(table.column("tokens").to_pylist()), np.uint64))
-        return pa.table({"g": [key[0].as_py()], "c": [key[1].as_py()], "union": pa.array([tokens.tobytes()], pa.binary())}, schema=pa.schema([("g", pa.int64()), ("c", pa.int64()), ("union", pa.binary())]))
-
-    grouped = stage(in_group(store).join(opened, ["grp", "chunk"], "left_semi").select("grp", "chunk", "class", "n", "tokens"), "opened")
-    unions = grouped.groupBy("grp", "chunk").applyInArrow(union, "g long, c long, union binary")
-    tokens = store.select(F.col("class").alias("a"), "tokens")
-    bound = overlap(hit.join(tokens, "a").join(unions, ["g", "c"]), "tokens", "union")
-    qualify = bound.where(F.col("shared") * 100 >= F.col("n_a") * percent)
-    pairs = qualify.join(grouped.select(F.col("grp").alias("g"), F.col("chunk").alias("c"), F.col("class").alias("b"), F.col("n").alias("n_b")), ["g", "c"])
-    pairs = stage(pairs.where((F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)).select("a", "b").distinct(), "pairs")
-    between = stage(similar(pairs, store, percent), "between")
-    links = inside.union(between)
-    return connected_components(links).withColumnRenamed("node", "class")
+    def in_unit(df: DataFrame) -> DataFrame:
+        return df.join(units, "class", "left").withColumns({"comp": F.coalesce("comp", "class"), "unit": F.coalesce("unit", "class")})
+
+    def unpack(names):
+        def run(batches):
+            for batch in batches:
+                packed = T.column(batch, "tokens").to_pylist()
+                many = np.array([len(x) // 8 for x in packed], np.int64)
+                at = pa.array(np.repeat(np.arange(len(packed)), many))
+                yield pa.RecordBatch.from_arrays([*(T.column(batch, n).take(at) for n in names), _longs(np.frombuffer(b"".join(packed), np.uint64))], names=[*names, "token"])
+
+        return run, ", ".join(f"{n} long" for n in (*names, "token"))
+
+    every = in_unit(prefixes(docs, frequent, counts, percent, None)).mapInArrow(*unpack(["comp"]))
+    contested = stage(every.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("token"), "contested")
+    asked = in_unit(prefixes(docs, frequent, counts, percent, bit_map(contested, BITS))).mapInArrow(*unpack(["unit", "comp", "n"]))
+
+    # the matrix: which token stands in which unit, with the sizes and comps of the members that have it
+    matrix = asked.groupBy("token", "unit").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("first"), F.max("comp").alias("last"))
+    matrix = stage(matrix.join(contested, "token", "left_semi"), "matrix")
+    q, g = (matrix.select("token", *(F.col(n).alias(f"{n}_{x}") for n in ("unit", "low", "high", "first", "last"))) for x in "ab")
+    fits = (F.col("unit_a") > F.col("unit_b")) & (F.col("high_b") * 100 >= F.col("low_a") * percent) & (F.col("high_a") * 100 >= F.col("low_b") * percent)
+    apart = (F.least("first_a", "first_b") < F.greatest("last_a", "last_b"))
+    # prefixes are max(1, n / EXTRA) longer than an overlap of one token would need; the smallest set counts
+    common = q.join(g, "token").where(fits & apart).groupBy("unit_a", "unit_b").agg(F.count(F.lit(1)).alias("common"), F.min(F.least("low_a", "low_b")).alias("low"))
+    hit = common.where(F.col("common") >= F.greatest(F.lit(1), F.floor(F.col("low") / EXTRA))).select("unit_a", "unit_b")
+    mixed = units.groupBy("unit").agg(F.min("comp").alias("first"), F.max("comp").alias("last")).where("first < last").select(F.col("unit").alias("unit_a"), F.col("unit").alias("unit_b"))
+    hit = stage(hit.union(mixed), "hit")
+
+    # opened units are packed, a row for each, and held against one another in the tasks
+    opened = stage(hit.select(F.explode(F.array("unit_a", "unit_b")).alias("unit")).distinct(), "opened")
+    wanted = bit_map(units.join(opened, "unit", "left_semi").select("class").union(opened.select(F.col("unit").alias("class"))), BITS)
+    packs = in_unit(members(docs, wanted)).join(opened, "unit", "left_semi").groupBy("unit").agg(F.collect_list(F.struct("class", "comp", "tokens")).alias("pack"))
+    packs = stage(packs, "packs")
+    pairs = hit.join(packs.select(F.col("unit").alias("unit_a"), F.col("pack").alias("left")), "unit_a").join(packs.select(F.col("unit").alias("unit_b"), F.col("pack").alias("right")), "unit_b")
+    between = pairs.select((F.col("unit_a") == F.col("unit_b")).alias("same"), "left", "right").mapInArrow(lambda batches: open_units(batches, percent), "a long, b long")
+    joined = stage(connected_components(between).select(F.col("node").alias("comp"), "component"), "joined")
+    linked = comps.join(joined, "comp", "left").select("class", F.coalesce("component", "comp").alias("component"))
+    return linked.union(joined.join(comps.select(F.col("class").alias("comp")), "comp", "left_anti").select(F.col("comp").alias("class"), "component"))
 
 
 def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
