@@ -137,27 +137,41 @@ def prefix(own: np.ndarray, frequent: np.ndarray, counts: np.ndarray, percent: i
     return np.r_[rare, common[order[: size - len(rare)]]]
 
 
-def prefixes(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray, percent: int, wanted: BitMap | None) -> DataFrame:
-    """(class, n, tokens): the packed prefix of each class, or of it what the filter lets pass."""
+def prefixes(docs: DataFrame, store: DataFrame, starred: BitMap, frequent: np.ndarray, counts: np.ndarray, percent: int, wanted: BitMap | None) -> tuple[DataFrame, DataFrame]:
+    """Two tables (class, n, tokens): the packed prefix of each class, or of it what the filter lets pass. The first has
+    the classes that starred lets pass, which are those of store; the second all others, read from the texts."""
+
+    def packed(found):
+        out = [[], [], []]
+        for n, own, c in found:
+            need = prefix(own, frequent, counts, percent)
+            if wanted is not None:
+                need = need[wanted.hit(need)]
+            if len(need):
+                for kept, value in zip(out, (c, n, need.tobytes())):
+                    kept.append(value)
+        return _rows(**{"class": pa.array(out[0], pa.int64())}, n=pa.array(out[1], pa.int64()), tokens=pa.array(out[2], pa.binary()))
+
+    def stored(batches):
+        for batch in batches:
+            own = [np.frombuffer(x, np.uint64) for x in T.column(batch, "tokens").to_pylist()]
+            yield packed(zip(T.column(batch, "n").to_pylist(), own, T.column(batch, "class").to_pylist()))
 
-    def run(batches):
+    def others(batches):
         seen: set[int] = set()
+
+        def new(text):
+            for _, own, c in sets(text):
+                if c not in seen and not starred.hit(np.array([c], np.int64).view(np.uint64))[0]:
+                    if len(seen) < 1_000_000:
+                        seen.add(c)
+                    yield len(own), own, c
+
         for batch in batches:
-            out = [[], [], []]
-            for _, own, c in sets(T.column(batch, "text")):
-                if c in seen:
-                    continue
-                if len(seen) < 1_000_000:
-                    seen.add(c)
-                need = prefix(own, frequent, counts, percent)
-                if wanted is not None:
-                    need = need[wanted.hit(need)]
-                if len(need):
-                    for kept, value in zip(out, (c, len(own), need.tobytes())):
-                        kept.append(value)
-            yield _rows(**{"class": pa.array(out[0], pa.int64())}, n=pa.array(out[1], pa.int64()), tokens=pa.array(out[2], pa.binary()))
+            yield packed(new(T.column(batch, "text")))
 
-    return docs.select("text").mapInArrow(run, "class long, n long, tokens binary")
+    schema = "class long, n long, tokens binary"
+    return store.select("class", "n", "tokens").mapInArrow(stored, schema), docs.select("text").mapInArrow(others, schema)
 
 
 def _shared(left: pa.Array, right: pa.Array) -> list[int]:
@@ -232,7 +246,8 @@ def class_components(docs: DataFrame, rows: DataFrame, percent: int = PERCENT) -
     leaders = leaders.select("band", F.explode(F.array_distinct(F.array(*(f"leader_{salt}" for salt in range(LEADERS))))).alias("l")).select("band", "l.b", "l.n_b")
     near = (F.col("n") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n") * percent) & (F.col("class") != F.col("b"))
     stars = stage(keys.join(leaders, "band").where(near).select(F.greatest("class", "b").alias("a"), F.least("class", "b").alias("b")).distinct(), "stars")
-    store = stage(members(docs, bit_map(stars.select(F.explode(F.array("a", "b"))), BITS)), "star-sets")
+    starred = bit_map(stars.select(F.explode(F.array("a", "b"))), BITS)
+    store = stage(members(docs, starred), "star-sets")
     comps, units = groups_of(stage(close_pairs(stars, store, percent, LOOSE), "close"), store)
     units = stage(units, "units")
 
@@ -255,9 +270,14 @@ def class_components(docs: DataFrame, rows: DataFrame, percent: int = PERCENT) -
 
         return run, ", ".join(f"{n} long" for n in (*names, "token"))
 
-    every = in_unit(prefixes(docs, frequent, counts, percent, None)).mapInArrow(*unpack(["comp"]))
+    def sought(wanted):
+        # only classes of store can be in units; all others are units of their own and need no look-up
+        known, others = prefixes(docs, store, starred, frequent, counts, percent, wanted)
+        return in_unit(known).select("unit", "comp", "n", "tokens").union(others.select(F.col("class").alias("unit"), F.col("class").alias("comp"), "n", "tokens"))
+
+    every = sought(None).mapInArrow(*unpack(["comp"]))
     contested = stage(every.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("token"), "contested")
-    asked = in_unit(prefixes(docs, frequent, counts, percent, bit_map(contested, BITS))).mapInArrow(*unpack(["unit", "comp", "n"]))
+    asked = sought(bit_map(contested, BITS)).mapInArrow(*unpack(["unit", "comp", "n"]))
 
     # the matrix: which token stands in which unit, with the sizes and comps of the members that have it
     matrix = asked.groupBy("token", "unit").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("first"), F.max("comp").alias("last"))
