@@ -2,11 +2,11 @@
 
 A naive Bayes classifier, learned from the labelled table, gives every document posteriors over the domains that
 the labels name (toxic; low quality; good). Each document then gets a nonnegative rate (expected
-copies) such that the expected tokens of each domain, sum of rate * tokens * posterior, match the target weights. The
-rates solve the least-squares fit by projected gradient descent from rate 1. A step needs one residual for
-each domain, found by one aggregate over all documents; rates are not stored, for a document's rate follows from
-its posteriors and the residuals so far. Steps are measured with each document weighted by its tokens, so
-documents of equal posteriors get equal rates whatever their length.
+copies) such that the expected tokens of each domain, sum of rate * tokens * posterior, match the target weights. Of
+the rates that solve this least-squares fit, those nearest to 1 are sought: they are max(0, 1 + m . posteriors) with one
+multiplier m for each domain. Newton's method finds the multipliers, and runs until it has converged. A step needs a few numbers
+for each pair of domains, found by one aggregate over all documents; rates are not stored. Distances from 1 are measured with
+each document weighted by its tokens, so documents of equal posteriors get equal rates whatever their length.
 
 Defined results: null and wordless texts have 0 tokens and prior posteriors; a document without tokens
 keeps the rate that its posteriors give; without any labelled row all posteriors are equal; a domain that no document
@@ -16,6 +16,7 @@ doc_id are kept; extra columns are kept by mix().
 
 from __future__ import annotations
 
+import logging
 import math
 
 import numpy as np
@@ -27,9 +28,10 @@ from fabriloom.llm.native_text import plain, words_of
 
 #: The domains, and the share of tokens that each shall have.
 TARGETS = {"good": 0.9, "low": 0.08, "toxic": 0.02}
-#: log2 of the word buckets of the classifier, labelled rows of each domain to learn from, steps at most, and the
-#: residual (share of all tokens) at which they end.
-BITS, PER_DOMAIN, STEPS, ENOUGH = 14, 2000, 12, 1e-4
+#: log2 of the word buckets of the classifier, labelled rows of each domain to learn from.
+BITS, PER_DOMAIN = 14, 2000
+#: Weight of the distance from rate 1 beside the misfit, and the gradient (share of all tokens) at which the fit has converged.
+NEAR, ENOUGH = 1e-8, 1e-6
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:
@@ -77,7 +79,7 @@ def score(docs: DataFrame, priors: dict[str, float], table: DataFrame, domains:
 
 
 def rate_of(p: Column, steps: list[list[float]]) -> Column:
-    """The rate that projected gradient steps have led to: max(0, rate - step . p) for each step, from 1."""
+    """The rate that steps lead to: max(0, rate - step . p) for each step, from 1."""
     if not steps:
         return F.lit(1.0)
     table = F.array(*(F.array(*map(F.lit, s)) for s in steps))
@@ -88,32 +90,51 @@ def rate_of(p: Column, steps: list[list[float]]) -> Column:
     return F.aggregate(table, F.lit(1.0), move)
 
 
-def fit(scored: DataFrame, targets: dict[str, float], steps_most: int = STEPS, enough: float = ENOUGH) -> list[list[float]]:
-    """The steps of the projected gradient descent over scored (n_tokens, p). Each costs an aggregate that returns one
-    number for each domain."""
+def solve(scored: DataFrame, targets: dict[str, float], enough: float = ENOUGH) -> tuple[list[list[float]], np.ndarray]:
+    """The one step from rate 1 to the fitted rates over scored (n_tokens, p), and what each domain's share of all tokens
+    then differs from its target by. Each aggregate returns one number for each domain and pair of domains."""
     k = len(targets)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    first = scored.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n"), *(F.sum(F.col("n_tokens") * F.get("p", i) * F.get("p", j)).alias(f"g{i}_{j}") for i, j in pairs)).first()
-    if not first["n"]:
-        return []
-    gram = np.zeros((k, k))
-    for i, j in pairs:
-        gram[i, j] = gram[j, i] = first[f"g{i}_{j}"] / first["n"]
     share = np.array(list(targets.values())) / sum(targets.values())
-    largest = np.linalg.eigvalsh(gram)[-1]
-    # the gradient is scaled by the inverse of the domains' Gram matrix, which shortens the way along flat directions;
-    # where bounds stop it from helping, plain steps of the safe length take over
-    scaled, pace, before = np.linalg.inv(gram + 1e-4 * largest * np.eye(k)), np.eye(k) / largest, math.inf
-    steps: list[list[float]] = []
-    for _ in range(steps_most):
-        got = scored.agg(*(F.sum(rate_of(F.col("p"), steps) * F.col("n_tokens") * F.get("p", d)).alias(f"d{d}") for d in range(k))).first()
-        residual = np.array([got[f"d{d}"] for d in range(k)]) / first["n"] - share
-        if np.abs(residual).max() < enough:
+    n = scored.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()["n"]
+    if not n:
+        return [], -share
+
+    def at(m: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """The dual function, its gradient and Hessian, and the residual. The function is convex, of quadratic pieces."""
+        rows = scored.select("n_tokens", "p", rate_of(F.col("p"), [[-float(x) for x in m]]).alias("rate"))
+        mass, rate = F.col("n_tokens") / float(n), F.col("rate")
+        sums = [(mass * rate * rate).alias("v"), *((mass * rate * F.get("p", i)).alias(f"d{i}") for i in range(k)), *(F.when(rate > 0, mass * F.get("p", i) * F.get("p", j)).otherwise(0.0).alias(f"h{i}_{j}") for i, j in pairs)]
+        got = rows.select(*sums).agg(*(F.sum(c).alias(c) for c in ("v", *(f"d{i}" for i in range(k)), *(f"h{i}_{j}" for i, j in pairs)))).first()
+        hessian = NEAR * np.eye(k)
+        for i, j in pairs:
+            hessian[i, j] = hessian[j, i] = got[f"h{i}_{j}"] + (NEAR if i == j else 0)
+        residual = np.array([got[f"d{i}"] for i in range(k)]) - share
+        return got["v"] / 2 + NEAR * (m @ m) / 2 - share @ m, residual + NEAR * m, hessian, residual
+
+    m = np.zeros(k)
+    value, gradient, hessian, residual = at(m)
+    least = np.abs(gradient).max()
+    while np.abs(gradient).max() > enough:
+        way, length = -np.linalg.solve(hessian, gradient), 1.0
+        while length > 1e-12:
+            new = at(m + length * way)
+            # rounding may hide a fall of the function, so a gradient of half the least so far will do as well
+            if new[0] <= value + 1e-4 * length * (gradient @ way) or np.abs(new[1]).max() <= least / 2:
+                break
+            length /= 2
+        else:
+            logging.getLogger(__name__).warning("the fit stopped at a gradient of %g; residual %s", np.abs(gradient).max(), residual)
             break
-        size = float(np.linalg.norm(residual))
-        scaled, before = (pace if size > 0.8 * before else scaled), size
-        steps.append([float(x) for x in scaled @ residual])
-    return steps
+        m = m + length * way
+        value, gradient, hessian, residual = new
+        least = min(least, np.abs(gradient).max())
+    return [[-float(x) for x in m]], residual
+
+
+def fit(scored: DataFrame, targets: dict[str, float], enough: float = ENOUGH) -> list[list[float]]:
+    """The steps from rate 1 to the fitted rates."""
+    return solve(scored, targets, enough)[0]
 
 
 def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> tuple[DataFrame, list[str]]:

@@ -217,6 +217,32 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix(empty, labels).count() == 0 and mixing.mix(docs, labels.limit(0)).count() == docs.count()
 
 
+@pytest.mark.parametrize("shares", [(0.4, 0.5, 0.1), (0.1, 0.3, 0.6), (0.01, 0.01, 0.98), (0.5, 0.5, 0)])
+def test_mixing_converges_under_bounds(spark, shares):
+    rng = np.random.default_rng(3)
+    kind = rng.choice(3, 600, p=shares)
+    p = np.exp(1.5 * (rng.normal(size=(600, 3)) + 3 * np.eye(3)[kind]))
+    p[:, 2] *= shares[2] > 0  # with no share, a domain that no document may belong to
+    p /= p.sum(1, keepdims=True)
+    tokens = rng.integers(1, 500, 600)
+    mass, target = tokens / tokens.sum(), np.array(list(mixing.TARGETS.values()))
+    table = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(tokens, p)], "n_tokens long, p array<double>")
+    rate = np.ones(600)
+    for s in mixing.fit(table, mixing.TARGETS):
+        rate = np.maximum(0, rate - p @ np.array(s))
+    # accelerated projected gradient with restart, run on until it stands
+    pace, want, look, t = 1 / np.linalg.eigvalsh((p.T * mass) @ p)[-1], np.ones(600), np.ones(600), 1.0
+    for _ in range(100_000):
+        new = np.maximum(0, look - pace * p @ ((look * mass) @ p - target))
+        if (look - new) @ (mass * (new - want)) > 0:
+            t = 1.0
+        t, before = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
+        look, want = new + (before - 1) / t * (new - want), new
+    assert (rate >= 0).all() and np.abs((rate * mass) @ p - (want * mass) @ p).max() < 1e-3
+    steps, residual = mixing.solve(table, mixing.TARGETS)
+    assert np.abs(residual - ((rate * mass) @ p - target)).max() < 1e-6
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
