@@ -1,10 +1,11 @@
 """Licence scan by a positional rare-token index, in DataFrame functions only.
 
-The index holds the place of every telling word of the licence templates. Each file looks up the TOP licence
-words of highest inverse document frequency that it has; a found word at place i and a template place p give the
-relative position i - p, and postings that agree on one are the same candidate. At a candidate's position the weight
+The index holds, for each licence template, the place of the word of highest inverse document frequency among those of
+its mandatory key phrases. Each file looks up all of its words; a found word at place i and a template place p give the
+relative position i - p, a candidate. At a candidate's position the weight
 of the template words that stand in place is summed (by IDF), and its mandatory key phrases must all stand where the
-template has them. The corpus IDF of the licence words comes from one pass over all documents; it has one row for each
+template has them; so every place of a template with its key phrases is a candidate, whatever else the file has. The corpus
+IDF of the licence words comes from one pass over all documents; it has one row for each
 word of the templates, which is all that ever reaches the driver.
 
 Base labels mark phrases wherever their words follow each other; labels also has what the index finds.
@@ -41,8 +42,8 @@ TEMPLATES = [
 ]
 #: Words too common to be worth a posting.
 UNTELLING = "a all and any are by for in is it of or the this to under use with without work 0 2 3 4 v".split()
-#: Highest-IDF licence words that a file looks up; least share of a template's weight that must stand in place.
-TOP, LEAST = 6, 0.6
+#: Least share of a template's weight that must stand in place.
+LEAST = 0.6
 
 _SHIFT = 1 << 32
 
@@ -57,6 +58,25 @@ def postings(templates=None) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
+def key_places(words: str, keys: list[str]) -> list[tuple[int, str]]:
+    """(place, word) of the words of a template's key phrases."""
+    parts, out = words.split(), []
+    for key in keys:
+        own = key.split()
+        first = next(p for p in range(len(parts)) if parts[p : p + len(own)] == own)
+        out += [(first + j, x) for j, x in enumerate(own)]
+    return out
+
+
+def anchors(idf: dict[str, float], templates=None) -> dict[str, list[tuple[int, int]]]:
+    """word -> (template, place), for the word of each template's key phrases that has the highest IDF."""
+    out: dict[str, list[tuple[int, int]]] = {}
+    for t, (_, words, keys) in enumerate(TEMPLATES if templates is None else templates):
+        place, word = max(((p, x) for p, x in key_places(words, keys) if x in idf), key=lambda q: idf[q[1]])
+        out.setdefault(word, []).append((t, place))
+    return out
+
+
 def word_idf(docs: DataFrame, vocabulary: list[str]) -> dict[str, float]:
     """Inverse document frequency of each word of the vocabulary over all docs (text)."""
     found = docs.select(F.explode(F.array_intersect(F.array(*map(F.lit, vocabulary)), words_of(plain(F.col("text"))))).alias("word"))
@@ -65,11 +85,6 @@ def word_idf(docs: DataFrame, vocabulary: list[str]) -> dict[str, float]:
     return {w: math.log((total + 1) / (n.get(w, 0) + 0.5)) for w in vocabulary}
 
 
-def _lookup(table: dict[str, Column], key: Column, kind: str) -> Column:
-    """table[key] for the few words of the templates; null for others."""
-    return F.create_map(*[x for k, v in table.items() for x in (F.lit(k), v)])[key].cast(kind)
-
-
 def _stands(words: Column, phrase: str, at: Column) -> Column:
     parts = phrase.split()
     return F.slice(words, at + 1, len(parts)) == F.array(*map(F.lit, parts))
@@ -82,21 +97,16 @@ def base_places(words: Column, text: Column, phrase: str) -> Column:
     return F.when(has, F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - k, F.lit(0))), lambda i: _stands(words, phrase, i))).otherwise(F.array().cast("array<int>"))
 
 
-def scan(docs: DataFrame, idf: dict[str, float], least: float = LEAST, top: int = TOP) -> DataFrame:
+def scan(docs: DataFrame, idf: dict[str, float], least: float = LEAST) -> DataFrame:
     """docs (doc_id, text) with n_words, the base phrases' places, the labels of both kinds and the score."""
     index = postings()
     df = docs.select("doc_id", plain(F.col("text")).alias("plain")).withColumn("words", words_of(F.col("plain")))
     w = F.col("words")
-    vocabulary = F.array(*map(F.lit, index))
-    df = df.withColumn("own", F.array_intersect(vocabulary, w))
-    weights = {word: F.lit(float(idf[word])) for word in index}
-    ranked = F.array_sort(F.transform("own", lambda x: F.struct((-_lookup(weights, x, "double")).alias("rank"), x.alias("word"))))
-    df = df.withColumn("asked", F.slice(F.transform(ranked, lambda x: x["word"]), 1, top))
-    # every place of an asked word, with the candidates (template, relative position) that its postings give
-    places = {word: F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in where]) for word, where in index.items()}
-    found = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("word"), i.alias("i"))), lambda x: F.array_contains(F.col("asked"), x["word"]))
-    codes = F.flatten(F.transform(found, lambda x: F.transform(F.create_map(*[y for k, v in places.items() for y in (F.lit(k), v)])[x["word"]], lambda q: q["t"] * F.lit(_SHIFT) + (x["i"] - q["p"]).cast("long") + F.lit(1 << 20))))
-    df = df.withColumn("candidates", F.when(F.size("own") > 0, F.array_distinct(codes)).otherwise(F.array().cast("array<long>")))
+    # every place of an anchor word, with the candidates (template, relative position) that its postings give
+    places = F.create_map(*[y for word, where in anchors(idf).items() for y in (F.lit(word), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in where]))])
+    found = F.filter(F.transform(w, lambda x, i: F.struct(places[x].alias("where"), i.alias("i"))), lambda x: x["where"].isNotNull())
+    codes = F.flatten(F.transform(found, lambda x: F.transform(x["where"], lambda q: q["t"] * F.lit(_SHIFT) + (x["i"] - q["p"]).cast("long") + F.lit(1 << 20))))
+    df = df.withColumn("candidates", F.array_distinct(codes))
 
     def share(t: int, at: Column) -> Column:
         """Weight in place of template t at a relative position; 0 where a key phrase is missing."""
@@ -105,10 +115,8 @@ def scan(docs: DataFrame, idf: dict[str, float], least: float = LEAST, top: int
         total = sum(idf[x] for x in parts if x in index)
         held = sum((F.when(F.get(w, at + p) == x, F.lit(idf[x] / total)).otherwise(F.lit(0.0)) for p, x in enumerate(parts) if x in index), F.lit(0.0))
         in_place = F.lit(True)
-        for key in keys:
-            first = next(p for p in range(len(parts)) if parts[p : p + len(key.split())] == key.split())
-            for j, x in enumerate(key.split()):
-                in_place = in_place & F.coalesce(F.get(w, at + first + j) == x, F.lit(False))
+        for p, x in key_places(text, keys):
+            in_place = in_place & F.coalesce(F.get(w, at + p) == x, F.lit(False))
         return F.when(in_place, held).otherwise(F.lit(0.0))
 
     def judged(code: Column) -> Column:

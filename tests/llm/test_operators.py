@@ -138,6 +138,35 @@ def test_licenses(docs, empty):
     assert licenses.scan(empty, licenses.word_idf(empty, list(licenses.postings()))).count() == 0
 
 
+def test_licenses_with_many_telling_words(spark):
+    notices = [t for _, t, _ in licenses.TEMPLATES]
+    chance = " ".join("person charge copy files software source binary mozilla gnu creative attribution permission".split() * 40)
+    rng = random.Random(4)
+    texts = [notices[1] + " all rights reserved", *(f"{a} x {b} y {c}" for a, b, c in ((rng.choice(notices), rng.choice(notices), rng.choice(notices)) for _ in range(30)))]
+    texts += [f"{chance} {t} {chance}" for t in notices] + [" ".join(notices), " ".join(rng.sample(chance.split(), 200))]
+    # notices with some words changed
+    texts += [" ".join(w if rng.random() > 0.1 else "zz" for w in t.split()) + " " + notices[8] for t in notices for _ in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    idf = licenses.word_idf(docs, list(licenses.postings()))
+    got = by_id(licenses.scan(docs, idf))
+    for i, text in enumerate(texts):
+        w, want, best = text.split(), set(), 0.0
+        for label, template, keys in licenses.TEMPLATES:
+            parts = template.split()
+            total = sum(idf[x] for x in parts if x in idf)
+            for at in range(-len(parts), len(w)):
+                here = lambda p: w[at + p] if 0 <= at + p < len(w) else None  # noqa: B023, E731
+                first = [next(p for p in range(len(parts)) if parts[p : p + len(k.split())] == k.split()) for k in keys]
+                if all(here(f + j) == x for f, k in zip(first, keys) for j, x in enumerate(k.split())):
+                    held = sum(idf[x] for p, x in enumerate(parts) if x in idf and here(p) == x) / total
+                    if held >= licenses.LEAST:
+                        want.add(label)
+                        best = max(best, held)
+        base = set(filter(None, got[i]["base_labels"].split(",")))
+        assert set(filter(None, got[i]["labels"].split(","))) == want | base, text
+        assert abs(got[i]["score"] - (1.0 if base else min(1.0, best))) < 1e-9
+
+
 def test_fingerprints(docs, empty):
     rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()))
     got = fingerprints.fingerprints(docs).collect()
