@@ -5,13 +5,18 @@ lexicon. A text keeps its distinct lexicon terms, sorts them, and hashes those o
 four parts each of 1/4, 1/16, 1/64 and 1/256, so that texts of any length have parts that a change leaves alone. The
 fingerprint is the 16 hashes; likeness is the share of equal ones, parts that are empty in both texts left out.
 
+Near copies differ in some terms, and a text with few terms in the band may have none there but these: a group that
+holds much of the corpus puts its terms above the band, and those of a small language lie below. So a text is thin if fewer
+than a share THIN of its distinct terms is in the band. Thin texts are fingerprinted by all of their terms, and if one of
+two texts is thin, both are compared by all terms.
+
 The lexicon is bounded by the band: terms in at least a share s of all documents are at most (mean terms of a
 document) / s, whatever the number of documents. It is broadcast only after its size has been checked.
 
 The next document is found without a global window: ids are cut into ranges at approximate quantiles, and the
 first document of each range is also dealt to the range before it (that of the first range to the last).
 
-Defined results: a null text is empty; a text without lexicon terms is fingerprinted as a whole, so it equals
+Defined results: a null text is empty; a text without words is fingerprinted as a whole, so it equals
 only equal texts; the order is by doc_id, nulls first, then by text; a single document is its own next; repeated
 rows are answered each; extra columns are ignored.
 """
@@ -26,6 +31,8 @@ from fabriloom.llm.native_text import plain, words_of
 
 #: Least and largest share of documents with a lexicon term; bits of the lexicon parts' rates; parts of each rate.
 LEAST, MOST, RATES, PARTS = 1 / 500, 1 / 4, (2, 4, 6, 8), 4
+#: Share of a text's distinct terms in the band below which all of its terms count.
+THIN = 1 / 4
 #: Lexicon terms up to which the lexicon is broadcast (16 bytes each); documents in a range of ids.
 BROADCAST_TERMS, RANGE = 4_000_000, 600
 
@@ -103,7 +110,7 @@ def part_hashes(terms: Column) -> Column:
 
 
 def likeness(a: Column, b: Column, whole_a: Column, whole_b: Column) -> Column:
-    """Share of equal part hashes; texts without any lexicon term are alike if equal."""
+    """Share of equal part hashes; texts without any term are alike if equal."""
     used = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x != 0) | (y != 0)), lambda x: x))
     same = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x == y) & (x != 0)), lambda x: x))
     return F.when(used == 0, (whole_a == whole_b).cast("double")).otherwise(same / used)
@@ -135,15 +142,30 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("w"), F.lit(0).alias("f"), F.col("meta").alias("meta"))), marked(F.array_intersect("a", "b"), 3), marked(F.array_except("a", "b"), 1), marked(F.array_except("b", "a"), 2))
     each = df.select("r", "rn", F.explode(rows).alias("x")).select("r", "rn", F.when(F.col("x.w").isNotNull(), F.xxhash64("x.w")).alias("t"), "x.f", "x.meta")
     known = words.withColumnRenamed("term", "known")
-    each = each.join(F.broadcast(known) if small else known, F.col("t") == F.col("known"), "left").where("known is not null or meta is not null")
-    own = each.groupBy("r", "rn").agg(F.max("meta").alias("meta"), F.collect_list(F.when(F.col("f").bitwiseAND(1) > 0, F.col("known"))).alias("a"), F.collect_list(F.when(F.col("f").bitwiseAND(2) > 0, F.col("known"))).alias("b"))
-    own = own.select("r", "rn", "meta.*", part_hashes(F.sort_array("a")).alias("a"), part_hashes(F.sort_array("b")).alias("b"))
+    each = each.join(F.broadcast(known) if small else known, F.col("t") == F.col("known"), "left")
+    other = F.when(F.col("known").isNull(), F.col("t"))
+    own = each.groupBy("r", "rn").agg(F.max("meta").alias("meta"), *(F.collect_list(F.when(F.col("f").bitwiseAND(flag) > 0, of)).alias(name) for name, flag, of in (("a", 1, F.col("known")), ("b", 2, F.col("known")), ("more_a", 1, other), ("more_b", 2, other))))
+    thin = [(F.size(x) < THIN * (F.size(x) + F.size(f"more_{x}"))).alias(f"thin_{x}") for x in "ab"]
     order = Window.partitionBy("r").orderBy("rn")
-    own = own.withColumn("next_a", F.lead("a").over(order)).withColumn("next_whole", F.lead("whole_a").over(order)).where(~F.col("copy"))
+    own = own.select("r", "rn", "meta.*", "a", "b", "more_a", "more_b", *thin)
+    own = own.withColumn("thin_next", F.lead("thin_a", 1, False).over(order)).withColumn("thin_before", F.lag("thin_a", 1, False).over(order))
+    # the hashes of all terms are needed only where a text or one that it is compared with is thin
+    beside = F.col("thin_a") | F.col("thin_b")
+    needed = {"a": beside | F.col("thin_next") | F.col("thin_before"), "b": beside}
+    every = [F.when(needed[x], part_hashes(F.sort_array(F.concat(x, f"more_{x}")))).alias(f"all_{x}") for x in "ab"]
+    own = own.select("r", "rn", "copy", "doc_id", "n_chars", "sha", "whole_a", "whole_b", "thin_a", "thin_b", "thin_next", part_hashes(F.sort_array("a")).alias("a"), part_hashes(F.sort_array("b")).alias("b"), *every)
+    own = own.withColumns({f"next_{x}": F.lead(x).over(order) for x in ("a", "all_a", "whole_a")}).where(~F.col("copy"))
+
+    def print_of(x: str) -> Column:
+        return F.when(F.col(f"thin_{x}"), F.concat(F.lit("a"), printed(F.col(f"all_{x}"), F.col(f"whole_{x}")))).otherwise(printed(F.col(x), F.col(f"whole_{x}")))
+
+    def near(thin_: Column, a: str, b: Column, all_b: Column, whole: Column) -> Column:
+        return F.when(thin_, likeness(F.col(f"all_{a}"), all_b, F.col(f"whole_{a}"), whole)).otherwise(likeness(F.col(a), b, F.col(f"whole_{a}"), whole))
+
     return own.select(
-        "doc_id", "n_chars", F.col("sha").alias("edited_sha256"), printed(F.col("a"), F.col("whole_a")).alias("fingerprint"), printed(F.col("b"), F.col("whole_b")).alias("edited_fingerprint"),
-        likeness(F.col("a"), F.col("b"), F.col("whole_a"), F.col("whole_b")).alias("near_edited"),
-        likeness(F.col("a"), F.coalesce("next_a", "a"), F.col("whole_a"), F.coalesce("next_whole", "whole_a")).alias("near_next"),
+        "doc_id", "n_chars", F.col("sha").alias("edited_sha256"), print_of("a").alias("fingerprint"), print_of("b").alias("edited_fingerprint"),
+        near(beside, "a", F.col("b"), F.col("all_b"), F.col("whole_b")).alias("near_edited"),
+        near(F.col("thin_a") | F.col("thin_next"), "a", F.coalesce("next_a", "a"), F.coalesce("next_all_a", "all_a"), F.coalesce("next_whole_a", "whole_a")).alias("near_next"),
     )
 
 

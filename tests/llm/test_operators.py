@@ -179,6 +179,28 @@ def test_fingerprints(docs, empty):
     assert fingerprints.fingerprints(empty).count() == 0
 
 
+def test_fingerprints_of_texts_outside_the_band(spark):
+    rng = random.Random(9)
+    common = [f"w{k}" for k in range(400)]
+    base, tongue, other = ([f"{x}{k}" for k in range(100)] for x in "bto")
+    texts = [" ".join(rng.choice(common) for _ in range(60)) for _ in range(1200)]
+    for _ in range(600):  # a third of all rows are near copies, by words that others have
+        near = list(base)
+        for _ in range(2):
+            near[rng.randrange(100)] = rng.choice(common)
+        texts.append(" ".join(near))
+    # texts of their own words, and near copies on both sides of THIN
+    texts += [" ".join(tongue), " ".join(tongue[1:] + ["u"]), " ".join(other[:60] + common[:19]), " ".join(other[:60] + common[:21])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in fingerprints.fingerprints(docs).collect()}
+    assert len(got) == len(texts)
+    group = [got[i] for i in range(1200, 1799)]
+    assert np.mean([r["near_next"] for r in group]) > 0.5 and np.mean([r["near_next"] > 0.2 for r in group]) > 0.95
+    assert np.mean([r["near_edited"] for r in group]) > 0.2  # a quarter of the text is replaced
+    assert got[1800]["near_next"] > 0.5 and got[1802]["near_next"] > 0.5
+    assert np.mean([got[i]["near_next"] for i in range(1199)]) < 0.1 and got[1799]["near_next"] == got[1801]["near_next"] == 0
+
+
 def test_warc(spark, tmp_path):
     trap = "\r\n\r\nWARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     pages = [(1, "http://a/", "a" + trap + "b"), (2, "u", trap), (3, "u\r\nX: y", None), (4, None, "x\r\n"), (5, "u", "a" + trap + "b"), (6, "u", trap[:4]), (7, "u", ""), (8, "u", "é" * 70000), (9, "u", "plain")]
