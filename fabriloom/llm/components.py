@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fabriloom.llm.common import stage
+from fabriloom.llm.common import discard, stage
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -22,6 +22,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
         after = stage(mine.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")), "labels")
         changed = after.where("label <> old").limit(1).count()
-        labels = after.select("node", "label")
+        discard(labels)
+        labels = after
         if not changed:
+            discard(both)
             return labels.select("node", F.col("label").alias("component"))

@@ -1,25 +1,31 @@
 """Removal of long repeated passages by prefix-free parsing.
 
 Rolling-hash triggers cut every text into phrases that overlap by length - 1 bytes, so every string of `length`
-bytes (a window) lies whole in exactly one phrase. The trigger of a window is its 50-byte gram of least hash (long enough that unrelated texts hardly share one): a choice
-by content alone, so equal windows have equal triggers at equal places wherever they stand. The distinct phrases
-are the dictionary, each text's phrases the parse. A phrase that is parsed twice repeats all its windows, and is
-settled in the dictionary at the cost of one row. Different phrases with the same trigger may share some windows;
-only of these are the phrase suffixes compared, cut at `length` bytes. Full suffix order is not needed for
-that: two suffixes share a window just if they fall in one class at that depth, so a suffix's rank is replaced by the
-64-bit identity of its class, and Spark groups instead of sorting.
-
-Texts go by content: copies have the same phrases, so the spans of a text are worked out once. Phrases are
-compared by trigger where a trigger has at most HOT of them; the windows of hotter ones are combined before the shuffle. Hashes have 64 bits.
+bytes (a window) lies whole in exactly one phrase. The trigger of a window is its 50-byte gram of least hash (long enough
+that unrelated texts hardly share one): a choice by content alone, so equal windows have equal triggers at equal places
+wherever they stand. The distinct phrases are the dictionary, each text's phrases the parse.
+
+The corpus order of all windows comes from two suffix arrays, both cut at the depth of a window. That of the parse needs one
+phrase: as a phrase is no shorter than a window, parse suffixes that begin with the same phrase already agree in all of its
+windows, so the parse is grouped by its phrases, and a phrase parsed twice repeats every window at the cost of one row.
+That of the dictionary orders the phrases' suffixes: its phrases are dealt to tasks by trigger (suffixes that begin with
+the same window have the same trigger), each task builds the suffix array of its part by prefix doubling over the real
+bytes, and suffixes next to one another that agree to the depth of a window are places where different phrases repeat.
+Phrases whose trigger nothing shares are alone at their places in that order and are left out of it.
+
+Texts go by content: copies have the same phrases, so the spans of a text are worked out once. The suffixes of
+triggers with more than HOT phrases are grouped by Spark, by 64-bit identities and combined before the shuffle. Phrase
+and text identities are 64-bit hashes. Texts of many megabytes are parsed in overlapping pieces.
 
 Defined results: a null text is empty; texts shorter than `length` keep everything; copies of long enough
-texts lose everything, as do repeated rows; a null doc_id is kept as null; extra columns are ignored. A span may cut a
-UTF-8 sequence; n_removed and kept_sha256 are about bytes.
+texts lose everything, as do repeated rows; a null doc_id is kept as null; extra columns, whatever their names, are ignored
+by the query and kept by remove_repeats(). A span may cut a UTF-8 sequence; n_removed and kept_sha256 are about bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +33,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fabriloom.llm import textops as T
-from fabriloom.llm.common import bit_map, small_batches, stage, BitMap
+from fabriloom.llm.common import BitMap, Seen, bit_map, discard, fresh, small_batches, stage
 
-#: Bytes of a string whose repetition is removed; bytes of a trigger; bits of the Bloom filters; phrases of a trigger
-#: beyond which their windows are counted by Spark rather than compared in one task.
-LENGTH, GRAM, BITS, HOT = 200, 50, 24, 20_000
+#: Bytes of a string whose repetition is removed; bytes of a trigger; phrases of a trigger beyond which Spark groups their
+#: suffixes; bytes of a text that are parsed at once.
+LENGTH, GRAM, HOT, PIECE = 200, 50, 2000, 1 << 22
 _PLACE = np.uint64((1 << 28) - 1)
 
 
@@ -50,10 +56,10 @@ def phrases(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     """The phrases of the rows of a block: trigger hash, phrase hash, row, first and last window start in the block."""
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return {"trigger": none.view(np.uint64), "phrase": none.view(np.uint64), "row": none, "first": none, "last": none, "prefix": np.zeros(1, np.uint64)}
-    prefix = T.prefix_hashes(data)
-    starts = np.arange(len(data) - gram + 1)
-    grams = T.span_hashes(prefix, starts, starts + gram)
+        return {"trigger": none.view(np.uint64), "phrase": none.view(np.uint64), "row": none, "first": none, "last": none}
+    prefix = T.Prefix(data)
+    grams = prefix.grams(gram)
+    starts = np.arange(len(grams))
     # equal hashes count as equal grams, of which the leftmost is taken: that is the same in equal windows
     lowest = _sliding_min((grams & ~_PLACE) | starts.astype(np.uint64), length - gram + 1)
     at = (lowest & _PLACE).astype(np.int64)
@@ -63,8 +69,20 @@ def phrases(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     cut = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (row[1:] != row[:-1])]) if len(whole) else none
     first, last = whole[cut], whole[np.r_[cut[1:], len(whole)] - 1] if len(whole) else none
     trigger = at[cut]
-    phrase = T.mix64(T.span_hashes(prefix, first, last + length) + (trigger - first).astype(np.uint64))
-    return {"trigger": grams[trigger], "phrase": phrase, "row": row[cut], "first": first, "last": last, "prefix": prefix}
+    phrase = T.mix64(prefix.spans(first, last + length) + (trigger - first).astype(np.uint64))
+    return {"trigger": grams[trigger], "phrase": phrase, "row": row[cut], "first": first, "last": last}
+
+
+def parsed(text: pa.Array, length: int, piece: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int, dict]]:
+    """(first row, its block's bytes and offsets, the byte of the block where the phrases' positions begin, phrases). A text
+    longer than a piece is cut between windows; where that splits a phrase, its parts still share its trigger."""
+    for lo, _, data, offsets in T.blocks(text, min(1 << 18, piece)):
+        if len(data) <= piece:
+            yield lo, data, offsets, 0, phrases(data, offsets, length)
+        else:
+            for base in range(0, len(data) - length + 1, piece):
+                part = data[base : base + piece + length - 1]
+                yield lo, data, offsets, base, phrases(part, np.array([0, len(part)]), length)
 
 
 def _longs(x: np.ndarray) -> pa.Array:
@@ -80,13 +98,12 @@ def content_key(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.array([int.from_bytes(hashlib.blake2b(data[a:z], digest_size=8).digest(), "little", signed=True) for a, z in zip(offsets, offsets[1:])], np.int64)
 
 
-def dictionary(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(trigger, phrase, n): the distinct phrases and how often they are parsed. One task sends each phrase once."""
+def dictionary(docs: DataFrame, length: int = LENGTH, piece: int = PIECE) -> DataFrame:
+    """(trigger, phrase, n): the distinct phrases and how often they are parsed. One task sends each phrase of a block once."""
 
     def run(batches):
         for batch in batches:
-            for _, _, data, offsets in T.blocks(T.column(batch, "text")):
-                p = phrases(data, offsets, length)
+            for *_, p in parsed(T.column(batch, "text"), length, piece):
                 if len(p["phrase"]):
                     _, at, n = np.unique(p["phrase"], return_index=True, return_counts=True)
                     yield _batch(trigger=_longs(p["trigger"][at]), phrase=_longs(p["phrase"][at]), n=pa.array(n))
@@ -94,35 +111,49 @@ def dictionary(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return docs.select("text").mapInArrow(run, "trigger long, phrase long, n long").groupBy("trigger", "phrase").agg(F.sum("n").alias("n"))
 
 
-def shared_phrases(docs: DataFrame, shared: BitMap, length: int = LENGTH) -> DataFrame:
-    """(trigger, phrase, body): the bytes of each phrase whose trigger passes, about once for each task."""
+def shared_phrases(docs: DataFrame, shared: BitMap, length: int = LENGTH, piece: int = PIECE) -> DataFrame:
+    """(trigger, phrase, body): the bytes of each phrase whose trigger passes, once."""
 
     def run(batches):
-        seen: set[int] = set()
+        seen = Seen()
         for batch in batches:
-            for _, _, data, offsets in T.blocks(T.column(batch, "text")):
-                p = phrases(data, offsets, length)
+            for _, data, _, base, p in parsed(T.column(batch, "text"), length, piece):
                 hit = np.flatnonzero(shared.hit(p["trigger"]))
                 _, own = np.unique(p["phrase"][hit], return_index=True)
-                hit = hit[[x not in seen for x in p["phrase"][hit].tolist()] & np.isin(np.arange(len(hit)), own)] if len(hit) else hit
-                if len(seen) < 1_000_000:  # only spares rows
-                    seen.update(p["phrase"][hit].tolist())
+                hit = hit[own]
+                hit = hit[seen.new(p["phrase"][hit])]
                 if len(hit):
-                    body = [data[a:z].tobytes() for a, z in zip(p["first"][hit], p["last"][hit] + length)]
+                    body = [data[a:z].tobytes() for a, z in zip(base + p["first"][hit], base + p["last"][hit] + length)]
                     yield _batch(trigger=_longs(p["trigger"][hit]), phrase=_longs(p["phrase"][hit]), body=pa.array(body, pa.binary()))
 
-    return docs.select("text").mapInArrow(run, "trigger long, phrase long, body binary")
+    return docs.select("text").mapInArrow(run, "trigger long, phrase long, body binary").groupBy("trigger", "phrase").agg(F.first("body").alias("body"))
 
 
-def _windows(body: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(suffix identity, index of the phrase, place in it) of every window of some phrases."""
+def _suffixes(body: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, index of the phrase, place in it, place in the bytes) of every suffix of some phrases that holds a window."""
     size = np.array([len(x) for x in body], np.int64)
     many = np.maximum(size - length + 1, 0)
     owner = np.repeat(np.arange(len(body)), many)
     place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    start = (np.cumsum(size) - size)[owner] + place
-    prefix = T.prefix_hashes(np.frombuffer(b"".join(body), np.uint8))
-    return T.span_hashes(prefix, start, start + length), owner, place
+    return np.frombuffer(b"".join(body), np.uint8), owner, place, (np.cumsum(size) - size)[owner] + place
+
+
+def suffix_array(data: np.ndarray, start: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of data at start, each of depth bytes (8 or more) at least, in the order of their first depth bytes: their
+    indexes in that order, and whether each agrees with the one before it to that depth. Ranks by 8 bytes are
+    doubled: the order to 2 d bytes is that of the ranks to d bytes at a place and d further on."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    at, d = np.ndarray((len(data) - 7,), ">u8", padded, strides=(1,)).astype(np.uint64), 8
+    at = np.unique(at, return_inverse=True)[1]
+    while d < depth:
+        step = min(d, depth - d)
+        pair = at[: len(at) - step] * (int(at.max()) + 1) + at[step:]
+        at = np.unique(pair, return_inverse=True)[1]
+        d += step
+    rank = at[start]
+    order = np.argsort(rank, kind="stable")
+    return order, np.r_[False, rank[order][1:] == rank[order][:-1]]
 
 
 def _runs(phrase: np.ndarray, owner: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
@@ -133,8 +164,8 @@ def _runs(phrase: np.ndarray, owner: np.ndarray, place: np.ndarray) -> pa.Record
 
 
 def compare(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(phrase, a, z): places of windows that another phrase of the same trigger also has. All phrases of a trigger come one
-    after another, so memory holds a batch and one trigger's phrases."""
+    """(phrase, a, z): places of windows that another phrase also has, by the suffix arrays of the parts of the dictionary. All
+    phrases of a trigger come one after another, so memory holds a batch and one trigger's phrases."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -152,27 +183,25 @@ def compare(rows: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def found(parts):
         table = pa.Table.from_batches(parts)
-        phrase = table.column("phrase").to_numpy().view(np.uint64)
-        _, one = np.unique(phrase, return_index=True)
-        suffix, owner, place = _windows(table.column("body").take(pa.array(one)).to_pylist(), length)
-        order = np.argsort(suffix, kind="stable")
-        same = suffix[order][1:] == suffix[order][:-1]
-        again = np.zeros(len(suffix), bool)
-        again[order[1:][same]] = again[order[:-1][same]] = True
-        return _runs(phrase[one], owner[again], place[again])
+        data, owner, place, start = _suffixes(table.column("body").to_pylist(), length)
+        again = np.zeros(len(start), bool)
+        if len(start):
+            order, same = suffix_array(data, start, length)
+            again[order[same]] = again[order[:-1][same[1:]]] = True
+        return _runs(table.column("phrase").to_numpy().view(np.uint64), owner[again], place[again])
 
     return rows.repartition("trigger").sortWithinPartitions("trigger").mapInArrow(run, "phrase long, a long, z long")
 
 
 def compare_hot(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """compare() for triggers of very many phrases: Spark counts the windows, combining them before the shuffle."""
+    """compare() for triggers of very many phrases: Spark groups the suffixes, combining them before the shuffle."""
 
     def run(batches):
         for batch in batches:
             phrase = T.column(batch, "phrase").to_numpy(zero_copy_only=False)
-            for at in range(0, len(phrase), 1000):
-                suffix, owner, place = _windows(T.column(batch, "body").slice(at, 1000).to_pylist(), length)
-                yield _batch(suffix=_longs(suffix), phrase=pa.array(phrase[at : at + 1000][owner]), place=pa.array(place))
+            for at in range(0, len(phrase), 200):
+                data, owner, place, start = _suffixes(T.column(batch, "body").slice(at, 200).to_pylist(), length)
+                yield _batch(suffix=_longs(T.Prefix(data).spans(start, start + length)), phrase=pa.array(phrase[at : at + 200][owner]), place=pa.array(place))
 
     each = rows.mapInArrow(run, "suffix long, phrase long, place long")
     common = each.groupBy("suffix").agg(F.min("phrase").alias("p"), F.max("phrase").alias("q")).where("p < q").select("suffix")
@@ -180,36 +209,35 @@ def compare_hot(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     return places.select("phrase", F.col("place").alias("a"), F.col("place").alias("z"))
 
 
-def parse(docs: DataFrame, wanted: BitMap, length: int = LENGTH) -> DataFrame:
+def parse(docs: DataFrame, wanted: BitMap, length: int = LENGTH, piece: int = PIECE) -> DataFrame:
     """The parse, as far as the filter lets pass: (text_key, phrase, start, windows), starts in bytes of the text."""
 
     def run(batches):
         for batch in batches:
-            for _, _, data, offsets in T.blocks(T.column(batch, "text")):
-                p = phrases(data, offsets, length)
+            for _, data, offsets, base, p in parsed(T.column(batch, "text"), length, piece):
                 hit = wanted.hit(p["phrase"])
                 row = p["row"][hit]
                 if len(row):
                     key = np.zeros(len(offsets) - 1, np.int64)
                     for r in np.unique(row):
                         key[r] = content_key(data, offsets[r : r + 2])[0]
-                    yield _batch(text_key=pa.array(key[row]), phrase=_longs(p["phrase"][hit]), start=pa.array(p["first"][hit] - offsets[row]), windows=pa.array(p["last"][hit] - p["first"][hit] + 1))
+                    yield _batch(text_key=pa.array(key[row]), phrase=_longs(p["phrase"][hit]), start=pa.array(base + p["first"][hit] - offsets[row]), windows=pa.array(p["last"][hit] - p["first"][hit] + 1))
 
     return docs.select("text").mapInArrow(run, "text_key long, phrase long, start long, windows long")
 
 
-def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(text_key, spans): the maximal removed byte runs [start, end) of each different text that loses any."""
-    words = stage(dictionary(docs, length), "dictionary")
+def spans(docs: DataFrame, length: int = LENGTH, piece: int = PIECE) -> DataFrame:
+    """(text_key, spans): the maximal removed byte runs [start, end) of each different text that loses any. Staged."""
+    words = stage(dictionary(docs, length, piece), "dictionary")
     repeated = words.where("n > 1").select("phrase")
     by_trigger = words.groupBy("trigger").agg(F.count(F.lit(1)).alias("phrases")).where("phrases > 1")
     shared = stage(by_trigger, "triggers")
-    bodies = stage(shared_phrases(docs, bit_map(shared.select("trigger"), BITS), length), "phrases")
+    bodies = stage(shared_phrases(docs, bit_map(shared.select("trigger")), length, piece), "phrases")
     few, many = (bodies.join(shared.where(x), "trigger", "left_semi") for x in (F.col("phrases") <= HOT, F.col("phrases") > HOT))
     # a phrase parsed twice repeats all its windows; of one parsed once, those count that other phrases have too
     parts = stage(compare(few, length).union(compare_hot(many, length)).join(repeated, "phrase", "left_anti"), "parts")
     known = repeated.select("phrase", F.lit(0).cast("long").alias("a"), F.lit(None).cast("long").alias("z")).union(parts)
-    rows = parse(docs, bit_map(known.select("phrase"), BITS), length).distinct()
+    rows = parse(docs, bit_map(known.select("phrase")), length, piece).distinct()
     sure = rows.join(known, "phrase").select("text_key", (F.col("start") + F.col("a")).alias("start"), (F.coalesce("z", F.col("windows") - 1) - F.col("a") + length).alias("size"))
     # adjoining and overlapping pieces of a text become one run
     order = Window.partitionBy("text_key").orderBy("start", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -217,25 +245,40 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     run = F.sum(F.when(F.col("reach") >= F.col("start"), 0).otherwise(1)).over(Window.partitionBy("text_key").orderBy("start", "size").rowsBetween(Window.unboundedPreceding, 0))
     marked = sure.withColumn("reach", reach).withColumn("run", run)
     runs = marked.groupBy("text_key", "run").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"))
-    return runs.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    found = stage(runs.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans")), "spans")
+    discard(words, shared, bodies, parts)
+    return found
 
 
-def with_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with a column spans (null where nothing goes) and text_key. Clashing columns of docs are replaced."""
-    found = stage(spans(docs, length), "spans")
-    some = bit_map(found.select("text_key"), BITS)
-    names = [n for n in docs.columns if n not in ("text_key", "spans")]
+def cut(docs: DataFrame, change, schema, length: int = LENGTH, piece: int = PIECE) -> DataFrame:
+    """change(batch, spans) for all rows of docs, spans being a list of runs for each row. Only texts that may lose bytes meet
+    their spans in a join; all others pass without a shuffle. Columns of docs may have any names."""
+    found = spans(docs, length, piece)
+    key, runs = fresh("text_key", docs), fresh("spans", docs)
+    some, names = bit_map(found.select("text_key")), docs.columns
 
-    def run(batches):
+    def keys(batch):
+        return np.concatenate([np.zeros(0, np.int64), *(content_key(data, offsets) for _, _, data, offsets in T.blocks(T.column(batch, "text")))])
+
+    def rest(batches):
         for batch in batches:
-            key = np.concatenate([np.zeros(0, np.int64), *(content_key(data, offsets) for _, _, data, offsets in T.blocks(T.column(batch, "text")))])
-            hit = some.hit(key)
-            yield pa.RecordBatch.from_arrays([*(T.column(batch, n) for n in names), pa.array(key), pa.array(hit)], names=[*names, "text_key", "maybe"])
+            own = batch.filter(pa.array(~some.hit(keys(batch))))
+            yield change(own, [None] * own.num_rows)
 
-    docs = docs.select(*names)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    keyed = docs.mapInArrow(run, f"{schema}, text_key long, maybe boolean")
-    return keyed, found
+    def hit(batches):
+        for batch in batches:
+            key_of = keys(batch)
+            yes = some.hit(key_of)
+            own = batch.filter(pa.array(yes))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(key_of[yes])], names=[*names, key])
+
+    def joined(batches):
+        for batch in batches:
+            yield change(batch.select(names), T.column(batch, runs).to_pylist())
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    met = docs.mapInArrow(hit, f"{fields}, {key} long").join(found.select(F.col("text_key").alias(key), F.col("spans").alias(runs)), key, "left").select(*(F.col(f"`{n}`") for n in names), runs)
+    return docs.mapInArrow(rest, schema).union(met.mapInArrow(joined, schema))
 
 
 def kept_bytes(text: bytes, spans) -> bytes:
@@ -246,43 +289,35 @@ def kept_bytes(text: bytes, spans) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def join_spans(keyed: DataFrame, found: DataFrame) -> DataFrame:
-    """Texts that may lose bytes meet their spans; all others pass without a shuffle."""
-    rest = keyed.where(~F.col("maybe")).withColumn("spans", F.lit(None).cast(found.schema["spans"].dataType))
-    some = keyed.where("maybe").join(found, "text_key", "left").select(*rest.columns)
-    return rest.unionByName(some)
+def removed(docs: DataFrame, length: int = LENGTH, piece: int = PIECE) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row of docs."""
 
+    def change(batch, spans):
+        out = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
+        for text, cut_ in zip(T.column(batch, "text"), spans):
+            raw, own = (text.as_py() or "").encode(), cut_ or []
+            out["n_bytes"].append(len(raw))
+            out["n_removed"].append(sum(s["end"] - s["start"] for s in own))
+            out["n_spans"].append(len(own))
+            out["kept_sha256"].append(hashlib.sha256(kept_bytes(raw, own)).hexdigest())
+        return pa.RecordBatch.from_arrays([T.column(batch, "doc_id"), *(pa.array(out[k], pa.int64()) for k in ("n_bytes", "n_removed", "n_spans")), pa.array(out["kept_sha256"], pa.string())], names=["doc_id", *out])
 
-def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return cut(docs.select("doc_id", "text"), change, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", length, piece)
 
-    def run(batches):
-        for batch in batches:
-            out = {"doc_id": T.column(batch, "doc_id"), "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
-            for text, spans in zip(T.column(batch, "text"), T.column(batch, "spans")):
-                raw, cut = (text.as_py() or "").encode(), spans.as_py() or []
-                out["n_bytes"].append(len(raw))
-                out["n_removed"].append(sum(s["end"] - s["start"] for s in cut))
-                out["n_spans"].append(len(cut))
-                out["kept_sha256"].append(hashlib.sha256(kept_bytes(raw, cut)).hexdigest())
-            yield pa.RecordBatch.from_arrays([out["doc_id"], *(pa.array(out[k], pa.int64()) for k in ("n_bytes", "n_removed", "n_spans")), pa.array(out["kept_sha256"], pa.string())], names=list(out))
-
-    joined = join_spans(*with_spans(docs)).select("doc_id", "text", "spans")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
-
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, piece: int = PIECE) -> DataFrame:
     """The rows of docs with repeated passages cut out of text, n_chars made to fit where there is such a column.
     Bytes of a cut UTF-8 sequence go too; a text that loses all its bytes becomes empty."""
 
-    def run(batches):
-        for batch in batches:
-            text = [kept_bytes((t.as_py() or "").encode(), s.as_py()).decode("utf-8", "ignore") if s.is_valid else t.as_py() for t, s in zip(T.column(batch, "text"), T.column(batch, "spans"))]
-            columns = {n: T.column(batch, n) for n in batch.schema.names if n != "spans"}
-            columns["text"] = pa.array(text, columns["text"].type)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+    def change(batch, spans):
+        text = T.column(batch, "text")
+        new = [kept_bytes(t.as_py().encode(), s).decode("utf-8", "ignore") if s else t.as_py() for t, s in zip(text, spans)]
+        return batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(new, text.type))
 
-    joined = join_spans(*with_spans(docs)).select(*docs.columns, "spans")
-    out = joined.mapInArrow(run, docs.schema)
+    out = cut(docs, change, docs.schema, length, piece)
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else out
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return removed(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -27,8 +27,6 @@ NOT_SPACE = ~_table([0x20, *range(0x09, 0x0E)])
 ALNUM = _table([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
-#: A random 64-bit value for each byte.
-BYTE_VALUE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,18 +56,37 @@ def blocks(column: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, int, n
         lo = hi
 
 
-def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """p with p[j] - p[i] = the sum of value(byte k) * BASE^k over i <= k < j."""
-    up, _ = powers(len(data) + 1)
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_VALUE[data] * up[:-1], out=out[1:])
-    return out
-
-
-def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of the bytes from start to end that does not depend on where they stand."""
-    _, down = powers(len(prefix))
-    return mix64((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
+class Prefix:
+    """Rolling hashes of a block. A span of 8 bytes or more is hashed as a polynomial over its scrambled runs of 8 bytes,
+    so that sequences of two letters that cancel out in a polynomial over bytes (Thue-Morse words, modulo 2^64) don't; a
+    shorter span by its bytes themselves."""
+
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        padded = np.zeros(n + 8, np.uint8)
+        padded[:n] = data
+        self.runs = np.ndarray((n + 1,), "<u8", padded, strides=(1,)).astype(np.uint64)
+        value = self.runs * np.uint64(0xD6E8FEB86659FD93)
+        value ^= value >> np.uint64(32)
+        value *= powers(n + 1)[0]
+        self.sums = np.zeros(n + 2, np.uint64)
+        np.cumsum(value, out=self.sums[1:])
+
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A hash of the bytes from start to end that does not depend on where they stand."""
+        size = (end - start).astype(np.uint64)
+        short = size < 8
+        total = (self.sums[np.maximum(end - 7, start)] - self.sums[start]) * powers(len(self.runs))[1][start]
+        if short.any():
+            own = self.runs[start[short]] & ((np.uint64(1) << (size[short] * np.uint64(8))) - np.uint64(1))
+            total[short] = mix64(own + np.uint64(0x9E3779B97F4A7C15))
+        return mix64(total + size)
+
+    def grams(self, width: int) -> np.ndarray:
+        """spans() of every run of width bytes, 8 or more."""
+        n = len(self.runs) - 1
+        total = (self.sums[width - 7 : n - 6] - self.sums[: n - width + 1]) * powers(n + 1)[1][: n - width + 1]
+        return mix64(total + np.uint64(width))
 
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,11 +100,29 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> t
     return start, end, np.searchsorted(offsets, start, "right") - 1
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, row, start, end) of each word; A-Z count as a-z."""
+def pieces(data: np.ndarray, is_word: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Cuts of a block into parts of about limit bytes, none of them inside a word."""
+    lo = 0
+    while lo < len(data):
+        hi = min(len(data), lo + limit)
+        while hi < len(data):
+            gap = np.flatnonzero(~is_word[data[hi : hi + limit]])
+            if len(gap):
+                hi += int(gap[0])
+                break
+            hi = min(len(data), hi + limit)
+        yield lo, hi
+        lo = hi
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, limit: int = 1 << 22) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, start, end) of each word; A-Z count as a-z. Very long texts are worked on in parts."""
+    if len(data) > limit and len(offsets) == 2:
+        out = [(h, row, start + lo, end + lo) for lo, hi in pieces(LOWER[data], is_word, limit) for h, row, start, end in [word_hashes(data[lo:hi], np.array([0, hi - lo]), is_word, 1 << 62)]]
+        return tuple(np.concatenate(x) for x in zip(*out))
     low = LOWER[data]
     start, end, row = word_bounds(low, offsets, is_word)
-    return span_hashes(prefix_hashes(low), start, end), row, start, end
+    return Prefix(low).spans(start, end), row, start, end
 
 
 SHINGLE_FACTORS = np.random.default_rng(51).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
