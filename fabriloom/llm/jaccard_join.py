@@ -2,15 +2,20 @@
 
 Texts with equal sets are one class from the start. Similar classes are partitioned into groups: a class meets the
 leaders drawn from those that share a min-hash band with it, and what hangs together by a looser similarity is a group; large
-groups are cut into units of bounded size. The token-group matrix then holds, distributed, which token stands in
-which unit, of the tokens that a member cannot be similar without (its prefix, rare tokens first, long enough
-that similar sets share several tokens of it). Units that share enough of them, by size ranges and counts, are held
-against each other in one task: the overlap of a member with the other unit's token union bounds what it can reach
-there, and only if it qualifies is the unit opened and its members are compared exactly.
+groups are cut into units of bounded size, and a class that is like no other is a unit of its own. The token-group matrix
+holds for each unit the union of its members' tokens, packed in one row. A query (a class) is held against a unit's
+row: their overlap bounds what the query can reach with any member. If the unit has one member, the row is that member and
+the overlap settles the link; else only units whose bound is high enough are opened, that is sent together with the
+queries that qualify, and the members are compared one by one.
+
+Holding every query against every row would be a cross join. Which rows a query meets comes from an index: a
+class cannot be similar to another without sharing some of the tokens of its prefix (rare tokens first, long enough that
+similar sets share several), so only units that share enough of them, by size ranges and counts, meet. Queries of
+one unit go together.
 
 The result is exact: min-hash bands only choose the groups. Classes that leaders' links already hold together (a
-comp) need no comparison, so only links between comps are sought. Tokens of a single comp never leave the
-executors (a Bloom filter of fixed size thins them out before the exact join).
+comp) need no comparison, so only links between comps are sought. Tokens of a single comp are thinned out by a Bloom filter
+before the exact join.
 
 Defined results: null, empty and blank texts have the empty set and link with nothing; texts with fewer words
 than a shingle have one shingle of all words; repeated rows share a component; component ids are the least
@@ -27,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fabriloom.llm import textops as T
-from fabriloom.llm.common import bit_map, mix64, small_batches, stage, BitMap
+from fabriloom.llm.common import BitMap, Seen, bit_map, discard, mix64, small_batches, stage
 from fabriloom.llm.components import connected_components
 
 #: Words in a shingle; least similarity in percent; min-hash bands, hashes in each and
@@ -35,10 +40,9 @@ from fabriloom.llm.components import connected_components
 SHINGLE, PERCENT, BANDS, DEPTH, LEADERS, LOOSE, CHUNK, CHUNK_TOKENS = 5, 75, 8, 3, 3, 50, 64, 1 << 14
 #: A set's prefix is longer by its size / EXTRA, and so many of its tokens must be found in common.
 EXTRA = 10
-#: A token in so many sets of a task is reported; so many of the most frequent tokens are put last in the prefix order.
-REPORT, FREQUENT = 4, 1 << 17
-#: Bits of the Bloom filters.
-BITS = 24
+#: A token in so many of the sets that a task holds at once (about TOKENS tokens) is reported; so many of the most frequent
+#: tokens are put last in the prefix order.
+REPORT, TOKENS, FREQUENT = 4, 1 << 20, 1 << 17
 _SEEDS = np.random.default_rng(55).integers(1, 1 << 63, BANDS * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -72,8 +76,7 @@ def survey(docs: DataFrame) -> DataFrame:
     only where the class first shows in the task; and rows (token, count) of tokens that a task meets often."""
 
     def run(batches):
-        seen: set[int] = set()
-        tokens: list[np.ndarray] = []
+        seen, tokens = Seen(), []
 
         def frequent():
             token, count = np.unique(np.concatenate(tokens), return_counts=True)
@@ -88,13 +91,11 @@ def survey(docs: DataFrame) -> DataFrame:
             klass, n, keys = [None] * size, [0] * size, [None] * size
             for r, own, c in sets(T.column(batch, "text")):
                 klass[r], n[r] = c, len(own)
-                if c not in seen:
-                    if len(seen) < 1_000_000:
-                        seen.add(c)
+                if seen.first(c):
                     keys[r] = bands(own)
                     tokens.append(own)
                     held += len(own)
-                    if held > 4_000_000:
+                    if held > TOKENS:
                         yield frequent()
                         held = 0
             yield _rows(doc_id=T.column(batch, "doc_id").cast(pa.int64()), **{"class": pa.array(klass, pa.int64())}, n=pa.array(n, pa.int64()), bands=pa.array(keys, pa.list_(pa.int64())), token=pa.nulls(size, pa.int64()))
@@ -108,13 +109,11 @@ def members(docs: DataFrame, wanted: BitMap) -> DataFrame:
     """(class, n, tokens): the packed sets of the classes that the filter lets pass, at least once each."""
 
     def run(batches):
-        seen: set[int] = set()
+        seen = Seen()
         for batch in batches:
             out = [[], [], []]
             for _, own, c in sets(T.column(batch, "text")):
-                if c not in seen and wanted.hit(np.array([c], np.int64).view(np.uint64))[0]:
-                    if len(seen) < 1_000_000:
-                        seen.add(c)
+                if wanted.hit(np.array([c], np.int64).view(np.uint64))[0] and seen.first(c):
                     for kept, value in zip(out, (c, len(own), own.tobytes())):
                         kept.append(value)
             yield _rows(**{"class": pa.array(out[0], pa.int64())}, n=pa.array(out[1], pa.int64()), tokens=pa.array(out[2], pa.binary()))
@@ -137,43 +136,47 @@ def prefix(own: np.ndarray, frequent: np.ndarray, counts: np.ndarray, percent: i
     return np.r_[rare, common[order[: size - len(rare)]]]
 
 
-def prefixes(docs: DataFrame, store: DataFrame, starred: BitMap, frequent: np.ndarray, counts: np.ndarray, percent: int, wanted: BitMap | None) -> tuple[DataFrame, DataFrame]:
-    """Two tables (class, n, tokens): the packed prefix of each class, or of it what the filter lets pass. The first has
-    the classes that starred lets pass, which are those of store; the second all others, read from the texts."""
+def prefixes(docs: DataFrame, store: DataFrame, starred: BitMap, frequent: np.ndarray, counts: np.ndarray, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Two tables (class, n, tokens): the packed prefix of each class. The first has the classes that starred lets pass, which
+    are those of store; the second all others, read from the texts."""
 
     def packed(found):
         out = [[], [], []]
         for n, own, c in found:
-            need = prefix(own, frequent, counts, percent)
-            if wanted is not None:
-                need = need[wanted.hit(need)]
-            if len(need):
-                for kept, value in zip(out, (c, n, need.tobytes())):
-                    kept.append(value)
+            for kept, value in zip(out, (c, n, prefix(own, frequent, counts, percent).tobytes())):
+                kept.append(value)
         return _rows(**{"class": pa.array(out[0], pa.int64())}, n=pa.array(out[1], pa.int64()), tokens=pa.array(out[2], pa.binary()))
 
     def stored(batches):
         for batch in batches:
-            own = [np.frombuffer(x, np.uint64) for x in T.column(batch, "tokens").to_pylist()]
+            own = (np.frombuffer(x.as_py(), np.uint64) for x in T.column(batch, "tokens"))
             yield packed(zip(T.column(batch, "n").to_pylist(), own, T.column(batch, "class").to_pylist()))
 
     def others(batches):
-        seen: set[int] = set()
-
-        def new(text):
-            for _, own, c in sets(text):
-                if c not in seen and not starred.hit(np.array([c], np.int64).view(np.uint64))[0]:
-                    if len(seen) < 1_000_000:
-                        seen.add(c)
-                    yield len(own), own, c
-
+        seen = Seen()
         for batch in batches:
-            yield packed(new(T.column(batch, "text")))
+            yield packed((len(own), own, c) for _, own, c in sets(T.column(batch, "text")) if not starred.hit(np.array([c], np.int64).view(np.uint64))[0] and seen.first(c))
 
     schema = "class long, n long, tokens binary"
     return store.select("class", "n", "tokens").mapInArrow(stored, schema), docs.select("text").mapInArrow(others, schema)
 
 
+def unpacked(index: DataFrame, names: list[str], wanted: BitMap | None = None) -> DataFrame:
+    """A row for each token of the packed prefixes, or for those that the filter lets pass."""
+
+    def run(batches):
+        for batch in batches:
+            packed = T.column(batch, "tokens").to_pylist()
+            at = np.repeat(np.arange(len(packed)), np.array([len(x) // 8 for x in packed], np.int64))
+            token = np.frombuffer(b"".join(packed), np.uint64)
+            if wanted is not None:
+                hit = wanted.hit(token)
+                at, token = at[hit], token[hit]
+            yield pa.RecordBatch.from_arrays([*(T.column(batch, n).take(pa.array(at)) for n in names), _longs(token)], names=[*names, "token"])
+
+    return index.select(*names, "tokens").mapInArrow(run, ", ".join(f"{n} long" for n in (*names, "token")))
+
+
 def _shared(left: pa.Array, right: pa.Array) -> list[int]:
     return [len(np.intersect1d(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), assume_unique=True)) for x, y in zip(left, right)]
 
@@ -193,8 +196,9 @@ def close_pairs(pairs: DataFrame, store: DataFrame, percent: int, loose: int) ->
 
 
 def groups_of(close: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(class, comp) of linked classes, comp being what hangs together by links so far; and (class, comp, unit) of all
-    classes of close. A unit is a group, or a part of a large one, of bounded size; a large comp has units of its own."""
+    """(class, comp) of linked classes, comp being what hangs together by links so far; and (class, comp, unit, key) of all
+    classes of close. A unit is a group, or a part of a large one, of bounded size; a large comp has units of its own,
+    and its key for all of them; other units are their own key."""
     comps = stage(connected_components(close.where("linked")).select(F.col("node").alias("class"), F.col("component").alias("comp")), "comps")
     member = close.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(comps, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
     member = stage(member.join(store.select("class", "n"), "class"), "grouped")
@@ -207,16 +211,59 @@ def groups_of(close: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFrame]
     total = own.groupBy("key", "large").agg(F.ceil(F.greatest(F.sum("many") / CHUNK, F.sum("size") / CHUNK_TOKENS)).alias("chunks"))
     own = own.select("comp", "key", "large").join(total, ["key", "large"])
     chunk = F.pmod(F.xxhash64(F.when(F.col("large"), F.col("class")).otherwise(F.col("comp"))), F.col("chunks"))
-    return comps, member.join(own, "comp").select("class", "comp", F.xxhash64("key", "large", chunk).alias("unit"))
+    return comps, member.join(own, "comp").select("class", "comp", F.xxhash64("key", "large", chunk).alias("unit"), "large").withColumn("key", F.when(F.col("large"), F.col("comp")).otherwise(F.col("unit"))).drop("large")
+
+
+def unions(packs: DataFrame) -> DataFrame:
+    """The token-group matrix (unit, many, low, comp, tokens): for each unit the union of its members' tokens, packed, with the
+    number and the least size of the members; comp is that of a single member."""
+
+    def run(batches):
+        for batch in batches:
+            out = {"many": [], "low": [], "comp": [], "tokens": []}
+            for pack in T.column(batch, "pack"):
+                members_ = [(m["comp"].as_py(), np.frombuffer(m["tokens"].as_py(), np.uint64)) for m in pack.values]
+                out["many"].append(len(members_))
+                out["low"].append(min(len(x) for _, x in members_))
+                out["comp"].append(members_[0][0])
+                out["tokens"].append(np.unique(np.concatenate([x for _, x in members_])).tobytes())
+            yield _rows(unit=T.column(batch, "unit"), **{n: pa.array(v, pa.binary() if n == "tokens" else pa.int64()) for n, v in out.items()})
+
+    return packs.select("unit", "pack").mapInArrow(run, "unit long, many long, low long, comp long, tokens binary")
+
+
+def bounded(batches, percent: int):
+    """From rows (unit_a, pack of its members as queries, unit_b with its row of the matrix): links (a, b) of comps where unit_b has one
+    member, and else (unit_a, unit_b, query) of the queries whose overlap with the union lets them be similar to a member."""
+    for batch in batches:
+        out = {n: [] for n in ("a", "b", "query")}
+        columns = [T.column(batch, n) for n in ("unit_a", "unit_b", "many", "low", "comp", "tokens", "pack")]
+        for unit_a, unit_b, many, low, comp, tokens, pack in zip(*(c.to_pylist() for c in columns[:5]), *columns[5:]):
+            union = np.frombuffer(tokens.as_py(), np.uint64)
+            links = set()
+            for m in pack.values:
+                own = np.frombuffer(m["tokens"].as_py(), np.uint64)
+                place = np.searchsorted(union, own)
+                shared = int((union[np.minimum(place, len(union) - 1)] == own).sum())
+                if many == 1:
+                    if shared * 100 >= (len(own) + len(union) - shared) * percent and m["comp"].as_py() != comp:
+                        links.add((m["comp"].as_py(), comp, None))
+                elif shared * 100 >= max(len(own), low) * percent:
+                    links.add((unit_a, unit_b, m["class"].as_py()))
+            for a, b, q in links:
+                for kept, value in zip(out.values(), (a, b, q)):
+                    kept.append(value)
+        yield _rows(**{n: pa.array(v, pa.int64()) for n, v in out.items()})
 
 
 def open_units(batches, percent: int):
-    """Links (a, b) of comps from pairs of packed units: a set of the left unit is held against the token union of the
-    right one, and only where that bound lets it be similar to a member are its overlaps with the members counted."""
+    """Links (a, b) of comps between the members of opened units: the queries (null: all) of the left one against each member
+    of the right one."""
     for batch in batches:
         links: set[tuple[int, int]] = set()
-        for same, left, right in zip(T.column(batch, "same").to_pylist(), T.column(batch, "left"), T.column(batch, "right")):
+        for same, queries, left, right in zip(T.column(batch, "same").to_pylist(), T.column(batch, "queries").to_pylist(), T.column(batch, "left"), T.column(batch, "right")):
             left, right = left.as_py(), right.as_py()
+            queries = None if queries is None else set(queries)
             sets_b = [np.frombuffer(m["tokens"], np.uint64) for m in right]
             n_b = np.array([len(x) for x in sets_b])
             tokens, owner = np.concatenate(sets_b), np.repeat(np.arange(len(right)), n_b)
@@ -224,10 +271,10 @@ def open_units(batches, percent: int):
             tokens, owner = tokens[order], owner[order]
             comp_b, class_b = np.array([m["comp"] for m in right]), np.array([m["class"] for m in right])
             for m in left:
+                if queries is not None and m["class"] not in queries:
+                    continue
                 own = np.frombuffer(m["tokens"], np.uint64)
                 lo, hi = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
-                if int((hi > lo).sum()) * 100 < len(own) * percent:
-                    continue
                 many = hi - lo
                 at = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())
                 shared = np.bincount(owner[at], minlength=len(right))
@@ -236,6 +283,31 @@ def open_units(batches, percent: int):
         yield _rows(a=pa.array([x[0] for x in links], pa.int64()), b=pa.array([x[1] for x in links], pa.int64()))
 
 
+def meetings(postings: DataFrame, percent: int) -> DataFrame:
+    """(unit_a, unit_b) of units of different keys that share enough prefix tokens, by counts and size ranges. The units of one
+    large comp share most tokens but need no comparison, so tokens first bring together keys, and only keys that meet
+    are resolved into units, token by token, from the key that has one unit if there is such."""
+    sides = {x: postings.select("token", *(F.col(n).alias(f"{n}_{x}") for n in ("key", "unit", "low", "high"))) for x in "ab"}
+    keys = {x: df.groupBy("token", f"key_{x}").agg(F.min(f"low_{x}").alias(f"low_{x}"), F.max(f"high_{x}").alias(f"high_{x}")) for x, df in sides.items()}
+    fits = (F.col("high_b") * 100 >= F.col("low_a") * percent) & (F.col("high_a") * 100 >= F.col("low_b") * percent)
+    low = F.least("low_a", "low_b")
+    # prefixes are max(1, n / EXTRA) longer than an overlap of one token would need; the smallest set counts
+    enough = F.col("common") >= F.greatest(F.lit(1), F.floor(F.col("low") / EXTRA))
+    common = keys["a"].join(keys["b"], "token").where(fits & (F.col("key_a") > F.col("key_b"))).groupBy("key_a", "key_b").agg(F.count(F.lit(1)).alias("common"), F.min(low).alias("low"))
+    met = common.where(enough).select("key_a", "key_b")
+    own = postings.groupBy("key").agg(F.min("unit").alias("unit"), F.max("unit").alias("top"))
+    own = stage(own.select("key", F.when(F.col("unit") == F.col("top"), F.col("unit")).alias("unit")), "key-units")
+    for x in "ab":
+        met = met.join(own.select(F.col("key").alias(f"key_{x}"), F.col("unit").alias(f"unit_{x}")), f"key_{x}")
+    met = stage(met, "met")
+    settled = met.where("unit_a is not null and unit_b is not null").select("unit_a", "unit_b")
+    turn = F.col("unit_a").isNull()
+    rest = met.where("unit_a is null or unit_b is null").select(F.when(turn, F.col("key_b")).otherwise(F.col("key_a")).alias("key_a"), F.when(turn, F.col("key_a")).otherwise(F.col("key_b")).alias("key_b"))
+    pairs = rest.join(sides["a"], "key_a").join(sides["b"], ["token", "key_b"]).where(fits)
+    common = pairs.groupBy("unit_a", "unit_b").agg(F.count(F.lit(1)).alias("common"), F.min(low).alias("low"))
+    return settled.union(common.where(enough).select("unit_a", "unit_b"))
+
+
 def class_components(docs: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(class, component): which classes hang together by links; classes without a link to another are left out.
     rows: the staged survey of docs."""
@@ -246,59 +318,52 @@ def class_components(docs: DataFrame, rows: DataFrame, percent: int = PERCENT) -
     leaders = leaders.select("band", F.explode(F.array_distinct(F.array(*(f"leader_{salt}" for salt in range(LEADERS))))).alias("l")).select("band", "l.b", "l.n_b")
     near = (F.col("n") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n") * percent) & (F.col("class") != F.col("b"))
     stars = stage(keys.join(leaders, "band").where(near).select(F.greatest("class", "b").alias("a"), F.least("class", "b").alias("b")).distinct(), "stars")
-    starred = bit_map(stars.select(F.explode(F.array("a", "b"))), BITS)
+    starred = bit_map(stars.select(F.explode(F.array("a", "b"))))
     store = stage(members(docs, starred), "star-sets")
-    comps, units = groups_of(stage(close_pairs(stars, store, percent, LOOSE), "close"), store)
+    close = stage(close_pairs(stars, store, percent, LOOSE), "close")
+    comps, units = groups_of(close, store)
     units = stage(units, "units")
 
     # the order of tokens: those that many sets have come last. Any order gives the same result
     often = rows.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= 8 * REPORT).orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
     token, count = often.column("token").to_numpy().view(np.uint64), often.column("n").to_numpy()
     order = np.argsort(token)
-    frequent, counts = token[order], count[order]
 
     def in_unit(df: DataFrame) -> DataFrame:
-        return df.join(units, "class", "left").withColumns({"comp": F.coalesce("comp", "class"), "unit": F.coalesce("unit", "class")})
-
-    def unpack(names):
-        def run(batches):
-            for batch in batches:
-                packed = T.column(batch, "tokens").to_pylist()
-                many = np.array([len(x) // 8 for x in packed], np.int64)
-                at = pa.array(np.repeat(np.arange(len(packed)), many))
-                yield pa.RecordBatch.from_arrays([*(T.column(batch, n).take(at) for n in names), _longs(np.frombuffer(b"".join(packed), np.uint64))], names=[*names, "token"])
-
-        return run, ", ".join(f"{n} long" for n in (*names, "token"))
-
-    def sought(wanted):
-        # only classes of store can be in units; all others are units of their own and need no look-up
-        known, others = prefixes(docs, store, starred, frequent, counts, percent, wanted)
-        return in_unit(known).select("unit", "comp", "n", "tokens").union(others.select(F.col("class").alias("unit"), F.col("class").alias("comp"), "n", "tokens"))
-
-    every = sought(None).mapInArrow(*unpack(["comp"]))
-    contested = stage(every.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("token"), "contested")
-    asked = sought(bit_map(contested, BITS)).mapInArrow(*unpack(["unit", "comp", "n"]))
-
-    # the matrix: which token stands in which unit, with the sizes and comps of the members that have it
-    matrix = asked.groupBy("token", "unit").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("first"), F.max("comp").alias("last"))
-    matrix = stage(matrix.join(contested, "token", "left_semi"), "matrix")
-    q, g = (matrix.select("token", *(F.col(n).alias(f"{n}_{x}") for n in ("unit", "low", "high", "first", "last"))) for x in "ab")
-    fits = (F.col("unit_a") > F.col("unit_b")) & (F.col("high_b") * 100 >= F.col("low_a") * percent) & (F.col("high_a") * 100 >= F.col("low_b") * percent)
-    apart = (F.least("first_a", "first_b") < F.greatest("last_a", "last_b"))
-    # prefixes are max(1, n / EXTRA) longer than an overlap of one token would need; the smallest set counts
-    common = q.join(g, "token").where(fits & apart).groupBy("unit_a", "unit_b").agg(F.count(F.lit(1)).alias("common"), F.min(F.least("low_a", "low_b")).alias("low"))
-    hit = common.where(F.col("common") >= F.greatest(F.lit(1), F.floor(F.col("low") / EXTRA))).select("unit_a", "unit_b")
+        return df.join(units, "class", "left").withColumns({n: F.coalesce(n, "class") for n in ("comp", "unit", "key")})
+
+    # only classes of store can be in units; all others are units of their own and need no look-up
+    known, others = prefixes(docs, store, starred, token[order], count[order], percent)
+    index = in_unit(known).select("unit", "comp", "key", "n", "tokens").union(others.select(*(F.col("class").alias(n) for n in ("unit", "comp", "key")), "n", "tokens"))
+    index = stage(index, "prefixes")
+    discard(stars, close, store)
+    contested = stage(unpacked(index, ["comp"]).groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("token"), "contested")
+    asked = unpacked(index, ["unit", "key", "n"], bit_map(contested))
+    postings = asked.groupBy("token", "unit", "key").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    postings = stage(postings.join(contested, "token", "left_semi"), "postings")
+    discard(index, contested)
     mixed = units.groupBy("unit").agg(F.min("comp").alias("first"), F.max("comp").alias("last")).where("first < last").select(F.col("unit").alias("unit_a"), F.col("unit").alias("unit_b"))
-    hit = stage(hit.union(mixed), "hit")
+    hit = stage(meetings(postings, percent).union(mixed), "hit")
 
-    # opened units are packed, a row for each, and held against one another in the tasks
+    # the members of the units that meet, a row for each unit, and their unions
     opened = stage(hit.select(F.explode(F.array("unit_a", "unit_b")).alias("unit")).distinct(), "opened")
-    wanted = bit_map(units.join(opened, "unit", "left_semi").select("class").union(opened.select(F.col("unit").alias("class"))), BITS)
+    wanted = bit_map(units.join(opened, "unit", "left_semi").select("class").union(opened.select(F.col("unit").alias("class"))))
     packs = in_unit(members(docs, wanted)).join(opened, "unit", "left_semi").groupBy("unit").agg(F.collect_list(F.struct("class", "comp", "tokens")).alias("pack"))
     packs = stage(packs, "packs")
-    pairs = hit.join(packs.select(F.col("unit").alias("unit_a"), F.col("pack").alias("left")), "unit_a").join(packs.select(F.col("unit").alias("unit_b"), F.col("pack").alias("right")), "unit_b")
-    between = pairs.select((F.col("unit_a") == F.col("unit_b")).alias("same"), "left", "right").mapInArrow(lambda batches: open_units(batches, percent), "a long, b long")
-    joined = stage(connected_components(between).select(F.col("node").alias("comp"), "component"), "joined")
+    matrix = stage(unions(packs), "matrix")
+    # the unit with fewer members is the group, that with more the queries
+    sizes = matrix.select("unit", "many")
+    for x in "ab":
+        hit = hit.join(sizes.select(F.col("unit").alias(f"unit_{x}"), F.col("many").alias(f"many_{x}")), f"unit_{x}")
+    turn = F.col("many_a") < F.col("many_b")
+    hit = hit.select(F.when(turn, F.col("unit_b")).otherwise(F.col("unit_a")).alias("unit_a"), F.when(turn, F.col("unit_a")).otherwise(F.col("unit_b")).alias("unit_b"))
+    held = hit.where("unit_a <> unit_b").join(packs.select(F.col("unit").alias("unit_a"), "pack"), "unit_a").join(matrix.withColumnRenamed("unit", "unit_b"), "unit_b")
+    held = stage(held.select("unit_a", "unit_b", "many", "low", "comp", "tokens", "pack").mapInArrow(lambda batches: bounded(batches, percent), "a long, b long, query long"), "held")
+    qualified = held.where("query is not null").groupBy(F.col("a").alias("unit_a"), F.col("b").alias("unit_b")).agg(F.collect_set("query").alias("queries"))
+    qualified = qualified.union(hit.where("unit_a = unit_b").select("unit_a", "unit_b", F.lit(None).cast("array<long>")))
+    pairs = qualified.join(packs.select(F.col("unit").alias("unit_a"), F.col("pack").alias("left")), "unit_a").join(packs.select(F.col("unit").alias("unit_b"), F.col("pack").alias("right")), "unit_b")
+    between = pairs.select((F.col("unit_a") == F.col("unit_b")).alias("same"), "queries", "left", "right").mapInArrow(lambda batches: open_units(batches, percent), "a long, b long")
+    joined = connected_components(between.union(held.where("query is null").select("a", "b"))).select(F.col("node").alias("comp"), "component")
     linked = comps.join(joined, "comp", "left").select("class", F.coalesce("component", "comp").alias("component"))
     return linked.union(joined.join(comps.select(F.col("class").alias("comp")), "comp", "left_anti").select(F.col("comp").alias("class"), "component"))
 
