@@ -3,8 +3,8 @@
 A document is a bag of passages of 32 words. Each passage is encoded as the frequencies of its byte classes and
 of pairs of neighbouring classes, its mean word length, and how much its words repeat. Gated attention
 (softmax of w . (tanh(V h) * sigmoid(U h))) weighs the passages; the weighted representation goes through a
-logistic layer. Encoder scale, attention and output are trained in numpy on document labels only, from a bounded
-sample of labelled rows.
+logistic layer. The encoder is fixed and standardised by the sample's mean and deviation; attention and output are trained in
+numpy on document labels only, from a bounded sample of labelled rows.
 
 Defined results: a null or empty text, or one of blanks only, is one passage of zeros; with no labelled row every
 score is 0.5, with a single class in the labels the model learns that; a null doc_id counts as held out; repeated
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fabriloom.llm import textops as T
-from fabriloom.llm.common import held_out, label_sample, small_batches
+from fabriloom.llm.common import held_out, label_sample, sample_texts, small_batches
 
 #: Words in a passage, size of the attention layer, labelled rows of each class to learn from.
 PASSAGE, HIDDEN, PER_CLASS = 32, 16, 1500
@@ -121,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict:
     """The model of a sample of about per_class labelled rows of each class, none of them held out."""
     usable = labels.select("doc_id", F.col("quality").alias("label")).where(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id"), 4, 2))
     chosen = label_sample(usable, "label", per_class)
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull()).orderBy("doc_id", "label").toArrow()
+    got = sample_texts(docs, chosen, "label")
     return train(got.column("text").cast(pa.large_string()).combine_chunks(), got.column("label").to_numpy())
 
 

@@ -8,8 +8,9 @@ linear, an embedding enters a score only as its dot product with the softmax wei
 executors look up. A misspelling nobody has seen shares most n-grams with the word that it comes from.
 
 Defined results: a null or empty text, or one without a word, has no passage and gets the score of the bias
-alone; without a labelled row of each class every score is 0; a null doc_id counts as held out; repeated rows are
-scored each; extra columns are ignored. Very long texts are scored whole, in blocks of their own.
+alone; without a labelled row of each class every score is 0; if the sample's documents share no subword, every score is
+the share of toxic ones among them; a null doc_id counts as held out; repeated rows are scored each; extra columns
+are ignored by score() and kept by reject(). Very long texts are scored whole, in blocks of their own.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fabriloom.llm import textops as T
-from fabriloom.llm.common import held_out, label_sample, small_batches
+from fabriloom.llm.common import held_out, label_sample, sample_texts, small_batches
 
 #: log2 of the number of embeddings; their size; words in a passage; about so many toxic and clean labelled rows to
 #: learn from.
@@ -42,12 +43,12 @@ def _subwords(data: np.ndarray, offsets: np.ndarray, bits: int):
     start, end, row = T.word_bounds(s, at, T.ALNUM)
     letters = np.r_[0, np.cumsum(s != 32)]
     grams, packed = [], s.astype(np.uint64)
-    for n in range(2, max(GRAMS) + 1):
+    for n in range(2, min(max(GRAMS), len(s)) + 1):
         packed = packed[: len(s) - n + 1] | (s[n - 1 :].astype(np.uint64) << np.uint64(8 * n - 8))
         if n in _MULTIPLY:
             i = np.flatnonzero(letters[n - 1 : len(s)] - letters[1 : len(s) - n + 2] == n - 2)
             grams.append((i, ((packed[i] * _MULTIPLY[n]) >> np.uint64(64 - bits)).astype(np.int64)))
-    whole = T.span_hashes(T.prefix_hashes(s), start, end) >> np.uint64(64 - bits)
+    whole = T.Prefix(s).spans(start, end) >> np.uint64(64 - bits)
     return grams, start, end, row, whole.astype(np.int64), len(s)
 
 
@@ -92,10 +93,12 @@ def train(texts: pa.Array, labels: np.ndarray, bits: int = BITS, rounds: int = 4
     """Embeddings and softmax by gradient steps on the whole sample at once; returns each embedding's softmax value."""
     labels = np.asarray(labels, np.float64)
     if not len(labels) or labels.min() == labels.max():
-        return {"values": np.zeros(1 << bits, np.float32), "bias": -50.0, "bits": bits}
+        return {"values": np.zeros(1 << bits, np.float32), "bias": -np.inf, "bits": bits}
     bucket, passage, rows, n_passages, n_rows, docs_with = [], [], [], 0, len(labels), np.zeros(1 << bits, np.int64)
     for lo, _, data, offsets in T.blocks(texts):
         grams, start, end, row, whole, n = _subwords(data, offsets, bits)
+        if not len(row):
+            continue
         first, passage_row = _passages(row)
         of_word = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(row)])) + n_passages
         word_at = np.zeros(n + 1, np.int64)
@@ -108,10 +111,13 @@ def train(texts: pa.Array, labels: np.ndarray, bits: int = BITS, rounds: int = 4
         passage.append(at.astype(np.int32))
         rows.append(passage_row + lo)
         n_passages += len(first)
-    bucket, passage, rows = np.concatenate(bucket), np.concatenate(passage), np.concatenate(rows)
+    bucket, passage, rows = (np.concatenate([np.zeros(0, x[0].dtype if x else np.int32), *x]) for x in (bucket, passage, rows))
     size = np.bincount(passage, minlength=n_passages).astype(np.float64)
     # subwords of few documents can only memorise wrong labels; they keep the value 0 and count in the averages
     used = np.flatnonzero(docs_with >= max(2, least_share * len(labels)))
+    if not len(used):
+        share = labels.mean()
+        return {"values": np.zeros(1 << bits, np.float32), "bias": float(np.log(share / (1 - share))), "bits": bits, "flat": True}
     place = np.full(1 << bits, -1, np.int32)
     place[used] = np.arange(len(used))
     kept = place[bucket] >= 0
@@ -148,18 +154,18 @@ def train(texts: pa.Array, labels: np.ndarray, bits: int = BITS, rounds: int = 4
 
 
 def scores(texts: pa.Array, model: dict) -> np.ndarray:
-    out = np.zeros(len(texts))
-    for lo, hi, data, offsets in T.blocks(texts):
+    out = np.full(len(texts), model["bias"])
+    for lo, hi, data, offsets in T.blocks(texts) if not model.get("flat") and np.isfinite(model["bias"]) else ():
         total, count, rows = passage_sums(data, offsets, model["values"], model["bits"])
-        out[lo:hi] = 1 / (1 + np.exp(-np.clip(pooled(total / count + model["bias"], rows, hi - lo, model["bias"]), -50, 50)))
-    return out
+        out[lo:hi] = pooled(total / count + model["bias"], rows, hi - lo, model["bias"])
+    return np.where(np.isneginf(out), 0.0, 1 / (1 + np.exp(-np.clip(out, -50, 50))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN) -> dict:
     """The model of a sample of about so many toxic and clean labelled rows, none of them held out."""
     usable = labels.select("doc_id", F.col("toxic").alias("label")).where(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id"), 5, 0))
     chosen = label_sample(usable.where("label = 1"), "label", toxic).union(label_sample(usable.where("label = 0"), "label", clean))
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull()).orderBy("doc_id", "label").toArrow()
+    got = sample_texts(docs, chosen, "label")
     return train(got.column("text").cast(pa.large_string()).combine_chunks(), got.column("label").to_numpy())
 
 
