@@ -1,7 +1,9 @@
 """Language identification by error-correcting output codes.
 
-Every learned language gets a binary codeword; for each bit a logistic classifier over hashed 1- to 4-byte
-n-grams learns whether the language of a text has that bit. A text is decoded to the language whose codeword has the
+Every learned language gets a binary codeword, any two of them at least three bits apart, so that one wrong bit is
+corrected; for each bit a logistic classifier over hashed 1- to 4-byte n-grams learns whether the language of a text has
+that bit. Two or three languages don't have so many different bits: there a bit is asked several times, each time of a
+classifier that sees other n-grams (as do all: each a random three quarters of them), so that they err apart. A text is decoded to the language whose codeword has the
 least loss against the margins of all bits, each bit weighted by how well it did in training. When the runner-up
 is nearly as close, the answer is flagged as ambiguous.
 
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fabriloom.llm import textops as T
-from fabriloom.llm.common import held_out, label_sample, small_batches
+from fabriloom.llm.common import held_out, label_sample, sample_texts, small_batches
 
 #: log2 of the n-gram buckets, labelled texts of each language to learn from, largest margin gap called ambiguous.
 BITS, PER_LANGUAGE, AMBIGUOUS = 12, 600, 0.1
@@ -28,13 +30,23 @@ _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 
-def codewords(n: int) -> np.ndarray:
-    """n rows of -1/+1, no two alike or nearly so: distinct rows of a Hadamard matrix without its constant column,
-    so that any two languages differ in half of the bits."""
-    h = np.ones((1, 1), int)
-    while len(h) < max(n, 8):
-        h = np.block([[h, h], [h, -h]])
-    return h[:n, 1:]
+def codewords(n: int, longest: int = 15, draws: int = 200, seed: int = 11) -> np.ndarray:
+    """n rows of -1/+1. Up to seven languages have all ways to split them in two (the exhaustive code), or the best draw of
+    `longest` of them; more have the best draw of random columns. Columns repeat only where there are under 6 different ones."""
+    if n < 2:
+        return np.ones((n, 1), int)
+    rng = np.random.default_rng(seed)
+    every = np.array([[1 if (k >> r) & 1 else -1 for r in range(n)] for k in range(1, 1 << (n - 1))]).T if n <= 7 else None
+    if every is not None and every.shape[1] <= longest:
+        return np.tile(every, (1, -(-6 // every.shape[1])))
+    size = longest if n <= 7 else max(longest, 5 * (n - 1).bit_length())
+    best, least = None, -1
+    for _ in range(draws):
+        code = every[:, rng.choice(every.shape[1], size, replace=False)] if n <= 7 else rng.choice((-1, 1), (n, size))
+        apart = min(int((code[i] != code[j]).sum()) for i in range(n) for j in range(i))
+        if apart > least and (np.abs(code.sum(0)) < n).all():
+            best, least = code, apart
+    return best
 
 
 def histograms(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -57,20 +69,20 @@ def histograms(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> np.nd
 
 def train(texts: pa.Array, langs: list[str], bits: int = BITS, rounds: int = 150) -> dict:
     names = sorted(set(langs))
-    code = codewords(len(names))
-    code = code[:, [len(set(c)) > 1 or len(names) == 1 for c in code.T]]
     if not names:
         return {"names": [], "bits": bits}
+    code = codewords(len(names))
     x = np.concatenate([histograms(data, offsets, bits) for _, _, data, offsets in T.blocks(texts)])
     place = np.array([names.index(v) for v in langs])
     y = code[place]
     weight = 1 / np.bincount(place, minlength=len(names))[place]
     weight /= weight.sum()
     w, b = np.zeros((x.shape[1], code.shape[1])), np.zeros(code.shape[1])
+    sees = np.random.default_rng(13).random(w.shape) < 0.75
     v_w, v_b = np.zeros_like(w), np.zeros_like(b)
     for _ in range(rounds):
         slope = -y / (1 + np.exp(np.clip(y * (x @ w + b), -50, 50))) * weight[:, None]
-        v_w = 0.9 * v_w - 4.0 * (x.T @ slope + 1e-5 * w)
+        v_w = 0.9 * v_w - 4.0 * (x.T @ slope + 1e-5 * w) * sees
         v_b = 0.9 * v_b - 1.0 * slope.sum(0)
         w, b = w + v_w, b + v_b
     right = ((np.sign(x @ w + b) == y) * weight[:, None]).sum(0)
@@ -78,16 +90,21 @@ def train(texts: pa.Array, langs: list[str], bits: int = BITS, rounds: int = 150
     return {"names": names, "bits": bits, "w": w.astype(np.float32), "b": b, "code": code, "trust": trust / trust.sum()}
 
 
+def decode(margin: np.ndarray, model: dict) -> np.ndarray:
+    """Each language's share of the answer, for margins (a row for each text, a column for each bit): the less loss of its
+    codeword, weighted by how far each bit is trusted, the more."""
+    loss = (np.log1p(np.exp(-np.clip(margin[:, None, :] * model["code"][None], -50, 50))) * model["trust"]).sum(2)
+    p = np.exp(-4 * (loss - loss.min(1, keepdims=True)))
+    return p / p.sum(1, keepdims=True)
+
+
 def predict(texts: pa.Array, model: dict) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(language, score, ambiguous) of each text."""
     langs, score, ambiguous = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
     if not model["names"]:
         return langs, score, ambiguous
     for lo, _, data, offsets in T.blocks(texts, 1 << 18):
-        margin = histograms(data, offsets, model["bits"]) @ model["w"] + model["b"]
-        loss = (np.log1p(np.exp(-np.clip(margin[:, None, :] * model["code"][None], -50, 50))) * model["trust"]).sum(2)
-        p = np.exp(-4 * (loss - loss.min(1, keepdims=True)))
-        p /= p.sum(1, keepdims=True)
+        p = decode(histograms(data, offsets, model["bits"]) @ model["w"] + model["b"], model)
         near = np.sort(p, 1)
         letters = np.r_[0, np.cumsum(_ASCII_LETTER[data])][offsets]
         for i, best in enumerate(p.argmax(1)):
@@ -99,9 +116,10 @@ def predict(texts: pa.Array, model: dict) -> tuple[list[str], np.ndarray, np.nda
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
-    """The model of about per_language texts of each language, none of them held out."""
+    """The model of about per_language texts of each language (of very many languages, the most frequent), none of them held
+    out. Texts are whole; of the drawn ones as many are taken, in the order of a hash, as sample_texts() has bytes for."""
     usable = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), 4, 2))
-    got = label_sample(usable, "lang", per_language).orderBy("doc_id", "text").toArrow()
+    got = sample_texts(usable, label_sample(usable, "lang", per_language).select("doc_id", "lang").distinct(), "lang", ("doc_id", "lang"))
     return train(got.column("text").cast(pa.large_string()).combine_chunks(), got.column("lang").to_pylist())
 
 
