@@ -11,7 +11,7 @@ each document weighted by its tokens, so documents of equal posteriors get equal
 Defined results: null and wordless texts have 0 tokens and prior posteriors; a document without tokens
 keeps the rate that its posteriors give; without any labelled row all posteriors are equal; a domain that no document
 may belong to gets no tokens, and the fit is then the nearest one; repeated rows each count; rows with a null
-doc_id are kept; extra columns are kept by mix().
+doc_id are kept; extra columns are kept by mix(), which goes by text and so serves null and repeated ids alike.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fabriloom.llm.common import label_sample, stage
+from fabriloom.llm.common import fresh, label_sample, stage
 from fabriloom.llm.native_text import plain, words_of
 
 #: The domains, and the share of tokens that each shall have.
@@ -69,13 +69,13 @@ def softmax(scores: list[Column]) -> Column:
 def score(docs: DataFrame, priors: dict[str, float], table: DataFrame, domains: list[str], bits: int = BITS) -> DataFrame:
     """(doc_id, n_tokens, p) of each row of docs (doc_id, text): its number of words and its posteriors."""
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), buckets(F.col("text"), bits).alias("words"))
-    each = rows.select("row", F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("doc_id").isNull().alias("no_id"), F.explode_outer("words").alias("bucket"))
+    each = rows.select("row", "doc_id", F.explode_outer("words").alias("bucket"))
     # the table has 2^bits rows at most, and so may be broadcast
     scored = each.join(F.broadcast(table), "bucket", "left")
     unseen = {d: F.lit(float(-math.log(2.0**bits))) for d in domains}
-    total = scored.groupBy("row", "id", "no_id").agg(F.count("bucket").alias("n_tokens"), *(F.sum(F.when(F.col("bucket").isNotNull(), F.coalesce(d, unseen[d]))).alias(d) for d in domains))
+    total = scored.groupBy("row", "doc_id").agg(F.count("bucket").alias("n_tokens"), *(F.sum(F.when(F.col("bucket").isNotNull(), F.coalesce(d, unseen[d]))).alias(d) for d in domains))
     evidence = [F.coalesce(F.col(d), F.lit(0.0)) / F.sqrt(F.greatest(F.col("n_tokens"), F.lit(1)).cast("double")) + F.lit(priors[d]) for d in domains]
-    return total.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "n_tokens", softmax(evidence).alias("p"))
+    return total.select("doc_id", "n_tokens", softmax(evidence).alias("p"))
 
 
 def rate_of(p: Column, steps: list[list[float]]) -> Column:
@@ -147,13 +147,19 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """docs with n_tokens, one posterior column p_<domain> for each domain, and rate. No row is dropped; rows of one
-    doc_id share the mean of their rates. Columns of docs with these names are replaced."""
-    found, domains = rates(docs, labels, targets)
+    """docs with n_tokens, one posterior column p_<domain> for each domain, and rate. No row is dropped: equal texts have equal
+    posteriors, so each row takes those of its text, whatever its id. Columns of docs with the new names are replaced; all
+    others stay, whatever their names."""
+    targets = TARGETS if targets is None else targets
+    domains = list(targets)
     new = ["n_tokens", *(f"p_{d}" for d in domains), "rate"]
-    by_id = found.groupBy(F.coalesce("doc_id", F.lit(-1)).alias("mix_id"), F.col("doc_id").isNull().alias("mix_null")).agg(F.max("n_tokens").alias("n_tokens"), *(F.avg(F.get("p", i)).alias(f"p_{d}") for i, d in enumerate(domains)), F.avg("rate").alias("rate"))
-    rows = docs.select(*(c for c in docs.columns if c not in new)).withColumns({"mix_id": F.coalesce("doc_id", F.lit(-1)), "mix_null": F.col("doc_id").isNull()})
-    return rows.join(by_id, ["mix_id", "mix_null"], "left").drop("mix_id", "mix_null")
+    kept = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in new))
+    key, of = fresh("text_key", docs), F.coalesce(F.md5("text"), F.lit(""))
+    priors, table = learn(docs, labels, domains)
+    scored = stage(score(docs.select(of.alias("doc_id"), "text"), priors, table, domains), "posteriors")
+    found = scored.dropDuplicates(["doc_id"]).withColumn("rate", rate_of(F.col("p"), fit(scored, targets)))
+    found = found.select(F.col("doc_id").alias(key), "n_tokens", *(F.get("p", i).alias(f"p_{d}") for i, d in enumerate(domains)), "rate")
+    return kept.withColumn(key, of).join(found, key, "left").drop(key)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
