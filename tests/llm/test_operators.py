@@ -78,27 +78,32 @@ def test_jaccard_join(docs, empty):
     assert jaccard_join.components(empty).count() == 0
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
-def test_suffix_dedup(docs, empty, hot, monkeypatch):
+@pytest.mark.parametrize(("hot", "piece"), [(2000, 1 << 22), (2, 1000)])
+def test_suffix_dedup(docs, empty, hot, piece, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     rows = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.select("doc_id", "text").collect()]
     n = {}
     for _, t in rows:
         for k in range(len(t) - 199):
             n[t[k : k + 200]] = n.get(t[k : k + 200], 0) + 1
-    want = {}
+    want, runs = {}, {}
     for i, t in rows:
-        gone = np.zeros(len(t), bool)
+        gone = np.zeros(len(t) + 1, bool)
         for k in range(len(t) - 199):
             if n[t[k : k + 200]] > 1:
                 gone[k : k + 200] = True
+        runs[i], gone = int((gone[1:] < gone[:-1]).sum()), gone[:-1]
         want[i] = bytes(np.frombuffer(t, np.uint8)[~gone])
-    joined = suffix_dedup.join_spans(*suffix_dedup.with_spans(docs)).collect()
-    assert len(joined) == docs.count()
-    for r in joined:
-        assert suffix_dedup.kept_bytes((r["text"] or "").encode(), r["spans"]) == want[r["doc_id"]]
+    got = suffix_dedup.removed(docs, piece=piece).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        t, kept = dict(rows)[r["doc_id"]], want[r["doc_id"]]
+        assert (r["n_bytes"], r["n_removed"], r["kept_sha256"]) == (len(t), len(t) - len(kept), hashlib.sha256(kept).hexdigest())
+        assert r["n_spans"] == runs[r["doc_id"]]
     if hot > 2:
-        assert suffix_dedup.remove_repeats(empty).count() == 0
+        assert suffix_dedup.remove_repeats(empty).count() == suffix_dedup.removed(empty).count() == 0
+        clash = docs.withColumns({c: F.lit(c) for c in ("spans", "text_key", "maybe", "phrase", "rows")})
+        assert suffix_dedup.remove_repeats(clash).columns == clash.columns and suffix_dedup.remove_repeats(clash).where("spans = 'spans' and text_key = 'text_key'").count() == docs.count()
         assert {r["doc_id"]: r["text"] or "" for r in suffix_dedup.remove_repeats(docs).collect()} == {i: t.decode("utf-8", "ignore") for i, t in want.items()}
 
 
