@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fabriloom.llm import decontamination, jaccard_join, mixing, suffix_dedup, toxicity
-from fabriloom.llm.common import small_batches, stage
+from fabriloom.llm.common import fresh, small_batches, stage
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,11 +27,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     gone = found.where("class is not null and doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti")
     # rows of one doc_id are one document; the first of them by text stays, rows without an id or words all do
-    repeats = kept.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("text").alias("first")).where("rows > 1").select("doc_id", "first")
+    rows, first = fresh("rows", docs), fresh("first", docs)
+    repeats = kept.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias(rows), F.min("text").alias(first)).where(F.col(rows) > 1).select("doc_id", first)
     if repeats.isEmpty():
         return kept.select(*docs.columns)
     single = kept.join(repeats, "doc_id", "left_anti").select(*docs.columns)
-    several = kept.join(repeats, "doc_id").where("text <=> first").select(*docs.columns).dropDuplicates(["doc_id"])
+    several = kept.join(repeats, "doc_id").where(F.col("text").eqNullSafe(F.col(first))).select(*docs.columns).dropDuplicates(["doc_id"])
     return single.unionByName(several)
 
 
