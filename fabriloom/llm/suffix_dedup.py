@@ -205,8 +205,10 @@ def compare_hot(rows: DataFrame, length: int = LENGTH) -> DataFrame:
 
     each = rows.mapInArrow(run, "suffix long, phrase long, place long")
     common = each.groupBy("suffix").agg(F.min("phrase").alias("p"), F.max("phrase").alias("q")).where("p < q").select("suffix")
-    places = each.join(common, "suffix", "left_semi").select("phrase", "place").distinct()
-    return places.select("phrase", F.col("place").alias("a"), F.col("place").alias("z"))
+    # neighbouring places of a phrase, of which there are at most as many as a phrase has bytes, become runs
+    places = each.join(common, "suffix", "left_semi").groupBy("phrase").agg(F.collect_set("place").alias("p"))
+    first, last = (F.array_sort(F.filter("p", lone)) for lone in (lambda x: ~F.array_contains("p", x - 1), lambda x: ~F.array_contains("p", x + 1)))
+    return places.select("phrase", first.alias("a"), last.alias("z")).select("phrase", F.explode(F.arrays_zip("a", "z")).alias("r")).select("phrase", "r.a", "r.z")
 
 
 def parse(docs: DataFrame, wanted: BitMap, length: int = LENGTH, piece: int = PIECE) -> DataFrame:
