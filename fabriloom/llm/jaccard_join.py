@@ -375,7 +375,8 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     own = rows.where("token is null").select("doc_id", F.col("n").alias("n_shingles"), "class")
     # empty sets get keys of their own, so that they neither meet nor fill one task
     named = own.join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    least = named.where("class is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # written, so that the join is of two tables and Spark can split a component with very many rows
+    least = stage(named.where("class is not null").groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
     key = F.coalesce("component", F.xxhash64("doc_id"))
     joined = named.withColumn("key", key).join(least.withColumnRenamed("component", "key"), "key", "left")
     return joined.select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "class")
