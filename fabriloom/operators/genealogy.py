@@ -23,10 +23,16 @@ def lot_genealogy(t: Tables, flags: DataFrame) -> DataFrame:
     """One nested row for each lot: wafers, each with its yields and measurements, these with step and flags. Arrays
     hold one lot, wafer or point, and are sorted by key."""
     f = flags.groupBy("measurement_id").agg(F.sort_array(F.collect_list("rule_violated")).alias("flags"))
-    steps = F.broadcast(t["process_steps"].select("step_id", "step_name"))
+    steps = t["process_steps"].select("step_id", "step_name")
     m = t["measurements"].join(steps, "step_id", "left").join(f, "measurement_id", "left")
     m = m.groupBy("wafer_id").agg(F.sort_array(F.collect_list(F.struct("measurement_id", "step_name", "parameter", "value", "timestamp", F.coalesce("flags", F.array().cast("array<string>")).alias("flags")))).alias("measurements"))
     y = t["yield_records"].groupBy("wafer_id").agg(F.sort_array(F.collect_list(F.struct("record_id", "die_count", "pass_count", "yield_pct", "defect_density"))).alias("yields"))
     w = t["wafers"].join(m, "wafer_id", "left").join(y, "wafer_id", "left")
     w = w.groupBy("lot_id").agg(F.sort_array(F.collect_list(F.struct("wafer_id", "wafer_number", "status", "measurements", "yields"))).alias("wafers"))
     return t["lots"].join(w, "lot_id", "left")
+
+
+def lot_genealogy_points(t: Tables, flags: DataFrame) -> DataFrame:
+    """The measurements of lot_genealogy(), a row for each: lot, wafer, step, value and the rules it violates, comma-joined."""
+    w = lot_genealogy(t, flags).select("lot_id", F.explode("wafers").alias("w")).select("lot_id", "w.wafer_id", "w.wafer_number", F.explode("w.measurements").alias("m"))
+    return w.select("lot_id", "wafer_id", "wafer_number", "m.measurement_id", "m.step_name", "m.parameter", "m.value", F.array_join("m.flags", ",").alias("flags"))

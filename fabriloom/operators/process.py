@@ -30,14 +30,14 @@ def lot_lookup(t: Tables, lot_id: int) -> DataFrame:
 
 def measured_steps(t: Tables) -> DataFrame:
     seen = t["measurements"].select("step_id", "parameter").distinct()
-    return seen.join(F.broadcast(t["process_steps"]), "step_id").select("step_id", F.format_string("%s (%s)", "step_name", "tool_id").alias("label"), "parameter").orderBy("step_id", "parameter")
+    return seen.join(t["process_steps"], "step_id").select("step_id", F.format_string("%s (%s)", "step_name", "tool_id").alias("label"), "parameter").orderBy("step_id", "parameter")
 
 
 def process_step_stats(t: Tables, step_id: int | None = None) -> DataFrame:
     """Count, mean and population variance of each series, and the standard deviation of the rounded variance."""
     rows = t["measurements"] if step_id is None else t["measurements"].where(F.col("step_id") == F.lit(step_id))
     stats = rows.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("value"), 4).alias("mean_value"), rounded(F.var_pop("value"), 6).alias("variance"))
-    named = stats.join(F.broadcast(t["process_steps"]), "step_id")
+    named = stats.join(t["process_steps"], "step_id")
     return named.select("step_id", "step_name", "tool_id", "sequence_order", "parameter", "n", "mean_value", "variance", rounded(F.sqrt(F.greatest("variance", F.lit(0.0))), 6).alias("std_dev")).orderBy("sequence_order", "parameter", "step_id")
 
 
@@ -58,7 +58,7 @@ def control_limits(t: Tables, k: float = 3.0) -> DataFrame:
 def wafer_outlier_counts(t: Tables, key: tuple[str, ...] = ("parameter",), z: float = 3.0) -> DataFrame:
     """Measurements of a wafer beyond z standard deviations of their key (the parameter's name, over all steps)."""
     stats = t["measurements"].groupBy(*key).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
-    scored = t["measurements"].join(F.broadcast(stats), list(key))
+    scored = t["measurements"].join(stats, list(key))
     sd = F.when(F.coalesce("sd", F.lit(0.0)) == 0, F.lit(1.0)).otherwise(F.col("sd"))
     return scored.where(F.abs((F.col("value") - F.col("mean")) / sd) > z).groupBy("wafer_id").agg(F.count(F.lit(1)).alias("outliers"))
 
@@ -69,4 +69,4 @@ def parameter_histogram(t: Tables, step_id: int, bins: int = 30) -> DataFrame:
     bounds = rows.groupBy("parameter").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     width = F.col("hi") - F.col("lo")
     place = F.when(width > 0, F.least(F.floor((F.col("value") - F.col("lo")) / F.when(width > 0, width) * bins), F.lit(bins - 1))).otherwise(F.lit(0))
-    return rows.join(F.broadcast(bounds), "parameter").groupBy("parameter", place.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n")).orderBy("parameter", "bin")
+    return rows.join(bounds, "parameter").groupBy("parameter", place.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n")).orderBy("parameter", "bin")

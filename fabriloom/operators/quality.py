@@ -1,4 +1,4 @@
-"""Data-quality checks; each returns its findings as rows."""
+"""Data-quality checks; each returns its findings as rows. Tables that aren't given (such as the flags) are left out."""
 
 from __future__ import annotations
 
@@ -34,6 +34,8 @@ def orphans(tables: Tables) -> DataFrame:
     """(edge, key, n): child rows whose parent is missing."""
     parts = []
     for child, column, parent, key in REFERENCES:
+        if child not in tables or parent not in tables:
+            continue
         keys = tables[parent].select(F.col(key).alias("parent_key"))
         lost = tables[child].join(keys, F.col(column) == F.col("parent_key"), "left_anti").where(F.col(column).isNotNull())
         parts.append(lost.groupBy(F.col(column).cast("long").alias("key")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(f"{child}.{column}").alias("edge"), "key", "n"))
@@ -43,7 +45,7 @@ def orphans(tables: Tables) -> DataFrame:
 def long_strings(tables: Tables) -> DataFrame:
     """(table_name, column_name, too_long) of every text column with a declared width."""
     parts = []
-    for t, widths in WIDTHS.items():
+    for t, widths in ((t, w) for t, w in WIDTHS.items() if t in tables):
         sums = tables[t].agg(*(F.coalesce(F.sum((F.length(c) > n).cast("long")), F.lit(0)).alias(c) for c, n in widths.items()))
         parts.append(sums.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).alias("too_long")) for c in widths))).alias("x")).select(F.lit(t).alias("table_name"), "x.*"))
     return _union(parts)

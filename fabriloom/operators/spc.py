@@ -12,6 +12,8 @@ from fabriloom.sources.tables import Tables
 
 #: Rows on either side of a point that can decide whether it is flagged.
 REACH = 7
+#: Points of a series that one task takes.
+ROWS = 1_000_000
 
 
 def _order(keys: list[str]):
@@ -73,27 +75,36 @@ def check_series(measurements: DataFrame, rules: dict | None = None) -> DataFram
     series; series that never vary have none and no flags."""
     rules = RULES if rules is None else rules
     own = limits(measurements).where("sd > 0")
-    points = measurements.where(~F.isnan("value")).select("measurement_id", *SERIES, "value", "timestamp").join(F.broadcast(own), SERIES)
+    points = measurements.where(~F.isnan("value")).select("measurement_id", *SERIES, "value", "timestamp").join(own, SERIES)
     return as_rows(marked(points, SERIES, rules), list(rules)).select("measurement_id", *SERIES, "rule_violated")
 
 
-def check_long_series(measurements: DataFrame, rows_per_bucket: int = 100_000) -> DataFrame:
-    """check_series() for series too long for one task: each is cut at approximate quantiles of time, and a bucket also
-    gets the REACH rows before and after it. The halo must come from the next buckets, so those need that many rows;
-    series with a bucket that has fewer are not cut."""
+def check_long_series(measurements: DataFrame, rows_per_bucket: int = ROWS, rules: dict | None = None) -> DataFrame:
+    """check_series() for series too long for one task. Each series is cut at approximate quantiles of time, and the points
+    are numbered: inside a cut by a window, and from cut to cut by the cuts' counts. By their numbers they are dealt into
+    buckets of exactly rows_per_bucket (at least twice REACH) points in order, each of which also gets the REACH points before
+    and after it, so no point lacks its neighbours, whatever the cuts held. Points of one instant stay in one cut."""
+    size_of, rules = max(2 * REACH, rows_per_bucket), RULES if rules is None else rules
     points = measurements.where(~F.isnan("value")).select("measurement_id", *SERIES, "value", "timestamp").withColumn("at", F.unix_micros(F.col("timestamp").cast("timestamp")))
-    size = points.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("rows"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.percentile_approx("at", [i / 64 for i in range(1, 64)], 10_000).alias("cuts"))
-    stride = F.greatest(F.lit(1), F.ceil(64 * F.lit(rows_per_bucket) / F.col("rows"))).cast("int")
-    size = size.withColumn("cuts", F.filter("cuts", lambda c, i: (i + 1) % stride == 0)).where("sd > 0")
-    home = points.join(F.broadcast(size), SERIES).withColumn("bucket", F.size(F.filter("cuts", lambda c: c <= F.col("at"))))
-    ok = home.groupBy(*SERIES, "bucket").agg(F.count(F.lit(1)).alias("n")).groupBy(*SERIES).agg((F.min("n") >= REACH).alias("cut_ok"), F.sort_array(F.collect_list("bucket")).alias("buckets"))
-    home = home.join(F.broadcast(ok), SERIES).withColumn("bucket", F.when(F.col("cut_ok"), F.array_position("buckets", F.col("bucket"))).otherwise(F.lit(1)))
-    inside = Window.partitionBy(*SERIES, "bucket")
-    home = home.withColumn("up", F.row_number().over(inside.orderBy("timestamp", "measurement_id"))).withColumn("down", F.row_number().over(inside.orderBy(F.desc("timestamp"), F.desc("measurement_id"))))
-    b = F.col("bucket")
-    dealt = F.array_compact(F.array(F.struct(b.alias("bucket"), F.lit(True).alias("home")), F.when(F.col("up") <= REACH, F.struct((b - 1).alias("bucket"), F.lit(False).alias("home"))), F.when(F.col("down") <= REACH, F.struct((b + 1).alias("bucket"), F.lit(False).alias("home")))))
+    longest = points.groupBy(*SERIES).count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("n")).first()["n"]
+    many = min(10_000, max(1, -(-longest // size_of)))
+    series = points.groupBy(*SERIES).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.percentile_approx("at", [i / many for i in range(1, many)] or [1.0], 10_000).alias("cuts")).where("sd > 0")
+    # the number of cuts not above a point's time, by halving
+    steps = F.array(*(F.lit(1 << k) for k in range(many.bit_length() - 1, -1, -1)))
+    home = points.join(series, SERIES).withColumn("cut", F.aggregate(steps, F.lit(0), lambda lo, step: F.when(F.get("cuts", lo + step - 1) <= F.col("at"), lo + step).otherwise(lo))).drop("cuts", "at")
+    before = home.groupBy(*SERIES, "cut").agg(F.count(F.lit(1)).alias("n")).select(*SERIES, "cut", (F.sum("n").over(Window.partitionBy(*SERIES).orderBy("cut")) - F.col("n")).alias("before"))
+    number = F.row_number().over(Window.partitionBy(*SERIES, "cut").orderBy("timestamp", "measurement_id")) - 1
+    home = home.withColumn("number", number).join(before, [*SERIES, "cut"]).withColumn("number", F.col("number") + F.col("before"))
+    b, place = F.floor(F.col("number") / size_of), F.col("number") % size_of
+    dealt = F.array_compact(F.array(F.struct(b.alias("bucket"), F.lit(True).alias("home")), F.when(place < REACH, F.struct((b - 1).alias("bucket"), F.lit(False).alias("home"))), F.when(place >= size_of - REACH, F.struct((b + 1).alias("bucket"), F.lit(False).alias("home")))))
     rows = home.select("measurement_id", *SERIES, "value", "timestamp", "mean", "sd", F.explode(dealt).alias("d")).select("*", "d.bucket", "d.home").drop("d")
-    return as_rows(marked(rows, [*SERIES, "bucket"]).where("home"), list(RULES)).select("measurement_id", *SERIES, "rule_violated")
+    return as_rows(marked(rows, [*SERIES, "bucket"], rules).where("home"), list(rules)).select("measurement_id", *SERIES, "rule_violated")
+
+
+def check_all(measurements: DataFrame, rules: dict | None = None, rows_per_bucket: int = ROWS) -> DataFrame:
+    """check_series(), or check_long_series() if a series (by a count over all rows) is longer than a bucket."""
+    longest = measurements.groupBy(*SERIES).count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("n")).first()["n"]
+    return check_series(measurements, rules) if longest <= rows_per_bucket else check_long_series(measurements, rows_per_bucket, rules)
 
 
 def check_with(measurements: DataFrame, rules: dict[str, Callable]) -> DataFrame:
@@ -112,10 +123,16 @@ def check_with(measurements: DataFrame, rules: dict[str, Callable]) -> DataFrame
     return rows.groupBy(*SERIES).applyInPandas(run, "measurement_id long, step_id int, parameter string, rule_violated string")
 
 
+def with_ids(flags: DataFrame) -> DataFrame:
+    """flags with flag_id, which the measurement and the rule's number make, so that it is the same in every run."""
+    number = F.coalesce(F.array_position(F.array(*map(F.lit, RULES)), F.col("rule_violated")), F.lit(0))
+    return flags.withColumn("flag_id", F.col("measurement_id") * 10 + number)
+
+
 def run_spc(measurements: DataFrame, flagged_at=None) -> DataFrame:
     """All flags, with one time of flagging."""
     at = F.current_timestamp().cast("timestamp_ntz") if flagged_at is None else F.lit(flagged_at).cast("timestamp_ntz")
-    return check_series(measurements).withColumn("flagged_at", at)
+    return with_ids(check_all(measurements)).withColumn("flagged_at", at).select("flag_id", "measurement_id", *SERIES, "rule_violated", "flagged_at")
 
 
 def spc_flag_counts(flags: DataFrame) -> DataFrame:
@@ -125,7 +142,7 @@ def spc_flag_counts(flags: DataFrame) -> DataFrame:
 def spc_flags_detail(t: Tables, flags: DataFrame) -> DataFrame:
     """Flags with measurement, step, wafer and lot, newest first. Only flagged measurements go on to the wafers."""
     m = t["measurements"].select("measurement_id", "wafer_id", "value", F.col("timestamp").alias("measured_at"))
-    rows = flags.join(m, "measurement_id").join(F.broadcast(t["process_steps"].select("step_id", "step_name", "tool_id")), "step_id")
+    rows = flags.join(m, "measurement_id").join(t["process_steps"].select("step_id", "step_name", "tool_id"), "step_id")
     rows = rows.join(t["wafers"].select("wafer_id", "lot_id", "wafer_number"), "wafer_id").join(t["lots"].select("lot_id", "product"), "lot_id")
     order = [F.desc("flagged_at")] if "flagged_at" in flags.columns else []
     return rows.select("measurement_id", "rule_violated", *(["flagged_at"] if order else []), "step_id", "step_name", "tool_id", "parameter", "value", "measured_at", "wafer_id", "wafer_number", "lot_id", "product").orderBy(*order, "measurement_id", "rule_violated")
@@ -137,7 +154,7 @@ def flag_history(t: Tables, flags: DataFrame, step_id: int) -> DataFrame:
 
 
 def flagged_steps(t: Tables, flags: DataFrame) -> DataFrame:
-    steps = flags.select("step_id").distinct().join(F.broadcast(t["process_steps"]), "step_id")
+    steps = flags.select("step_id").distinct().join(t["process_steps"], "step_id")
     return steps.select("step_id", F.format_string("%s (%s)", "step_name", "tool_id").alias("label")).distinct().orderBy("label", "step_id")
 
 

@@ -71,7 +71,7 @@ def defect_box_by_node(t: Tables, exact: bool = True) -> DataFrame:
     lots = yield_by_lot(t).select("technology_node", F.col("avg_defect_density").alias("d"))
     quartiles = F.percentile("d", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact else F.percentile_approx("d", [0.25, 0.5, 0.75], 10_000)
     box = lots.groupBy("technology_node").agg(quartiles.alias("q")).select("technology_node", F.get("q", 0).alias("q1"), F.get("q", 1).alias("median"), F.get("q", 2).alias("q3"))
-    rows = lots.join(F.broadcast(box), "technology_node")
+    rows = lots.join(box, "technology_node")
     iqr = F.col("q3") - F.col("q1")
     inside = F.col("d").between(F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr)
     return rows.groupBy("technology_node", "q1", "median", "q3").agg(F.min(F.when(inside, F.col("d"))).alias("low_whisker"), F.max(F.when(inside, F.col("d"))).alias("high_whisker"), F.sum((~inside).cast("long")).alias("outliers")).select("technology_node", *(rounded(F.col(c), 6).alias(c) for c in ("q1", "median", "q3", "low_whisker", "high_whisker")), "outliers").orderBy("technology_node")

@@ -35,10 +35,16 @@ EXPECTED = f"expected AS (SELECT record_id, y.wafer_id, technology_node, yield_p
 OUTLIERS = "outl AS (SELECT wafer_id, count(*) AS outliers FROM measurements m JOIN (SELECT parameter, avg(value) AS mean, stddev_samp(value) AS sd FROM measurements GROUP BY parameter) s USING (parameter) WHERE abs((value - mean) / CASE WHEN coalesce(sd, 0) = 0 THEN 1 ELSE sd END) > 3 GROUP BY wafer_id)"
 SEQUENCE = "seq AS (SELECT wafer_id, row_number() OVER (ORDER BY start_date, lot_id, wafer_number, wafer_id) - 1 AS wafer_idx FROM wafers JOIN lots USING (lot_id))"
 STEP, PARAMETER = 3, "view"
+FLAG_IDS = "spc_flags AS (SELECT measurement_id * 10 + CAST(substr(rule_violated, 5, 1) AS BIGINT) AS flag_id, * FROM flags)"
 
 
 def _flags(t: sources.Tables) -> DataFrame:
-    return spc.check_series(t["measurements"])
+    return spc.check_all(t["measurements"])
+
+
+def _with_flags(check: Callable[[sources.Tables], DataFrame]) -> Callable[[sources.Tables], DataFrame]:
+    """A check of all tables, the flags among them."""
+    return lambda t: check({**t, "spc_flags": spc.with_ids(_flags(t)).select("flag_id", "measurement_id", "step_id", "parameter", "rule_violated")})
 
 
 def _dated(df: DataFrame) -> DataFrame:
@@ -50,18 +56,19 @@ Build = Callable[[sources.Tables], DataFrame]
 
 
 _ALL = [("lots", ["lot_id", "product", "technology_node", "start_date", "status"]), ("wafers", ["wafer_id", "lot_id", "wafer_number", "status"]), ("process_steps", ["step_id", "step_name", "tool_id", "layer", "sequence_order"]), ("measurements", ["measurement_id", "wafer_id", "step_id", "parameter", "value", "unit", "timestamp"]), ("yield_records", ["record_id", "wafer_id", "die_count", "pass_count", "yield_pct", "defect_density"])]
-_EDGES = [("wafers", "lot_id", "lots"), ("measurements", "wafer_id", "wafers"), ("measurements", "step_id", "process_steps"), ("yield_records", "wafer_id", "wafers")]
+_EDGES = [("wafers", "lot_id", "lots"), ("measurements", "wafer_id", "wafers"), ("measurements", "step_id", "process_steps"), ("yield_records", "wafer_id", "wafers"), ("spc_flags", "measurement_id", "measurements")]
+_CHECKED = [*_ALL, ("spc_flags", ["flag_id", "measurement_id", "step_id", "parameter", "rule_violated"])]
 _RULES = [("yield_in_70_98", "yield_records", "pass_count > 0 AND NOT (yield_pct BETWEEN 70 AND 98)"), ("pass_count_le_die_count", "yield_records", "pass_count > die_count"), ("defect_density_positive", "yield_records", "defect_density <= 0"), ("die_count_positive", "yield_records", "die_count <= 0"), ("wafer_number_1_25", "wafers", "NOT (wafer_number BETWEEN 1 AND 25)"), ("known_technology_node", "lots", "technology_node NOT IN ('28nm', '65nm', '130nm', '180nm')"), ("value_is_a_number", "measurements", "isnan(value)")]
-_KEYS = {"lots": "lot_id", "wafers": "wafer_id", "process_steps": "step_id", "measurements": "measurement_id", "yield_records": "record_id"}
-_WIDTHS = {"lots": {"product": 64, "technology_node": 16, "status": 16}, "wafers": {"status": 16}, "process_steps": {"step_name": 64, "tool_id": 32, "layer": 32}, "measurements": {"parameter": 32, "unit": 16}}
+_KEYS = {"lots": "lot_id", "wafers": "wafer_id", "process_steps": "step_id", "measurements": "measurement_id", "yield_records": "record_id", "spc_flags": "flag_id"}
+_WIDTHS = {"lots": {"product": 64, "technology_node": 16, "status": 16}, "wafers": {"status": 16}, "process_steps": {"step_name": 64, "tool_id": 32, "layer": 32}, "measurements": {"parameter": 32, "unit": 16}, "spc_flags": {"rule_violated": 32}}
 
 #: query -> (builder over the mapped tables, more WITH clauses, SELECT)
 PLANS: dict[str, tuple[Build, list[str], str]] = {
     "table_counts": (sources.counts, [], " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}" for t, _ in _ALL)),
-    "dq_duplicate_keys": (quality.duplicate_keys, [], " UNION ALL ".join(f"SELECT '{t}' AS table_name, CAST({k} AS BIGINT) AS key, count(*) AS n FROM {t} GROUP BY {k} HAVING count(*) > 1" for t, k in _KEYS.items())),
-    "dq_null_counts": (quality.null_counts, [], " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) - count({c}) AS nulls FROM {t}" for t, cs in _ALL for c in cs)),
-    "dq_orphans": (quality.orphans, [], " UNION ALL ".join(f"SELECT '{a}.{c}' AS edge, CAST({c} AS BIGINT) AS key, count(*) AS n FROM {a} WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT {c} FROM {b}) GROUP BY {c}" for a, c, b in _EDGES)),
-    "dq_string_length": (quality.long_strings, [], " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) FILTER (WHERE length({c}) > {n}) AS too_long FROM {t}" for t, cs in _WIDTHS.items() for c, n in cs.items())),
+    "dq_duplicate_keys": (_with_flags(quality.duplicate_keys), [FLAGS, FLAG_IDS], " UNION ALL ".join(f"SELECT '{t}' AS table_name, CAST({k} AS BIGINT) AS key, count(*) AS n FROM {t} GROUP BY {k} HAVING count(*) > 1" for t, k in _KEYS.items())),
+    "dq_null_counts": (_with_flags(quality.null_counts), [FLAGS, FLAG_IDS], " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) - count({c}) AS nulls FROM {t}" for t, cs in _CHECKED for c in cs)),
+    "dq_orphans": (_with_flags(quality.orphans), [FLAGS, FLAG_IDS], " UNION ALL ".join(f"SELECT '{a}.{c}' AS edge, CAST({c} AS BIGINT) AS key, count(*) AS n FROM {a} WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT {c} FROM {b}) GROUP BY {c}" for a, c, b in _EDGES)),
+    "dq_string_length": (_with_flags(quality.long_strings), [FLAGS, FLAG_IDS], " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) FILTER (WHERE length({c}) > {n}) AS too_long FROM {t}" for t, cs in _WIDTHS.items() for c, n in cs.items())),
     "dq_range_rules": (quality.range_rules, [], " UNION ALL ".join(f"SELECT '{r}' AS rule, count(*) FILTER (WHERE {w}) AS violations FROM {t}" for r, t, w in _RULES)),
     "measurements_for_step": (lambda t: process.measurements_for_step(t, STEP, PARAMETER), [], f"SELECT measurement_id, wafer_id, value, timestamp FROM measurements WHERE step_id = {STEP} AND parameter = '{PARAMETER}'"),
     "measurements_of_step": (lambda t: process.measurements_of_step(t, STEP), [], f"SELECT measurement_id, parameter, value, unit FROM measurements WHERE step_id = {STEP}"),
@@ -92,11 +99,14 @@ PLANS: dict[str, tuple[Build, list[str], str]] = {
     "defect_density_trend": (lambda t: _dated(yields.defect_density_trend(t)), [BY_LOT], "SELECT lot_id, CAST(start_date AS VARCHAR) AS start_date, avg_defect_density FROM by_lot"),
     "flagged_point_counts": (lambda t: spc.flagged_point_counts(_flags(t)), [FLAGS], "SELECT step_id, parameter, count(DISTINCT measurement_id) AS points FROM flags GROUP BY step_id, parameter"),
     **{
-        f"spc_{name.split('_')[0]}": ((lambda name: lambda t: spc.check_series(t["measurements"], {name: spc.RULES[name]}).drop("rule_violated"))(name), [FLAGS], f"SELECT measurement_id, step_id, parameter FROM flags WHERE rule_violated = '{name}'")
+        f"spc_{name.split('_')[0]}": ((lambda name: lambda t: spc.check_all(t["measurements"], {name: spc.RULES[name]}).drop("rule_violated"))(name), [FLAGS], f"SELECT measurement_id, step_id, parameter FROM flags WHERE rule_violated = '{name}'")
         for name in spc.RULES
     },
     "spc_flags": (_flags, [FLAGS], "SELECT * FROM flags"),
     "spc_flags_bucketed": (lambda t: spc.check_long_series(t["measurements"], 100), [FLAGS], "SELECT * FROM flags"),
+    "lot_genealogy_points": (lambda t: genealogy.lot_genealogy_points(t, _flags(t)), [FLAGS], "SELECT lot_id, wafer_id, wafer_number, measurement_id, step_name, m.parameter, value, coalesce((SELECT string_agg(rule_violated, ',' ORDER BY rule_violated) FROM flags f WHERE f.measurement_id = m.measurement_id), '') AS flags FROM measurements m JOIN wafers USING (wafer_id) JOIN lots USING (lot_id) LEFT JOIN process_steps USING (step_id)"),
+    "process_step_stats_of_one": (lambda t: process.process_step_stats(t, STEP), [], f"SELECT step_id, step_name, tool_id, sequence_order, parameter, n, mean_value, variance, {_r('sqrt(greatest(variance, 0.0))', 6)} AS std_dev FROM (SELECT step_id, parameter, count(*) AS n, {_r('avg(value)', 4)} AS mean_value, {_r('var_pop(value)', 6)} AS variance FROM measurements WHERE step_id = {STEP} GROUP BY step_id, parameter) JOIN process_steps USING (step_id)"),
+    "expected_pass_counts": (yields.expected_pass_counts, [NODES, EXPECTED], "SELECT record_id, wafer_id, CAST(round_even(die_count * e / 100, 0) AS INT) AS expected_pass FROM expected"),
     "control_chart": (lambda t: series.control_chart(t, _flags(t), STEP, PARAMETER), [FLAGS], f"SELECT measurement_id, row_number() OVER (ORDER BY timestamp, measurement_id) - 1 AS sample, value, timestamp, {_r('mean', 6)} AS center, {_r('mean - 3 * sd', 6)} AS lcl, {_r('mean + 3 * sd', 6)} AS ucl, measurement_id IN (SELECT measurement_id FROM flags) AS flagged FROM measurements JOIN lim USING (step_id, parameter) WHERE step_id = {STEP} AND parameter = '{PARAMETER}'"),
     "wafer_sequence": (series.wafer_sequence, [SEQUENCE], "SELECT * FROM seq"),
     "drift_early_late": (series.drift_early_late, [], f"SELECT step_id, parameter, {_r('avg(value) FILTER (WHERE u <= 50)', 6)} AS early_mean, {_r('avg(value) FILTER (WHERE d <= 50)', 6)} AS late_mean, {_r('avg(value) FILTER (WHERE u <= 50) - avg(value) FILTER (WHERE d <= 50)', 6)} AS drift FROM (SELECT *, row_number() OVER (PARTITION BY step_id, parameter ORDER BY timestamp, measurement_id) AS u, row_number() OVER (PARTITION BY step_id, parameter ORDER BY timestamp DESC, measurement_id DESC) AS d FROM measurements) GROUP BY step_id, parameter"),
@@ -112,7 +122,6 @@ def _query(build: Build) -> Callable[[SparkSession, str], DataFrame]:
 
 
 QUERIES = {name: _query(build) for name, (build, _, _) in PLANS.items()}
-#: No SQL: nested rows, and a half-even rounding that engines word differently.
+#: Nested rows have no SQL of their own; lot_genealogy_points compares what is in them.
 QUERIES["lot_genealogy"] = _query(lambda t: genealogy.lot_genealogy(t, _flags(t)))
-QUERIES["expected_pass_counts"] = _query(yields.expected_pass_counts)
 ORACLE_SQL = {name: f"{', '.join([VIEWS, *more])} {select}" for name, (_, more, select) in PLANS.items()}

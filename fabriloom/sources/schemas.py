@@ -9,13 +9,14 @@ DDL = {
     "measurements": "measurement_id BIGINT, wafer_id BIGINT, step_id INT, parameter STRING, value DOUBLE, unit STRING, timestamp TIMESTAMP_NTZ",
     "yield_records": "record_id BIGINT, wafer_id BIGINT, die_count INT, pass_count INT, yield_pct DOUBLE, defect_density DOUBLE",
 }
-FLAGS_DDL = "measurement_id BIGINT, step_id INT, parameter STRING, rule_violated STRING, flagged_at TIMESTAMP_NTZ"
-PRIMARY_KEYS = {"lots": "lot_id", "wafers": "wafer_id", "process_steps": "step_id", "measurements": "measurement_id", "yield_records": "record_id"}
+FLAGS_DDL = "flag_id BIGINT, measurement_id BIGINT, step_id INT, parameter STRING, rule_violated STRING, flagged_at TIMESTAMP_NTZ"
+PRIMARY_KEYS = {"lots": "lot_id", "wafers": "wafer_id", "process_steps": "step_id", "measurements": "measurement_id", "yield_records": "record_id", "spc_flags": "flag_id"}
 #: (child, column, parent, key)
-REFERENCES = [("wafers", "lot_id", "lots", "lot_id"), ("measurements", "wafer_id", "wafers", "wafer_id"), ("measurements", "step_id", "process_steps", "step_id"), ("yield_records", "wafer_id", "wafers", "wafer_id")]
+REFERENCES = [("wafers", "lot_id", "lots", "lot_id"), ("measurements", "wafer_id", "wafers", "wafer_id"), ("measurements", "step_id", "process_steps", "step_id"), ("yield_records", "wafer_id", "wafers", "wafer_id"), ("spc_flags", "measurement_id", "measurements", "measurement_id")]
 WIDTHS = {
     "lots": {"product": 64, "technology_node": 16, "status": 16},
     "wafers": {"status": 16},
     "process_steps": {"step_name": 64, "tool_id": 32, "layer": 32},
     "measurements": {"parameter": 32, "unit": 16},
+    "spc_flags": {"rule_violated": 32},
 }

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import time
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fabriloom.sources.schemas import DDL
+from fabriloom.sources.schemas import DDL, FLAGS_DDL
 
 Tables = dict[str, DataFrame]
 
@@ -27,20 +28,35 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_table(df: DataFrame, path: str, table: str, mode: str = "overwrite") -> None:
-    """Measurements are partitioned by step and sorted by series inside the files; the other tables are plain."""
+    """Measurements and flags are partitioned by step and sorted by series inside the files; a long series is split over tasks
+    by day (flags: by measurement), so that none writes it alone. The other tables are plain."""
     if table in ("measurements", "spc_flags"):
-        order = ["parameter", "timestamp"] if table == "measurements" else ["parameter"]
-        df.repartition("step_id", "parameter").sortWithinPartitions("step_id", *order).write.mode(mode).partitionBy("step_id").parquet(path)
+        part, order = (F.to_date("timestamp"), ["parameter", "timestamp"]) if table == "measurements" else (F.pmod("measurement_id", F.lit(64)), ["parameter"])
+        df.repartition("step_id", "parameter", part).sortWithinPartitions("step_id", *order).write.mode(mode).partitionBy("step_id").parquet(path)
     else:
         df.write.mode(mode).parquet(path)
 
 
+def _files(spark: SparkSession, path: str):
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm_path
+
+
+def current(spark: SparkSession, directory: str) -> str | None:
+    """The folder of the newest load that was committed; null if there is none."""
+    files, pattern = _files(spark, f"{directory}/load-*/_COMMITTED")
+    found = sorted(str(x.getPath().getParent()) for x in files.globStatus(pattern) or ())
+    return found[-1] if found else None
+
+
 def read_table(spark: SparkSession, directory: str, table: str) -> DataFrame:
-    return spark.read.schema(DDL[table]).parquet(f"{directory}/{table}")
+    """A table of the newest committed load."""
+    return spark.read.schema(FLAGS_DDL if table == "spc_flags" else DDL[table]).parquet(f"{current(spark, directory)}/{table}")
 
 
 def append(df: DataFrame, directory: str, table: str) -> None:
-    write_table(df, f"{directory}/{table}", table, "append")
+    """More rows for a table of the newest committed load."""
+    write_table(df, f"{current(df.sparkSession, directory)}/{table}", table, "append")
 
 
 def counts(tables: Tables) -> DataFrame:
@@ -49,33 +65,35 @@ def counts(tables: Tables) -> DataFrame:
 
 
 def load_all(spark: SparkSession, source: str, target: str) -> DataFrame:
-    """Replaces all tables by the extracts, and drops the flags derived from the old ones. Everything is read and
-    written to one side before the first table is replaced, so a bad extract changes nothing."""
-    staged = f"{target}/_loading"
+    """Replaces all tables by the extracts, and drops the flags derived from the old ones. Everything is written to a folder of
+    its own, which one empty file then commits: until it is there readers see the old tables, afterwards the new
+    ones, and a load that fails midway changes nothing. Older loads go after the commit."""
+    files, folder = _files(spark, target)
+    files.mkdirs(folder)
+    own = f"{target}/load-{time.time_ns():020d}"
     for table, df in read_extracts(spark, source).items():
-        write_table(df, f"{staged}/{table}", table)
-    for table in DDL:
-        write_table(read_table(spark, staged, table), f"{target}/{table}", table)
-    clear_flags(spark, target)
+        write_table(df, f"{own}/{table}", table)
+    write_table(spark.createDataFrame([], FLAGS_DDL), f"{own}/spc_flags", "spc_flags")
+    files.create(_files(spark, f"{own}/_COMMITTED")[1], False).close()
+    for old in files.listStatus(folder):
+        if old.getPath().getName().startswith("load-") and old.getPath().getName() < own.rsplit("/", 1)[1]:
+            files.delete(old.getPath(), True)
     return counts({table: read_table(spark, target, table) for table in DDL})
 
 
-def clear_flags(spark: SparkSession, target: str) -> None:
-    from fabriloom.sources.schemas import FLAGS_DDL
+def recompute_flags(spark: SparkSession, target: str, flagged_at=None) -> int:
+    """Checks all stored measurements, replaces the stored flags by what is found, and returns how many there are. Running it
+    again gives the same flags."""
+    from fabriloom.operators.spc import run_spc
 
-    write_table(spark.createDataFrame([], FLAGS_DDL), f"{target}/spc_flags", "spc_flags")
+    write_table(run_spc(read_table(spark, target, "measurements"), flagged_at), f"{current(spark, target)}/spc_flags", "spc_flags")
+    return read_table(spark, target, "spc_flags").count()
 
 
 def seed_if_empty(spark: SparkSession, source: str, target: str) -> bool:
     """Loads the extracts and flags them, unless there are lots already; whether it did."""
-    from fabriloom.operators.spc import run_spc
-
-    try:
-        if not read_table(spark, target, "lots").isEmpty():
-            return False
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
+    if current(spark, target) and not read_table(spark, target, "lots").isEmpty():
+        return False
     load_all(spark, source, target)
-    write_table(run_spc(read_table(spark, target, "measurements")), f"{target}/spc_flags", "spc_flags")
+    recompute_flags(spark, target)
     return True

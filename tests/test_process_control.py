@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from fabriloom.operators import genealogy, process, quality, series, spc, yields
 from fabriloom.sources import tables as sources
 from fabriloom.sources.schemas import DDL, FLAGS_DDL
+from fabriloom.streaming import arrivals
 
 START = dt.datetime(2025, 10, 1, 8)
 
 
+# Small tables whose reports are known.
 @pytest.fixture(scope="module")
 def t(spark):
     rows = {
@@ -28,7 +30,7 @@ def t(spark):
 @pytest.fixture(scope="module")
 def flags(spark):
     at = dt.datetime(2025, 10, 1)
-    return spark.createDataFrame([(1, 1, "cd_nm", "rule1_3sigma", at), (2, 1, "cd_nm", "rule1_3sigma", at), (3, 1, "thickness_nm", "rule2_8consec", at)], FLAGS_DDL)
+    return spark.createDataFrame([(11, 1, 1, "cd_nm", "rule1_3sigma", at), (21, 2, 1, "cd_nm", "rule1_3sigma", at), (32, 3, 1, "thickness_nm", "rule2_8consec", at)], FLAGS_DDL)
 
 
 def values(df, *names):
@@ -114,19 +116,66 @@ def test_series_against_brute_force(spark):
         want |= {(s * 1000 + i, rule) for i, rule in brute(xs)}
     df = spark.createDataFrame(rows, DDL["measurements"])
     assert set(values(spc.check_series(df), "measurement_id", "rule_violated")) == want
-    assert set(values(spc.check_long_series(df, 20), "measurement_id", "rule_violated")) == want
+    for size in (1, 20, 37):
+        assert set(values(spc.check_long_series(df, size), "measurement_id", "rule_violated")) == want
+    assert set(values(spc.check_all(df, rows_per_bucket=100), "measurement_id", "rule_violated")) == want
+    # many points of one instant, and cuts with hardly any
+    tied = df.withColumn("timestamp", F.when(F.col("measurement_id") % 1000 < 60, F.lit(START)).otherwise(F.col("timestamp")))
+    assert set(values(spc.check_long_series(tied, 20), "measurement_id", "rule_violated")) == set(values(spc.check_series(tied), "measurement_id", "rule_violated"))
     assert spc.check_series(points(spark, [105] * 9 + [95])).count() == 9 and spc.check_series(points(spark, [0.1] * 50)).count() == 0
     assert set(values(spc.check_with(df, {"rule1_3sigma": lambda v, m, s: abs(v - m) > 3 * s}), "measurement_id", "rule_violated")) == {x for x in want if x[1] == "rule1_3sigma"}
 
 
 def test_load_and_checks(spark, t, tmp_path):
+    csv, db = f"{tmp_path}/csv", f"{tmp_path}/db"
     for name, df in t.items():
-        sources.write_csv(df.coalesce(1), f"{tmp_path}/csv/{name}.csv")
-    assert sources.seed_if_empty(spark, f"{tmp_path}/csv", f"{tmp_path}/db")
-    assert not sources.seed_if_empty(spark, f"{tmp_path}/csv", f"{tmp_path}/db")
-    assert dict(values(sources.load_all(spark, f"{tmp_path}/csv", f"{tmp_path}/db"), "table_name", "rows")) == {k: df.count() for k, df in t.items()}
-    back = sources.read_table(spark, f"{tmp_path}/db", "measurements")
+        sources.write_csv(df.coalesce(1), f"{csv}/{name}.csv")
+    assert sources.seed_if_empty(spark, csv, db)
+    assert not sources.seed_if_empty(spark, csv, db)
+    assert dict(values(sources.load_all(spark, csv, db), "table_name", "rows")) == {k: df.count() for k, df in t.items()}
+    back = sources.read_table(spark, db, "measurements")
     assert sorted(back.select(*t["measurements"].columns).collect()) == sorted(t["measurements"].collect())
-    assert quality.duplicate_keys(t).count() == 0 and quality.orphans(t).count() == 0
+    # more points: nine on one side of the mean; flags are replaced, not added
+    more = points(spark, [105] * 9 + [95]).withColumn("measurement_id", F.col("measurement_id") + 100)
+    sources.append(more, db, "measurements")
+    assert sources.read_table(spark, db, "measurements").count() == t["measurements"].count() + 10
+    assert sources.recompute_flags(spark, db) == sources.recompute_flags(spark, db) == 9
+    stored = sources.read_table(spark, db, "spc_flags")
+    assert sorted(values(stored, "flag_id", "measurement_id", "rule_violated")) == [(10 * i + 2, i, "rule2_8consec") for i in range(100, 109)]
+    # a load that fails midway leaves everything as it was; one that works drops the flags
+    bad = f"{tmp_path}/bad"
+    for name, df in t.items():
+        sources.write_csv((df.withColumn("die_count", F.lit("many")) if name == "yield_records" else df).coalesce(1), f"{bad}/{name}.csv")
+    with pytest.raises(Exception):
+        sources.load_all(spark, bad, db)
+    assert sources.read_table(spark, db, "measurements").count() == t["measurements"].count() + 10 and sources.read_table(spark, db, "spc_flags").count() == 9
+    sources.load_all(spark, csv, db)
+    assert sources.read_table(spark, db, "spc_flags").count() == 0
+
+
+def test_quality(spark, t, flags):
+    every = {**t, "spc_flags": flags}
+    assert quality.duplicate_keys(every).count() == 0 and quality.orphans(every).count() == 0
     assert {r["rule"]: r["violations"] for r in quality.range_rules(t).collect()}["yield_in_70_98"] == 2
-    assert quality.null_counts(t).where("nulls > 0").count() == 0 and quality.long_strings(t).where("too_long > 0").count() == 0
+    assert quality.null_counts(every).where("nulls > 0").count() == 0 and quality.long_strings(every).where("too_long > 0").count() == 0
+    worse = {**every, "spc_flags": flags.union(spark.createDataFrame([(11, 99, 1, "p", "r" * 33, None)], FLAGS_DDL)), "wafers": t["wafers"].union(spark.createDataFrame([(5, 77, 1, "active")], DDL["wafers"]))}
+    assert values(quality.duplicate_keys(worse), "table_name", "key", "n") == [("spc_flags", 11, 2)]
+    assert sorted(values(quality.orphans(worse), "edge", "key", "n")) == [("spc_flags.measurement_id", 99, 1), ("wafers.lot_id", 77, 1)]
+    assert values(quality.null_counts(worse).where("nulls > 0"), "table_name", "column_name", "nulls") == [("spc_flags", "flagged_at", 1)]
+    assert values(quality.long_strings(worse).where("too_long > 0"), "table_name", "column_name") == [("spc_flags", "rule_violated")]
+
+
+def test_one_step_and_pass_counts(spark, t):
+    assert values(process.process_step_stats(t, 1), "parameter", "n") == [("cd_nm", 2), ("thickness_nm", 1)] and not values(process.process_step_stats(t, 2), "n")
+    # ties go to the even number: 70 % of 250, 350 and 450 hundredths of dies
+    rows = {**t, "yield_records": spark.createDataFrame([(i, 4, n, 0, 0.0, 9.0) for i, n in enumerate((5, 15, 25, 45, 100))], DDL["yield_records"])}
+    assert values(yields.expected_pass_counts(rows).orderBy("record_id"), "expected_pass") == [(4,), (10,), (18,), (32,), (70,)]
+
+
+def test_arrivals(spark, tmp_path):
+    stored = points(spark, [1, 2, 3] * 20)
+    points(spark, [2, 50, 3, -40]).coalesce(1).write.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(f"{tmp_path}/in")
+    found = arrivals.flag_arrivals(arrivals.read_arrivals(spark, f"{tmp_path}/in"), stored)
+    query = found.writeStream.format("memory").queryName("arrived").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/state").start()
+    query.awaitTermination(120)
+    assert sorted(values(spark.table("arrived"), "measurement_id", "rule_violated")) == [(1, "rule1_3sigma"), (3, "rule1_3sigma")]
