@@ -36,8 +36,8 @@ from fabriloom.llm import textops as T
 from fabriloom.llm.common import BitMap, Seen, bit_map, discard, fresh, small_batches, stage
 
 #: Bytes of a string whose repetition is removed; bytes of a trigger; phrases of a trigger beyond which Spark groups their
-#: suffixes; bytes of a text that are parsed at once.
-LENGTH, GRAM, HOT, PIECE = 200, 50, 2000, 1 << 22
+#: suffixes (up to there a task holds 7 MB of them at most); bytes of a text that are parsed at once.
+LENGTH, GRAM, HOT, PIECE = 200, 50, 20_000, 1 << 22
 _PLACE = np.uint64((1 << 28) - 1)
 
 
