@@ -1,5 +1,8 @@
 """The registered queries of these operators, and SQL for those that SQL can express."""
 
+from pyspark.sql import DataFrame, SparkSession
+
+from fabriloom.llm import oracles
 from fabriloom.llm.decontamination import op8_decontamination
 from fabriloom.llm.fingerprints import op10_fingerprints
 from fabriloom.llm.jaccard_join import op5_jaccard_join
@@ -11,6 +14,24 @@ from fabriloom.llm.suffix_dedup import op7_suffix_dedup
 from fabriloom.llm.toxicity import op3_toxicity
 from fabriloom.llm.warc import op2_warc
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_warc, op3_toxicity, op4_language, op5_jaccard_join, op6_quality, op7_suffix_dedup, op8_decontamination, op9_licenses, op10_fingerprints)}
 
-ORACLE_SQL: dict[str, str] = {}
+def licence_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op9_licenses that SQL can express."""
+    return op9_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op10_fingerprints that SQL can express."""
+    return op10_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_warc, op3_toxicity, op4_language, op5_jaccard_join, op6_quality, op7_suffix_dedup, op8_decontamination, op9_licenses, op10_fingerprints, licence_phrases, edited_texts)}
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc": oracles.WARC,
+    "op5_jaccard_join": oracles.JACCARD,
+    "op7_suffix_dedup": oracles.SUFFIX,
+    "op8_decontamination": oracles.DECONTAMINATION,
+    "licence_phrases": oracles.LICENCE_PHRASES,
+    "edited_texts": oracles.EDITED_TEXTS,
+}
