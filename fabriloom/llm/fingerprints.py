@@ -1,9 +1,12 @@
 """Document fingerprints by I-Match, in DataFrame functions only.
 
 Terms whose document frequency lies in a band (inverse document frequencies between ln 4 and ln 500) are the
-lexicon. A text keeps its distinct lexicon terms, sorts them, and hashes those of each of 16 random parts of the lexicon:
-four parts each of 1/4, 1/16, 1/64 and 1/256, so that texts of any length have parts that a change leaves alone. The
-fingerprint is the 16 hashes; likeness is the share of equal ones, parts that are empty in both texts left out.
+lexicon. A text keeps its distinct lexicon terms, sorts them, and hashes those of each of 88 random parts of the lexicon: a bit
+of a term's identity halves the lexicon, both halves are parts, and one of them is halved again by the next bit, eleven times
+over and in four ways; so there are eight parts each of 1/2, 1/4 and so on to 1/2048, and texts of any length have parts that
+hold one or two of their terms, which a change mostly leaves alone. The fingerprint is the number of terms and the 88
+hashes of 24 bits; likeness is the share of equal ones among the parts that hold about MANY terms or fewer of the shorter
+text, parts that are empty in both left out: larger parts nearly always differ.
 
 Near copies differ in some terms, and a text with few terms in the band may have none there but these: a group that
 holds much of the corpus puts its terms above the band, and those of a small language lie below. So a text is thin if fewer
@@ -29,8 +32,10 @@ from pyspark.sql import functions as F
 from fabriloom.llm.common import stage
 from fabriloom.llm.native_text import plain, words_of
 
-#: Least and largest share of documents with a lexicon term; bits of the lexicon parts' rates; parts of each rate.
-LEAST, MOST, RATES, PARTS = 1 / 500, 1 / 4, (2, 4, 6, 8), 4
+#: Least and largest share of documents with a lexicon term; times that the lexicon is halved, and in how many ways.
+LEAST, MOST, HALVINGS, WAYS = 1 / 500, 1 / 4, 11, 4
+#: Terms in a part beyond which it isn't compared.
+MANY = 4
 #: Share of a text's distinct terms in the band below which all of its terms count.
 THIN = 1 / 4
 #: Lexicon terms up to which the lexicon is broadcast (16 bytes each); documents in a range of ids.
@@ -100,25 +105,34 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 
 def part_hashes(terms: Column) -> Column:
-    """Hash of the sorted terms of each lexicon part; 0 for an empty part."""
+    """(n, v): the number of terms, and for each lexicon part the hash of those of the sorted terms that it has, null if none."""
 
-    def part(shift: int, bits: int, value: int) -> Column:
-        return F.filter(terms, lambda t: F.shiftright(t, shift).bitwiseAND(F.lit((1 << bits) - 1)) == value)
+    def hashed(own: Column) -> Column:
+        return F.when(F.size(own) > 0, F.xxhash64(own).bitwiseAND(F.lit(0xFFFFFF)))
 
-    out = [part(sum(RATES[:i]), bits, k) for i, bits in enumerate(RATES) for k in range(PARTS)]
-    return F.transform(F.array(*out), lambda own: F.when(F.size(own) == 0, F.lit(0)).otherwise(F.xxhash64(own).bitwiseAND(F.lit(0xFFFFFFFF))))
+    def halved(state: Column, bit: Column) -> Column:
+        halves = [F.filter(state["left"], lambda t: F.getbit(t, bit) == k) for k in (0, 1)]
+        return F.struct(halves[0].alias("left"), F.concat(state["v"], F.array(*map(hashed, halves))).alias("v"))
+
+    def way(k: int) -> Column:
+        start = F.struct(terms.alias("left"), F.slice(F.array(F.lit(None).cast("long")), 1, 0).alias("v"))
+        return F.aggregate(F.sequence(F.lit(16 * k), F.lit(16 * k + HALVINGS - 1)), start, halved, lambda state: state["v"])
+
+    return F.struct(F.size(terms).alias("n"), F.concat(*map(way, range(WAYS))).alias("v"))
 
 
 def likeness(a: Column, b: Column, whole_a: Column, whole_b: Column) -> Column:
-    """Share of equal part hashes; texts without any term are alike if equal."""
-    used = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x != 0) | (y != 0)), lambda x: x))
-    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x == y) & (x != 0)), lambda x: x))
-    return F.when(used == 0, (whole_a == whole_b).cast("double")).otherwise(same / used)
+    """Share of equal part hashes of two part_hashes(); texts without any term are alike if equal."""
+    n = F.least(a["n"], b["n"])
+    skip = sum((F.when(n > MANY << (k + 1), 2).otherwise(0) for k in range(HALVINGS - 1)), F.lit(0))
+    pairs = F.filter(F.zip_with(a["v"], b["v"], lambda x, y: F.struct((x.isNotNull() | y.isNotNull()).alias("used"), F.coalesce(x == y, F.lit(False)).alias("same"))), lambda x, i: x["used"] & (i % (2 * HALVINGS) >= skip))
+    used, same = F.size(pairs), F.size(F.filter(pairs, lambda x: x["same"]))
+    return F.when(F.greatest(a["n"], b["n"]) == 0, (whole_a == whole_b).cast("double")).when(used == 0, F.lit(0.0)).otherwise(same / used)
 
 
 def printed(parts: Column, whole: Column) -> Column:
-    hexed = F.transform(parts, lambda x: F.lpad(F.hex(x), 8, "0"))
-    return F.when(F.size(F.filter(parts, lambda x: x != 0)) == 0, F.concat(F.lit("t"), F.lpad(F.hex(whole), 16, "0"))).otherwise(F.array_join(hexed, ""))
+    hexed = F.transform(parts["v"], lambda x: F.coalesce(F.lpad(F.hex(x), 6, "0"), F.lit("-")))
+    return F.when(parts["n"] == 0, F.concat(F.lit("t"), F.lpad(F.hex(whole), 16, "0"))).otherwise(F.concat(parts["n"].cast("string"), F.lit(":"), F.array_join(hexed, "")))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
