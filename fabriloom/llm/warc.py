@@ -4,9 +4,9 @@ write_archive() turns each page into a request, a response (or a revisit of the
 payload) and a metadata record, concurrent to one another, and writes them uncompressed inside but gzipped as files.
 read_records() splits the files at the record boundary, so a file is streamed and its size doesn't matter. Each record's
 Content-Length is held against what came: only files in which a payload itself contains the boundary are read
-again, whole, by a parser that goes by Content-Length. captures() joins request, response and metadata records through
-WARC-Concurrent-To and emits one nested row for each capture; a revisit finds its response through
-WARC-Refers-To.
+again, whole, by a parser that goes by Content-Length. captures() brings request, response and metadata records together by
+WARC-Concurrent-To in one shuffle and emits one nested row for each capture; a revisit finds its response through
+WARC-Refers-To. Digests are worked out from the payloads read back.
 
 Defined results: a null html is an empty payload; equal payloads of `least` bytes or more have one response, that of the
 smallest page_id (then of the smallest row), which the others revisit; smaller payloads are all responses; repeated
@@ -117,33 +117,45 @@ def _by_length(batches):
             yield pa.RecordBatch.from_arrays([pa.array([path] * len(raw), pa.string()), pa.array(raw, pa.binary())], names=["path", "raw"])
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all archives under a path, as columns (path and those of _SCHEMA)."""
+def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """The records of all archives under a path: warc_type, record_id, concurrent_to, refers_to, target_uri, digest (as the header
+    says), payload_bytes and payload_digest (of what was read), text of records of other kinds, and payload. Without payloads
+    the files are read once, and what is left of the records is staged."""
     lines = spark.read.option("lineSep", BREAK + VERSION).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
     raw = lines.select("path", F.when(F.startswith("value", F.lit(VERSION)), F.substring("value", len(VERSION) + 1, 2**31 - 1)).otherwise(F.col("value")).alias("raw"))
-    found = parsed(raw.where("raw <> ''"))
+    found = digested(parsed(raw.where("raw <> ''")), payloads)
+    found = found if payloads else stage(found, "records")
     torn = [r["path"] for r in found.where("not whole").select("path").distinct().collect()]
     if not torn:
-        return found.drop("whole")
+        return found.drop("whole", "path")
     again = spark.read.format("binaryFile").load(torn).select("path", "content").mapInArrow(_by_length, "path string, raw binary")
     again = parsed(again.select("path", F.substring(F.col("raw"), F.lit(len(VERSION) + 1), F.lit(2**31 - 1)).cast("string").alias("raw")))
-    return found.where(~F.col("path").isin(torn)).unionByName(again).drop("whole")
+    return found.where(~F.col("path").isin(torn)).unionByName(digested(again, payloads)).drop("whole", "path")
 
 
-def captures(found: DataFrame, payloads: bool = True) -> DataFrame:
-    """One nested row for each response or revisit: the record, its requests and its metadata, and for a revisit the
-    record id that it refers to. Without payloads only their lengths take part in the join."""
-    main = found.where(F.col("warc_type").isin("response", "revisit"))
+def digested(found: DataFrame, payloads: bool) -> DataFrame:
+    """Records with what their blocks hold: of responses and revisits the payload behind the HTTP head, of others the text."""
+    main = F.col("warc_type").isin("response", "revisit")
     http_end = F.instr(F.col("block").cast("string"), BREAK)
     head = F.octet_length(F.substring(F.col("block").cast("string"), F.lit(1), http_end - 1)) + len(BREAK)
     payload = F.when(http_end > 0, F.substring(F.col("block"), head + 1, F.octet_length("block") - head)).otherwise(F.col("block"))
-    main = main.select("record_id", F.struct("warc_type", "target_uri", F.regexp_replace("digest", "^sha1:", "").alias("digest"), "refers_to", F.octet_length(payload).alias("payload_bytes"), *([payload.alias("payload")] if payloads else [])).alias("response"))
+    rows = found.withColumn("payload", F.when(main, payload))
+    digest = F.when(F.col("warc_type") == "response", base32_sha1(F.col("payload")))
+    return rows.select("path", "whole", "warc_type", "record_id", "concurrent_to", "refers_to", "target_uri", F.regexp_replace("digest", "^sha1:", "").alias("digest"), F.octet_length("payload").alias("payload_bytes"), digest.alias("payload_digest"), F.when(~main, F.col("block").cast("string")).alias("text"), *(["payload"] if payloads else []))
 
-    def side(kind: str, name: str) -> DataFrame:
-        rows = found.where(F.col("warc_type") == kind).select(F.col("concurrent_to").alias("record_id"), F.struct(F.col("record_id").alias("id"), "target_uri", F.col("block").cast("string").alias("text")).alias("r"))
-        return rows.groupBy("record_id").agg(F.sort_array(F.collect_list("r")).alias(name))
 
-    return main.join(side("request", "requests"), "record_id", "left").join(side("metadata", "metadata"), "record_id", "left")
+def captures(found: DataFrame) -> DataFrame:
+    """One nested row for each response or revisit: the record, its requests and its metadata, which meet in one shuffle by the
+    record id that they are concurrent to."""
+    main = F.col("warc_type").isin("response", "revisit")
+    fields = [c for c in found.columns if c not in ("record_id", "concurrent_to", "text")]
+    side = F.struct(F.col("record_id").alias("id"), "target_uri", "text")
+    rows = found.where(main | F.col("warc_type").isin("request", "metadata")).select(
+        F.when(main, F.col("record_id")).otherwise(F.col("concurrent_to")).alias("record_id"), F.when(main, F.struct(*fields)).alias("response"),
+        *(F.when(F.col("warc_type") == kind, side).alias(kind) for kind in ("request", "metadata")),
+    )
+    got = rows.groupBy("record_id").agg(F.first("response", ignorenulls=True).alias("response"), *(F.sort_array(F.collect_list(kind)).alias(name) for kind, name in (("request", "requests"), ("metadata", "metadata"))))
+    return got.where("response is not null")
 
 
 def page_of(metadata: Column) -> Column:
@@ -153,11 +165,12 @@ def page_of(metadata: Column) -> Column:
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    found = captures(read_records(spark, path), payloads=False)
-    rows = found.select("record_id", page_of(F.col("metadata")).alias("page_id"), F.col("response.payload_bytes").cast("long").alias("bytes"), F.col("response.digest").alias("payload_digest"), F.col("response.warc_type").alias("record_type"), F.col("response.refers_to").alias("refers"))
+    found = captures(read_records(spark, path, payloads=False))
+    rows = found.select("record_id", page_of(F.col("metadata")).alias("page_id"), "response.warc_type", F.col("response.refers_to").alias("refers"), F.col("response.payload_bytes").cast("long").alias("payload_bytes"), "response.payload_digest")
     rows = stage(rows, "captures")
-    responses = rows.where("record_type = 'response'").select(F.col("record_id").alias("refers"), F.col("page_id").alias("refers_to"), F.col("bytes").alias("first_bytes"))
-    # responses need no look-up; only revisits meet the response they refer to
-    direct = rows.where("record_type = 'response'").select("page_id", F.col("bytes").alias("payload_bytes"), "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
-    again = rows.where("record_type = 'revisit'").join(responses, "refers", "left").select("page_id", F.col("first_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    responses = rows.where("warc_type = 'response'")
+    first = responses.select(F.col("record_id").alias("refers"), F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest")
+    # responses need no look-up; only revisits meet the response they refer to, whose payload is theirs
+    direct = responses.select("page_id", "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    again = rows.where("warc_type = 'revisit'").select("page_id", "refers").join(first, "refers", "left").select("page_id", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), "refers_to")
     return direct.unionByName(again)
