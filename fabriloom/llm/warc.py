@@ -25,13 +25,17 @@ from fabriloom.llm import textops as T
 
 #: The record boundary, the format's version line and the date of all records.
 BREAK, VERSION, DATE = "\r\n\r\n", "WARC/1.0\r\n", "2024-01-01T00:00:00Z"
+#: Repeated digests up to which they are broadcast (about 100 bytes each).
+BROADCAST_ROWS = 100_000
 _HEX32, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
 def base32_sha1(data: Column) -> Column:
     """Upper-case base32 of the SHA-1 of a binary column: four runs of 40 bits, each 8 digits."""
     digest = F.sha1(data)
-    return F.concat(*(F.translate(F.lpad(F.conv(F.substring(digest, 1 + 10 * i, 10), 16, 32), 8, "0"), _HEX32, _BASE32) for i in range(4)))
+    return F.concat(*(F.translate(F.lpad(F.conv(F.substring(digest, 1 + 10 * i, 10), 16, 32), 8, "0"), #: Repeated digests up to which they are broadcast (about 100 bytes each).
+BROADCAST_ROWS = 100_000
+_HEX32, _BASE32) for i in range(4)))
 
 
 def transactions(pages: DataFrame, least: int = 0) -> DataFrame:
@@ -43,6 +47,9 @@ def transactions(pages: DataFrame, least: int = 0) -> DataFrame:
     order = F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", "capture")
     firsts = rows.where(F.col("size") >= least).groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", F.col("first.capture").alias("first_capture"), F.lit(True).alias("repeats"))
     small = rows.where(F.col("size") < least).withColumn("first_capture", F.lit(None).cast("string"))
+    # few repeated digests are broadcast, so that payloads aren't shuffled
+    firsts = stage(firsts, "firsts")
+    firsts = F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS else firsts
     large = rows.where(F.col("size") >= least).join(firsts, "digest", "left").select(*small.columns)
     return large.unionByName(small).withColumn("refers", F.when(F.col("first_capture") != F.col("capture"), F.col("first_capture")))
 
