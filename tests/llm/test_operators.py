@@ -78,6 +78,26 @@ def test_jaccard_join(docs, empty):
     assert jaccard_join.components(empty).count() == 0
 
 
+def test_jaccard_join_of_hostile_texts(spark):
+    # Thue-Morse words and their complements agree modulo 2^64 under every polynomial over bytes
+    thue = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    # a large comp in several units, with a text that is similar to one of its members only
+    base = [word() for _ in range(60)]
+    rows = [thue[:1024], thue[1024:], thue, *(" ".join([*base[:k % 7], word(), *base[k % 7 :]]) for k in range(200))]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)} for w in (t.split() for t in rows)]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if v == old else v for v in root]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.components(docs).collect()}
+    assert got == dict(enumerate(root)) and len(set(root[:3])) == 3
+
+
 @pytest.mark.parametrize(("hot", "piece"), [(2000, 1 << 22), (2, 1000)])
 def test_suffix_dedup(docs, empty, hot, piece, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
@@ -226,6 +246,93 @@ def test_warc(spark, tmp_path):
             assert r["response"]["warc_type"] == "revisit" and page[r["response"]["refers_to"]] == first[payload]
 
 
+def test_tiny_blocks():
+    rng = np.random.default_rng(1)
+    model = toxicity.train(pa.array(["a bad word here", "a good word here"] * 10), np.array([1, 0] * 10))
+    for _ in range(300):
+        texts = ["".join(rng.choice(list("ab é"), rng.integers(0, 9))) for _ in range(rng.integers(1, 4))]
+        every = toxicity.scores(pa.array(texts), model)
+        # a text's score doesn't depend on the block that it stands in
+        assert np.allclose(every, [toxicity.scores(pa.array([t]), model)[0] for t in texts])
+    for texts, labels in ((["", "!"], [1, 0]), (["abc", "xyz"], [1, 0])):
+        assert toxicity.scores(pa.array(["abc", ""]), toxicity.train(pa.array(texts), np.array(labels))).tolist() == [0.5, 0.5]
+    assert toxicity.scores(pa.array(["a", None]), toxicity.train(pa.array(["a"]), np.array([0]))).tolist() == [0, 0]
+
+
+@pytest.mark.parametrize("n", range(2, 12))
+def test_codewords_correct_a_bit(n):
+    code = language.codewords(n)
+    assert min((code[i] != code[j]).sum() for i in range(n) for j in range(i)) >= 3
+    model = {"code": code, "trust": np.full(code.shape[1], 1 / code.shape[1])}
+    for bit in range(code.shape[1]):
+        margin = 2.0 * code
+        margin[:, bit] *= -1
+        assert (language.decode(margin, model).argmax(1) == np.arange(n)).all()
+
+
+def test_classifiers_through_spark(spark, tmp_path):
+    """The registered queries on a small folder with nulls, repeated rows and clashing columns; held-out rows are told apart."""
+    import zlib
+
+    rng = random.Random(3)
+    word = lambda s: "".join(rng.choice(s) for _ in range(3))
+    tongues = {"aa": ["ra", "ti", "no"], "bb": ["kö", "mi", "zu"], "cc": ["sha", "lee", "wo"]}
+    rows, marks = [], []
+    for i in range(900):
+        lang, toxic, good = list(tongues)[i % 3], i % 5 == 0, i % 2
+        own = [word(tongues[lang]) for _ in range(40)]
+        if toxic:
+            own[rng.randrange(40)] = rng.choice(["xkqwzert", "xkqwzerts"])
+        rows.append((i, " ".join(own) if good else "!! ## ".join(own), lang if i % 4 else None, "s", 1, 1.0, "und"))
+        marks.append((i, good, int(toxic)))
+    rows += [(900, None, "aa", None, 1, 1.0, "x"), (901, "", "aa", None, 1, 1.0, "x"), (None, "ratino", None, None, 1, 1.0, "x"), rows[7], (902, "12 !", "bb", "s", 1, 1.0, "x")]
+    marks += [(900, 1, 0), (901, None, None), (None, 1, 1), marks[7]]
+    full, none = f"{tmp_path}/full", f"{tmp_path}/none"
+    schemas = {"documents": "doc_id long, text string, lang string, source string, label int, score double, draw string", "labels": "doc_id long, quality int, toxic int"}
+    for name, data in (("documents", rows), ("labels", marks)):
+        df = spark.createDataFrame(data, schemas[name])
+        df.repartition(3).write.parquet(f"{full}/{name}.parquet")
+        df.limit(0).write.parquet(f"{none}/{name}.parquet")
+    held = lambda i, mod, left: i is None or zlib.crc32(str(i).encode()) % mod == left
+    truth = {i: (q, t) for i, q, t in marks}
+    for query, mod, left, least, place in ((toxicity.op3_toxicity, 5, 0, 0.5, 1), (quality.op6_quality, 4, 2, 0.7, 0)):
+        got = query(spark, full).collect()
+        assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r[0]) for r in rows)
+        assert all(r["held_out"] == held(r["doc_id"], mod, left) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= least) for r in got)
+        assert np.mean([r["predicted"] == truth[r["doc_id"]][place] for r in got if r["held_out"] and r["doc_id"] is not None and r["doc_id"] < 900]) > 0.95
+        assert query(spark, none).count() == 0
+    got = language.op4_language(spark, full).collect()
+    assert len(got) == len(rows) and all(r["held_out"] == held(r["doc_id"], 4, 2) and 0 <= r["score"] <= 1 for r in got)
+    assert np.mean([r["lang_pred"] == list(tongues)[r["doc_id"] % 3] for r in got if r["doc_id"] is not None and r["doc_id"] < 900]) > 0.98
+    assert {r["lang_pred"] for r in got if r["doc_id"] in (900, 901, 902)} == {"und"}
+    assert language.op4_language(spark, none).count() == 0
+
+
+def test_registered_queries(spark, docs, tmp_path):
+    """Every opN query runs on a small folder and keeps the rows; what SQL can express is compared with it elsewhere."""
+    from fabriloom.llm.queries import QUERIES
+
+    plain_docs = docs.select("doc_id", "text", F.lit("aa").alias("lang"))
+    plain_docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, int(i % 3 == 0)) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("a", dict(corpus())[20])], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, "u", "x"), (2, "u", "x"), (3, "v", None), (4, "v", "")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    for name, query in QUERIES.items():
+        rows = query(spark, str(tmp_path)).collect()
+        assert len(rows) == (4 if name == "op2_warc" else docs.count()), name
+        if name == "op2_warc":
+            digest = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
+            assert sorted(tuple(r) for r in rows) == [(1, 1, digest(b"x"), "response", None), (2, 1, digest(b"x"), "revisit", 1), (3, 0, digest(b""), "response", None), (4, 0, digest(b""), "revisit", 3)]
+
+
+def test_mixing_goes_by_text(spark):
+    rows = [(None, "one two", 5), (None, "one two " * 25, 6), (3, "a b", 7), (3, "c " * 40, 8), (4, None, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mix_id int").withColumn("text_key", F.lit("k"))
+    labels = spark.createDataFrame([(3, 1, 0)], "doc_id long, quality int, toxic int")
+    out = mixing.mix(docs, labels)
+    assert out.columns[:4] == docs.columns and {r["mix_id"]: r["n_tokens"] for r in out.collect()} == {5: 2, 6: 50, 7: 2, 8: 40, 9: 0}
+
+
 def test_classifiers():
     rng = random.Random(2)
     word = lambda: "".join(rng.choice(["ra", "ti", "no", "el", "us"]) for _ in range(3))
