@@ -20,20 +20,29 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.reject(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def by_row(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs and the name of a column that names each row: doc_id if no two rows share one and none is null; else docs
+    with a number for each row, written so that the numbers stay."""
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).isEmpty():
+        return docs, "doc_id"
+    row = fresh("row", docs)
+    return stage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+
+
+def without(docs: DataFrame, row: str, gone: DataFrame) -> DataFrame:
+    """The rows of docs that gone doesn't name."""
+    names = [F.col(f"`{n}`") for n in docs.columns if n != row or n == "doc_id"]
+    return docs.join(gone.distinct(), row, "left_anti").select(*names)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents that of the least doc_id stays; documents without words all stay."""
+    """Of each group of similar documents the row of the least doc_id stays, or, where doc_ids repeat or are null in the
+    table, the first row of the group in it. Documents without words all stay. Unlike texts never count as one
+    document, even if they share a doc_id."""
     small_batches(spark)
-    found = jaccard_join.components(docs)
-    gone = found.where("class is not null and doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    # rows of one doc_id are one document; the first of them by text stays, rows without an id or words all do
-    rows, first = fresh("rows", docs), fresh("first", docs)
-    repeats = kept.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias(rows), F.min("text").alias(first)).where(F.col(rows) > 1).select("doc_id", first)
-    if repeats.isEmpty():
-        return kept.select(*docs.columns)
-    single = kept.join(repeats, "doc_id", "left_anti").select(*docs.columns)
-    several = kept.join(repeats, "doc_id").where(F.col("text").eqNullSafe(F.col(first))).select(*docs.columns).dropDuplicates(["doc_id"])
-    return single.unionByName(several)
+    docs, row = by_row(docs)
+    found = jaccard_join.components(docs.select(F.col(row).alias("doc_id"), "text"))
+    return without(docs, row, found.where("class is not null and doc_id <> component_id").select(F.col("doc_id").alias(row)))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,10 +53,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a window of a benchmark item go."""
+    """Documents with a window of a benchmark item go, each judged by its own text, whatever its doc_id."""
     small_batches(spark)
-    found = decontamination.occurrences(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.where("start is not null").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    docs, row = by_row(docs)
+    found = decontamination.occurrences(docs.select(F.col(row).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without(docs, row, found.where("start is not null").select(F.col("doc_id").alias(row)))
 
 
 def weigh(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
