@@ -46,7 +46,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte strings of 200 or more that repeat anywhere are cut out of the texts; documents with nothing left go."""
+    """Byte strings of 200 or more that repeat anywhere are cut out of the texts; documents with nothing left go. Null and
+    empty texts pass as they are."""
     small_batches(spark)
     had = F.coalesce(F.length("text"), F.lit(0)) > 0
     return suffix_dedup.remove_repeats(docs.where(had)).where(had).unionByName(docs.where(~had))

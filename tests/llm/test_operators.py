@@ -406,16 +406,105 @@ def test_mixing_converges_under_bounds(spark, shares):
     assert np.abs(residual - ((rate * mass) @ p - target)).max() < 1e-6
 
 
-def test_pipeline(spark, tmp_path):
+def similar_groups(texts):
+    """For each text the least index of its group of similar texts; None if it has no words."""
+    words = [PLAIN.findall(low(t)) for t in texts]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} - {()}) for w in words]
+    root = [i if x else None for i, x in enumerate(sets)]
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets[:a]):
+            if x and y and root[a] != root[b] and 100 * len(x & y) >= 75 * len(x | y):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if v == old else v for v in root]
+    return root
+
+
+def without_repeats(texts):
+    raw = [(t or "").encode() for t in texts]
+    n = {}
+    for t in raw:
+        for k in range(len(t) - 199):
+            n[t[k : k + 200]] = n.get(t[k : k + 200], 0) + 1
+    out = []
+    for t in raw:
+        kept = np.ones(len(t), bool)
+        for k in range(len(t) - 199):
+            if n[t[k : k + 200]] > 1:
+                kept[k : k + 200] = False
+        out.append(np.frombuffer(t, np.uint8)[kept].tobytes().decode("utf-8", "ignore"))
+    return out
+
+
+def benchmark_hit(text, windows):
+    w = WORD.findall(low(text))
+    return any(tuple(w[k : k + size]) in windows for size in {len(x) for x in windows} for k in range(len(w) - size + 1))
+
+
+def listed(rows):
+    return sorted(rows, key=repr)
+
+
+@pytest.mark.parametrize("clash", [False, True])
+def test_pipeline(spark, tmp_path, clash):
+    """Every stage against brute force on its own input. With clash, ids repeat and are null, columns hold nulls and are
+    named like columns of the stages."""
     import corpus_pipeline
 
     source = "/root/testdata/sf0.001"
     before = spark.read.parquet(f"{source}/documents.parquet")
-    docs = before
+    items = [r["text"] for r in spark.read.parquet(f"{source}/benchmark.parquet").collect()]
+    windows = set()
+    for w in (WORD.findall(low(t)) for t in items):
+        windows |= {tuple(w[k : k + 10]) for k in range(max(1, len(w) - 9))} - {()}
+    rng = random.Random(4)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    one, two, passage = text(60), text(60), text(50)
+    item = max(items, key=lambda t: len(t or ""))
+    extra = [(1, one), (1, two), (None, one), (None, one + " end"), (2, f"{text(20)} {item} {text(20)}"), (2, text(30)), (None, f"{text(20)} {item}"), (3, None), (3, ""), (None, None), (None, " "), (5, two), (6, f"{text(9)} {passage} {text(9)}"), (6, f"{text(9)} {passage}"), (7, text(40)), (7, text(40))]
+    if not clash:
+        top = before.agg(F.max("doc_id")).first()[0]
+        extra = [(top + 1 + k, t) for k, (_, t) in enumerate(extra)]
+    added = spark.createDataFrame([(i, t, None, None, None) for i, t in extra], before.schema)
+    docs = before.unionByName(added)
+    if clash:
+        docs = docs.withColumns({n: F.lit(n) for n in ("row", "spans", "text_key", "component_id", "class", "key")})
+    docs.coalesce(2).write.parquet(f"{tmp_path}/documents")
+    docs, columns, model = spark.read.parquet(f"{tmp_path}/documents"), docs.columns, None
     for k, (name, function) in enumerate(corpus_pipeline.STAGES):
         function(spark, docs, source).write.parquet(f"{tmp_path}/{name}")
-        docs = spark.read.parquet(f"{tmp_path}/{name}")
-        if k < len(corpus_pipeline.STAGES) - 1:
-            assert docs.columns == before.columns
-    assert 0 < docs.count() < before.count() and "rate" in docs.columns
-    assert docs.select("doc_id").distinct().count() == docs.count()
+        out = spark.read.parquet(f"{tmp_path}/{name}")
+        old, new = ([tuple(r[c] for c in columns) for r in df.collect()] for df in (docs, out))
+        at = columns.index("text")
+        if name == "toxicity":
+            model = toxicity.fit(docs, spark.read.parquet(f"{source}/labels.parquet"))
+            assert listed(new) == listed(r for r in old if toxicity.scores(pa.array([r[at]], pa.large_string()), model)[0] < 0.5)
+        elif name == "near_duplicates":
+            groups = {}
+            for r, g in zip(old, similar_groups([r[at] for r in old]), strict=True):
+                groups.setdefault(g, []).append(r)
+            alone, left = groups.pop(None), list(new)
+            assert len(new) == len(alone) + len(groups)
+            for rows in groups.values():
+                own = [r for r in rows if r in left] if clash else [min(rows, key=lambda r: r[0])]
+                assert own and (clash or own[0] in left)
+                left.remove(own[0])
+            assert listed(left) == listed(alone)
+        elif name == "repeated_passages":
+            kept = [(r, t) for r, t in zip(old, without_repeats([r[at] for r in old]), strict=True) if t or not r[at]]
+            want = [tuple(r[c] if n not in ("text", "n_chars") or not r[at] else t if n == "text" else len(t) for c, n in enumerate(columns)) for r, t in kept]
+            assert listed(new) == listed(want) and any(r[at] != t for r, t in kept if r[at])
+        elif name == "decontamination":
+            assert listed(new) == listed(r for r in old if not benchmark_hit(r[at], windows)) and len(new) < len(old)
+        else:
+            assert listed(new) == listed(old) and out.where("rate is null or rate < 0").isEmpty()
+        assert out.columns[: len(columns)] == columns and (out.columns == columns or name == "mixing")
+        docs = out
+
+
+def test_pipeline_of_an_empty_table(spark):
+    import corpus_pipeline
+
+    source = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{source}/documents.parquet").limit(0)
+    for _, function in corpus_pipeline.STAGES:
+        assert function(spark, docs, source).isEmpty()
