@@ -56,3 +56,33 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, las
 EDITED_TEXTS = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, row_number() OVER (ORDER BY doc_id, text) AS k FROM documents),
 e AS (SELECT *, coalesce(lead(t) OVER (ORDER BY k), first_value(t) OVER (ORDER BY k)) AS u FROM d)
 SELECT doc_id, n AS n_chars, sha256(encode(substr(t, 1, n - n // 4) || substr(u, 1, n // 4))) AS edited_sha256 FROM e"""
+
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode(CAST({0} AS VARCHAR))) || ':' || {0} END"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || {0})"
+_CLAIM = _FIELD.format(_LOW.format("text"))
+
+#: crc32 of a text by its bits: eight shifts for each byte.
+_CRC = "list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(8 * CAST(octet_length(encode({0})) AS BIGINT)), lambda k: CAST(CASE WHEN k % 8 = 0 THEN 256 + ascii(substr({0}, k // 8 + 1, 1)) ELSE 0 END AS BIGINT))), lambda c, b: CASE WHEN xor(c, b & 255) & 1 = 1 THEN xor(xor(c, b & 255) >> 1, 3988292384) ELSE xor(c, b & 255) >> 1 END)"
+CRC32 = f"xor({_CRC}, 4294967295)"
+
+MERKLE = f"""WITH RECURSIVE d AS (SELECT doc_id, source, {_LEAF.format(_FIELD.format("text"))} AS leaf, {_LEAF.format(_CLAIM)} AS claim, {CRC32.format("CAST(doc_id AS VARCHAR)")} % 5 = 0 AS touched FROM documents),
+o AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) AS src, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM d),
+t AS (SELECT src, 0 AS lvl, idx, leaf AS h, count(*) OVER (PARTITION BY src) AS n FROM o
+ UNION ALL SELECT src, lvl + 1, idx // 16, sha256(string_agg(h, '' ORDER BY idx)), (any_value(n) + 15) // 16 FROM t WHERE n > 1 GROUP BY src, lvl, idx // 16),
+subs AS (SELECT src, h, row_number() OVER (ORDER BY src) - 1 AS idx FROM t WHERE n = 1),
+u AS (SELECT 0 AS lvl, idx, h, count(*) OVER () AS n FROM subs
+ UNION ALL SELECT lvl + 1, idx // 16, sha256(string_agg(h, '' ORDER BY idx)), (any_value(n) + 15) // 16 FROM u WHERE n > 1 GROUP BY lvl, idx // 16),
+beside AS (SELECT a.src, a.lvl, a.idx, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (WHERE b.idx < a.idx), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (WHERE b.idx > a.idx), '') AS r FROM t a JOIN t b ON a.src = b.src AND a.lvl = b.lvl AND a.idx // 16 = b.idx // 16 WHERE a.n > 1 GROUP BY a.src, a.lvl, a.idx
+ UNION ALL SELECT 0, a.lvl, a.idx, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (WHERE b.idx < a.idx), ''), coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (WHERE b.idx > a.idx), '') FROM u a JOIN u b ON a.lvl = b.lvl AND a.idx // 16 = b.idx // 16 WHERE a.n > 1 GROUP BY a.lvl, a.idx),
+steps AS (SELECT o.src, o.idx, b.lvl, l, r FROM o JOIN beside b ON b.src = o.src AND b.idx = o.idx >> (4 * b.lvl)
+ UNION ALL SELECT o.src, o.idx, 100 + b.lvl, l, r FROM o JOIN subs s ON s.src = o.src JOIN beside b ON b.src = 0 AND b.idx = s.idx >> (4 * b.lvl)),
+way AS (SELECT src, idx, sha256(string_agg(l || r, '' ORDER BY lvl)) AS proof, list({{'l': l, 'r': r}} ORDER BY lvl) AS path FROM steps GROUP BY src, idx),
+fold AS (SELECT o.src, o.idx, 0 AS k, CASE WHEN touched THEN claim ELSE leaf END AS h, path FROM o LEFT JOIN way USING (src, idx)
+ UNION ALL SELECT src, idx, k + 1, sha256(path[k + 1].l || h || path[k + 1].r), path FROM fold WHERE k < len(path)),
+top AS (SELECT h AS root FROM u WHERE n = 1)
+SELECT doc_id, leaf, s.h AS subroot, root, coalesce(proof, sha256('')) AS proof_sha256, fold.h AS folded_root, fold.h = root AS verified FROM o JOIN subs s USING (src) JOIN fold ON fold.src = o.src AND fold.idx = o.idx AND fold.k = coalesce(len(fold.path), 0) LEFT JOIN way ON way.src = o.src AND way.idx = o.idx CROSS JOIN top"""
+
+EMBEDDING_DEVIATIONS = """WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda c: CAST(floor(64 * CAST(c AS DOUBLE)) AS BIGINT) + 1000000) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+e AS (SELECT rid, vec_id, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM v), s AS (SELECT i, sum(x) AS s, count(*) AS n FROM e GROUP BY i),
+t AS (SELECT rid, vec_id, any_value(n) AS n, CAST(sum((n * x - s) * (n * x - s)) AS BIGINT) AS deviation FROM e JOIN s USING (i) GROUP BY rid, vec_id)
+SELECT vec_id, CAST(i AS INTEGER) AS component, CAST(n AS BIGINT) AS n, deviation FROM t JOIN s USING (n) WHERE i <= 32"""
