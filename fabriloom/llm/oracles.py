@@ -86,3 +86,9 @@ EMBEDDING_DEVIATIONS = """WITH v AS (SELECT row_number() OVER () AS rid, vec_id,
 e AS (SELECT rid, vec_id, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM v), s AS (SELECT i, sum(x) AS s, count(*) AS n FROM e GROUP BY i),
 t AS (SELECT rid, vec_id, any_value(n) AS n, CAST(sum((n * x - s) * (n * x - s)) AS BIGINT) AS deviation FROM e JOIN s USING (i) GROUP BY rid, vec_id)
 SELECT vec_id, CAST(i AS INTEGER) AS component, CAST(n AS BIGINT) AS n, deviation FROM t JOIN s USING (n) WHERE i <= 32"""
+
+BASE_SCORES = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce({CRC32.format("CAST(doc_id AS VARCHAR)")} % 7 = 2, true) AS held_out, list_append(coalesce({_PLAIN.format("text")}, []), ' ') AS w FROM documents),
+x AS (SELECT rid, held_out, unnest(w) AS t FROM d), c AS (SELECT t, count(*) AS c FROM x WHERE NOT held_out GROUP BY t),
+k AS (SELECT CAST(coalesce(sum(c), 0) AS BIGINT) AS n, count(*) AS v FROM c),
+s AS (SELECT rid, count(*) AS n_tokens, count(c) AS n_known, sum(log10((coalesce(c, 0) + 1) / (n + v + 1))) AS base_score FROM x LEFT JOIN c USING (t) CROSS JOIN k GROUP BY rid)
+SELECT doc_id, held_out, n_tokens, n_known, n AS train_tokens, round(base_score, 6) AS base_score FROM d JOIN s USING (rid) CROSS JOIN k"""
