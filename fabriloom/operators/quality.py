@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fabriloom.sources.schemas import PRIMARY_KEYS, REFERENCES, WIDTHS
+from fabriloom.sources.schemas import PRIMARY_KEYS, RANGES, REFERENCES, WIDTHS
 from fabriloom.sources.tables import Tables
 
 
@@ -53,19 +53,8 @@ def long_strings(tables: Tables) -> DataFrame:
 
 def range_rules(tables: Tables) -> DataFrame:
     """(rule, violations) of the value ranges that the model promises; a null violates none of them."""
-    y, w, n = F.col, F.col, F.col
-    rules: dict[str, tuple[str, Column]] = {
-        "yield_in_70_98": ("yield_records", (y("pass_count") > 0) & ~y("yield_pct").between(70, 98)),
-        "pass_count_le_die_count": ("yield_records", y("pass_count") > y("die_count")),
-        "defect_density_positive": ("yield_records", y("defect_density") <= 0),
-        "die_count_positive": ("yield_records", y("die_count") <= 0),
-        "wafer_number_1_25": ("wafers", ~w("wafer_number").between(1, 25)),
-        "known_technology_node": ("lots", ~n("technology_node").isin("28nm", "65nm", "130nm", "180nm")),
-        "value_is_a_number": ("measurements", F.isnan("value")),
-    }
     parts = []
-    for t in dict.fromkeys(table for table, _ in rules.values()):
-        own = {rule: broken for rule, (table, broken) in rules.items() if table == t}
-        sums = tables[t].agg(*(F.coalesce(F.sum(F.coalesce(broken.cast("long"), F.lit(0))), F.lit(0)).alias(rule) for rule, broken in own.items()))
-        parts.append(sums.select(F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("violations")) for r in own))).alias("x")).select("x.*"))
+    for t, rules in RANGES.items():
+        sums = tables[t].agg(*(F.coalesce(F.sum(F.coalesce(F.expr(broken).cast("long"), F.lit(0))), F.lit(0)).alias(rule) for rule, broken in rules.items()))
+        parts.append(sums.select(F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("violations")) for r in rules))).alias("x")).select("x.*"))
     return _union(parts)

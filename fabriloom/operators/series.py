@@ -6,18 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fabriloom.functions.numeric import rounded
-from fabriloom.operators.process import SERIES, limits, measurements_for_step
+from fabriloom.operators.process import SERIES, limits
+from fabriloom.operators.spc import ROWS, numbered
 from fabriloom.sources.tables import Tables
 
 
-def control_chart(t: Tables, flags: DataFrame, step_id: int, parameter: str) -> DataFrame:
+def control_chart(t: Tables, flags: DataFrame, step_id: int, parameter: str, rows_per_bucket: int = ROWS) -> DataFrame:
     """One series with sample index, limits and flag mark; the filter comes before everything else."""
-    own = t["measurements"].where((F.col("step_id") == F.lit(step_id)) & (F.col("parameter") == F.lit(parameter)))
-    rows = measurements_for_step(t, step_id, parameter).withColumns({"step_id": F.lit(step_id), "parameter": F.lit(parameter)})
-    rows = rows.withColumn("sample", F.row_number().over(Window.partitionBy(*SERIES).orderBy("timestamp", "measurement_id")) - 1)
-    hit = flags.where((F.col("step_id") == F.lit(step_id)) & (F.col("parameter") == F.lit(parameter))).select("measurement_id").distinct().withColumn("hit", F.lit(True))
-    rows = rows.join(limits(own).drop("step_id"), "parameter").join(hit, "measurement_id", "left")
-    return rows.select("measurement_id", F.col("sample").cast("long").alias("sample"), "value", "timestamp", rounded(F.col("mean"), 6).alias("center"), rounded(F.col("mean") - 3 * F.col("sd"), 6).alias("lcl"), rounded(F.col("mean") + 3 * F.col("sd"), 6).alias("ucl"), F.coalesce("hit", F.lit(False)).alias("flagged")).orderBy("sample")
+    one = (F.col("step_id") == F.lit(step_id)) & (F.col("parameter") == F.lit(parameter))
+    own = t["measurements"].where(one).select("measurement_id", *SERIES, "value", "timestamp")
+    hit = flags.where(one).select("measurement_id").distinct().withColumn("hit", F.lit(True))
+    rows = numbered(own, rows_per_bucket).join(limits(own), SERIES).join(hit, "measurement_id", "left")
+    return rows.select("measurement_id", "sample", "value", "timestamp", rounded(F.col("mean"), 6).alias("center"), rounded(F.col("mean") - 3 * F.col("sd"), 6).alias("lcl"), rounded(F.col("mean") + 3 * F.col("sd"), 6).alias("ucl"), F.coalesce("hit", F.lit(False)).alias("flagged")).orderBy("sample")
 
 
 def wafer_sequence(t: Tables) -> DataFrame:

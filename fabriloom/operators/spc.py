@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +14,8 @@ from fabriloom.sources.tables import Tables
 
 #: Rows on either side of a point that can decide whether it is flagged.
 REACH = 7
-#: Points of a series that one task takes.
-ROWS = 1_000_000
+#: Points of a series that one task takes; sampled points of all series together, at most about (a hash decides).
+ROWS, SAMPLES = 1_000_000, 2_000_000
 
 
 def _order(keys: list[str]):
@@ -79,60 +81,121 @@ def check_series(measurements: DataFrame, rules: dict | None = None) -> DataFram
     return as_rows(marked(points, SERIES, rules), list(rules)).select("measurement_id", *SERIES, "rule_violated")
 
 
-def check_long_series(measurements: DataFrame, rows_per_bucket: int = ROWS, rules: dict | None = None) -> DataFrame:
-    """check_series() for series too long for one task. Each series is cut at approximate quantiles of time, and the points
-    are numbered: inside a cut by a window, and from cut to cut by the cuts' counts. By their numbers they are dealt into
-    buckets of exactly rows_per_bucket (at least twice REACH) points in order, each of which also gets the REACH points before
-    and after it, so no point lacks its neighbours, whatever the cuts held. Points of one instant stay in one cut."""
-    size_of, rules = max(2 * REACH, rows_per_bucket), RULES if rules is None else rules
-    points = measurements.where(~F.isnan("value")).select("measurement_id", *SERIES, "value", "timestamp").withColumn("at", F.unix_micros(F.col("timestamp").cast("timestamp")))
-    longest = points.groupBy(*SERIES).count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("n")).first()["n"]
-    many = min(10_000, max(1, -(-longest // size_of)))
-    series = points.groupBy(*SERIES).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.percentile_approx("at", [i / many for i in range(1, many)] or [1.0], 10_000).alias("cuts")).where("sd > 0")
-    # the number of cuts not above a point's time, by halving
-    steps = F.array(*(F.lit(1 << k) for k in range(many.bit_length() - 1, -1, -1)))
-    home = points.join(series, SERIES).withColumn("cut", F.aggregate(steps, F.lit(0), lambda lo, step: F.when(F.get("cuts", lo + step - 1) <= F.col("at"), lo + step).otherwise(lo))).drop("cuts", "at")
-    before = home.groupBy(*SERIES, "cut").agg(F.count(F.lit(1)).alias("n")).select(*SERIES, "cut", (F.sum("n").over(Window.partitionBy(*SERIES).orderBy("cut")) - F.col("n")).alias("before"))
-    number = F.row_number().over(Window.partitionBy(*SERIES, "cut").orderBy("timestamp", "measurement_id")) - 1
-    home = home.withColumn("number", number).join(before, [*SERIES, "cut"]).withColumn("number", F.col("number") + F.col("before"))
-    b, place = F.floor(F.col("number") / size_of), F.col("number") % size_of
-    dealt = F.array_compact(F.array(F.struct(b.alias("bucket"), F.lit(True).alias("home")), F.when(place < REACH, F.struct((b - 1).alias("bucket"), F.lit(False).alias("home"))), F.when(place >= size_of - REACH, F.struct((b + 1).alias("bucket"), F.lit(False).alias("home")))))
-    rows = home.select("measurement_id", *SERIES, "value", "timestamp", "mean", "sd", F.explode(dealt).alias("d")).select("*", "d.bucket", "d.home").drop("d")
+def _sampling(rows_per_bucket: int, total: int, reach: int) -> tuple[int, int]:
+    """Sampled points that a bucket has at least, and of how many points one is sampled."""
+    spare = 8 * (reach + 1)
+    return spare, max(1, rows_per_bucket // spare, -(-total // SAMPLES))
+
+
+def splitters(measurements: DataFrame, rows_per_bucket: int, total: int, reach: int = REACH) -> DataFrame:
+    """(step_id, parameter, mean, sd, cuts, before, after) of every series, in one aggregate. A sample by a hash of
+    measurement_id (about SAMPLES points of all series at most) is sorted by (timestamp, measurement_id); every so many of
+    it, one begins a bucket. Sampled points are points of the series, so each bucket has at least that many, and at least
+    `reach` lie between the sampled points before[i] and after[i] and the cut between them: a bucket's neighbours never
+    reach further."""
+    spare, rate = _sampling(rows_per_bucket, total, reach)
+    at = F.struct("timestamp", "measurement_id")
+    sample = F.array_sort(F.array_distinct(F.collect_list(F.when(F.pmod(F.xxhash64("measurement_id"), F.lit(rate)) == 0, at))))
+    series = measurements.where(~F.isnan("value")).groupBy(*SERIES).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), sample.alias("s"))
+    # a last bucket with fewer sampled points than spare joins the one before it
+    starts = F.when(F.size("s") >= 2 * spare, F.sequence(F.lit(spare), F.size("s") - spare, F.lit(spare))).otherwise(F.array().cast("array<int>"))
+    take = lambda off: F.transform(starts, lambda i: F.col("s")[i + off])
+    return series.select(*SERIES, "mean", "sd", take(0).alias("cuts"), take(-reach - 1).alias("before"), take(reach).alias("after"))
+
+
+def in_buckets(points: DataFrame, series: DataFrame, rows_per_bucket: int, total: int, reach: int = REACH) -> DataFrame:
+    """points joined with their series' row of splitters(), and each point's bucket: how many cuts are not above it, by halving.
+    The steps suffice for a series of all points, every one of them sampled if need be."""
+    spare, rate = _sampling(rows_per_bucket, total, reach)
+    most = total // spare if rate == 1 else 2 * total // (rate * spare) + 64
+    df = points.join(series, SERIES).withColumn("bucket", F.lit(0))
+    for k in reversed(range(most.bit_length())):
+        df = df.withColumn("bucket", F.when(F.get("cuts", F.col("bucket") + ((1 << k) - 1)) <= F.struct("timestamp", "measurement_id"), F.col("bucket") + (1 << k)).otherwise(F.col("bucket")))
+    return df
+
+
+def dealt(measurements: DataFrame, rows_per_bucket: int, total: int, reach: int = REACH) -> DataFrame:
+    """The points of all series that vary, with mean and sd, dealt into buckets of consecutive points; home says to which bucket
+    a point belongs, and those near a cut are also in the bucket on its other side. One scan makes the limits and
+    cuts, one deals the points."""
+    points = measurements.where(~F.isnan("value")).select("measurement_id", *SERIES, "value", "timestamp")
+    home = in_buckets(points, splitters(measurements, rows_per_bucket, total, reach).where("sd > 0"), rows_per_bucket, total, reach)
+    at = F.struct("timestamp", "measurement_id")
+    near_next = (F.col("bucket") < F.size("cuts")) & (F.get("before", F.col("bucket")) <= at)
+    near_last = (F.col("bucket") > 0) & (F.get("after", F.col("bucket") - 1) >= at)
+    place = lambda b, own: F.struct(b.alias("bucket"), F.lit(own).alias("home"))
+    places = F.array_compact(F.array(place(F.col("bucket"), True), F.when(near_last, place(F.col("bucket") - 1, False)), F.when(near_next, place(F.col("bucket") + 1, False))))
+    return home.select("measurement_id", *SERIES, "value", "timestamp", "mean", "sd", F.explode(places).alias("p")).select("*", "p.bucket", "p.home").drop("p")
+
+
+def numbered(measurements: DataFrame, rows_per_bucket: int = ROWS) -> DataFrame:
+    """measurements with sample, each point's place in its series from 0. Long series are numbered bucket by bucket, after
+    the counts of the buckets before."""
+    total, order = measurements.count(), ["timestamp", "measurement_id"]
+    if total <= rows_per_bucket:
+        return measurements.withColumn("sample", (F.row_number().over(_order(SERIES)) - 1).cast("long"))
+    home = in_buckets(measurements, splitters(measurements, rows_per_bucket, total).select(*SERIES, "cuts"), rows_per_bucket, total).drop("cuts")
+    sizes = home.groupBy(*SERIES, "bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select(*SERIES, "bucket", (F.sum("n").over(Window.partitionBy(*SERIES).orderBy("bucket")) - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy(*SERIES, "bucket").orderBy(*order)) - 1
+    return home.withColumn("place", place).join(before, [*SERIES, "bucket"]).withColumn("sample", F.col("before") + F.col("place")).drop("bucket", "before", "place")
+
+
+def check_long_series(measurements: DataFrame, rows_per_bucket: int = ROWS, rules: dict | None = None, total: int | None = None) -> DataFrame:
+    """check_series() for series too long for one task: each is cut into buckets of about rows_per_bucket points (see splitters(),
+    which cuts between points of one instant too), and a bucket also gets the points around it that can decide."""
+    rules = RULES if rules is None else rules
+    rows = dealt(measurements, rows_per_bucket, measurements.count() if total is None else total)
     return as_rows(marked(rows, [*SERIES, "bucket"], rules).where("home"), list(rules)).select("measurement_id", *SERIES, "rule_violated")
 
 
 def check_all(measurements: DataFrame, rules: dict | None = None, rows_per_bucket: int = ROWS) -> DataFrame:
-    """check_series(), or check_long_series() if a series (by a count over all rows) is longer than a bucket."""
-    longest = measurements.groupBy(*SERIES).count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("n")).first()["n"]
-    return check_series(measurements, rules) if longest <= rows_per_bucket else check_long_series(measurements, rows_per_bucket, rules)
+    """check_series(), or check_long_series() if there are more points than a bucket takes. That count reads no column, and of
+    Parquet only the footers."""
+    total = measurements.count()
+    return check_series(measurements, rules) if total <= rows_per_bucket else check_long_series(measurements, rows_per_bucket, rules, total)
 
 
-def check_with(measurements: DataFrame, rules: dict[str, Callable]) -> DataFrame:
-    """User rules in Python: name -> f(values, mean, sd) giving a boolean array. Each series goes to one task as a whole,
-    which such rules ask for; the built-in rules never do."""
-    import pandas as pd
+#: A user rule: f(values, mean, sd) gives a boolean array, and no value further away than reach decides on a point.
+UserRule = tuple[Callable, int]
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["timestamp", "measurement_id"])
-        values = frame["value"].to_numpy()
-        sd = values.std(ddof=1) if len(values) > 1 else 0.0
-        hits = [frame.loc[rule(values, values.mean(), sd), ["measurement_id", *SERIES]].assign(rule_violated=name) for name, rule in rules.items()] if sd > 0 else []
-        return pd.concat(hits) if hits else frame.head(0)[["measurement_id", *SERIES]].assign(rule_violated="")
 
-    rows = measurements.where(~F.isnan("value")).select("measurement_id", *SERIES, "value", "timestamp")
-    return rows.groupBy(*SERIES).applyInPandas(run, "measurement_id long, step_id int, parameter string, rule_violated string")
+def check_with(measurements: DataFrame, rules: dict[str, UserRule], rows_per_bucket: int = ROWS) -> DataFrame:
+    """User rules in Python over every series: name -> (f, reach). Series are cut as in check_long_series(), with as many
+    points around a bucket as the rule that reaches furthest asks for, and f sees a bucket's values in order with the
+    mean and standard deviation of the whole series. So no task holds a long series, and a rule that keeps to its reach
+    gives what it gives on the whole series."""
+    reach = max((r for _, r in rules.values()), default=0)
+    rows = dealt(measurements, max(rows_per_bucket, 8 * (reach + 1)), measurements.count(), reach)
 
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("timestamp", "ascending"), ("measurement_id", "ascending")])
+        values, home = table.column("value").to_numpy(), table.column("home").to_numpy()
+        mean, sd = table.column("mean")[0].as_py(), table.column("sd")[0].as_py()
+        hits = []
+        for name, (rule, _) in rules.items():
+            hit = table.filter(pa.array(np.asarray(rule(values, mean, sd), bool) & home)).select(["measurement_id", *SERIES])
+            hits.append(hit.append_column("rule_violated", pa.array([name] * hit.num_rows, pa.string())))
+        return pa.concat_tables(hits)
 
-def with_ids(flags: DataFrame) -> DataFrame:
-    """flags with flag_id, which the measurement and the rule's number make, so that it is the same in every run."""
-    number = F.coalesce(F.array_position(F.array(*map(F.lit, RULES)), F.col("rule_violated")), F.lit(0))
-    return flags.withColumn("flag_id", F.col("measurement_id") * 10 + number)
+    return rows.groupBy(*SERIES, "bucket").applyInArrow(run, "measurement_id long, step_id int, parameter string, rule_violated string") if rules else check_series(measurements.limit(0))
 
 
-def run_spc(measurements: DataFrame, flagged_at=None) -> DataFrame:
-    """All flags, with one time of flagging."""
+def with_ids(flags: DataFrame) -> DataFrame:
+    """flags with flag_id, the same in every run: the measurement and the number of a built-in rule make a positive one, a hash
+    of measurement and name a negative one for user rules (63 bits; should two ever meet, the store refuses them)."""
+    number = F.array_position(F.array(*map(F.lit, RULES)), F.col("rule_violated"))
+    other = -1 - F.shiftrightunsigned(F.xxhash64("measurement_id", "rule_violated"), 1)
+    return flags.withColumn("flag_id", F.when(number > 0, F.col("measurement_id") * 10 + number).otherwise(other))
+
+
+def run_spc(measurements: DataFrame, flagged_at=None, rules: dict[str, UserRule] | None = None) -> DataFrame:
+    """All flags of the built-in rules and of user rules, with one time of flagging."""
+    found = check_all(measurements)
+    if rules:
+        found = found.unionByName(check_with(measurements, rules))
     at = F.current_timestamp().cast("timestamp_ntz") if flagged_at is None else F.lit(flagged_at).cast("timestamp_ntz")
-    return with_ids(check_all(measurements)).withColumn("flagged_at", at).select("flag_id", "measurement_id", *SERIES, "rule_violated", "flagged_at")
+    return with_ids(found).withColumn("flagged_at", at).select("flag_id", "measurement_id", *SERIES, "rule_violated", "flagged_at")
 
 
 def spc_flag_counts(flags: DataFrame) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fabriloom.operators import genealogy, process, quality, series, spc, yields
+from fabriloom.sources import gate, schemas
 from fabriloom.sources import tables as sources
 from fabriloom.sources.mapping import oracle_views, tables
 
@@ -38,6 +40,48 @@ STEP, PARAMETER = 3, "view"
 FLAG_IDS = "spc_flags AS (SELECT measurement_id * 10 + CAST(substr(rule_violated, 5, 1) AS BIGINT) AS flag_id, * FROM flags)"
 
 
+def four_of_five_beyond_1_sigma(values, mean, sd):
+    """Points in a run of five of which four are beyond one standard deviation on the same side."""
+    hit = np.zeros(len(values), bool)
+    for side in (values > mean + sd, values < mean - sd):
+        ends = np.flatnonzero(np.convolve(side, np.ones(5), "valid") >= 4) if len(values) >= 5 else np.zeros(0, int)
+        for k in range(5):
+            hit[ends + k] = True
+    return hit
+
+
+def far_from_neighbours(values, mean, sd):
+    """Points over three standard deviations away from both neighbours."""
+    far = np.abs(np.diff(values)) > 3 * sd
+    return np.r_[False, far] & np.r_[far, False]
+
+
+#: rule -> (rule, how far away a value can decide on a point)
+USER_RULES = {"four_of_five_1_sigma": (four_of_five_beyond_1_sigma, 4), "far_from_neighbours": (far_from_neighbours, 1)}
+_W5 = "(PARTITION BY step_id, parameter ORDER BY timestamp, measurement_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"
+USER_FLAGS = f"""fives AS (SELECT *, count(*) OVER {_W5} = 5 AND (sum(CASE WHEN value > mean + sd THEN 1 ELSE 0 END) OVER {_W5} >= 4 OR sum(CASE WHEN value < mean - sd THEN 1 ELSE 0 END) OVER {_W5} >= 4) AS e FROM pts),
+near AS (SELECT *, max(CASE WHEN e THEN 1 ELSE 0 END) OVER (PARTITION BY step_id, parameter ORDER BY timestamp, measurement_id ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) = 1 AS u1, abs(step) > 3 * sd AND abs(lead(step) OVER (PARTITION BY step_id, parameter ORDER BY timestamp, measurement_id)) > 3 * sd AS u2 FROM fives),
+user_flags AS (SELECT measurement_id, step_id, parameter, 'four_of_five_1_sigma' AS rule_violated FROM near WHERE u1 UNION ALL SELECT measurement_id, step_id, parameter, 'far_from_neighbours' FROM near WHERE u2)"""
+
+
+#: Measurements on their way in, made of the stored ones so that each kind of check has something to find: half of the keys are
+#: stored already, some repeat, some wafers don't exist, one kind of parameter is missing, and some units are too long.
+_ARRIVING = {"measurement_id": "measurement_id * 2 - measurement_id % 3", "wafer_id": "wafer_id * 7", "step_id": "step_id + 1", "parameter": "nullif(parameter, 'view')", "value": "value", "unit": "repeat(unit, step_id * 3)", "timestamp": "timestamp"}
+ARRIVING = "arriving AS (SELECT " + ", ".join(f"{how} AS {c}" for c, how in _ARRIVING.items()) + " FROM measurements)"
+GATE = [
+    "SELECT 'repeated' AS \"check\", 'measurement_id' AS column_name, count(*) AS violations FROM (SELECT measurement_id FROM arriving GROUP BY measurement_id HAVING count(*) > 1)",
+    "SELECT 'stored', 'measurement_id', count(DISTINCT measurement_id) FROM arriving WHERE measurement_id IN (SELECT measurement_id FROM measurements)",
+    *(f"SELECT 'orphan', '{c}', count(DISTINCT {c}) FROM arriving WHERE {c} NOT IN (SELECT {c} FROM {p})" for c, p in (("wafer_id", "wafers"), ("step_id", "process_steps"))),
+    *(f"SELECT 'null', '{c}', count(*) - count({c}) FROM arriving" for c in schemas.COLUMNS["measurements"]),
+    *(f"SELECT 'width', '{c}', count(*) FILTER (WHERE length({c}) > {n}) FROM arriving" for c, n in schemas.WIDTHS["measurements"].items()),
+    *(f"SELECT 'range', '{r}', count(*) FILTER (WHERE {w}) FROM arriving" for r, w in schemas.RANGES["measurements"].items()),
+]
+
+
+def arriving(t: sources.Tables) -> DataFrame:
+    return t["measurements"].selectExpr(*(f"{how} AS {c}" for c, how in _ARRIVING.items()))
+
+
 def _flags(t: sources.Tables) -> DataFrame:
     return spc.check_all(t["measurements"])
 
@@ -104,6 +148,8 @@ PLANS: dict[str, tuple[Build, list[str], str]] = {
     },
     "spc_flags": (_flags, [FLAGS], "SELECT * FROM flags"),
     "spc_flags_bucketed": (lambda t: spc.check_long_series(t["measurements"], 100), [FLAGS], "SELECT * FROM flags"),
+    "spc_user_rules": (lambda t: spc.with_ids(spc.check_with(t["measurements"], USER_RULES, 200)).select("measurement_id", "step_id", "parameter", "rule_violated", (F.col("flag_id") < 0).alias("own_id")), [FLAGS, USER_FLAGS], "SELECT measurement_id, step_id, parameter, rule_violated, true AS own_id FROM user_flags"),
+    "append_gate": (lambda t: gate.gate({"measurements": arriving(t)}, t), [ARRIVING], "SELECT 'measurements' AS table_name, * FROM (" + " UNION ALL ".join(GATE) + ")"),
     "lot_genealogy_points": (lambda t: genealogy.lot_genealogy_points(t, _flags(t)), [FLAGS], "SELECT lot_id, wafer_id, wafer_number, measurement_id, step_name, m.parameter, value, coalesce((SELECT string_agg(rule_violated, ',' ORDER BY rule_violated) FROM flags f WHERE f.measurement_id = m.measurement_id), '') AS flags FROM measurements m JOIN wafers USING (wafer_id) JOIN lots USING (lot_id) LEFT JOIN process_steps USING (step_id)"),
     "process_step_stats_of_one": (lambda t: process.process_step_stats(t, STEP), [], f"SELECT step_id, step_name, tool_id, sequence_order, parameter, n, mean_value, variance, {_r('sqrt(greatest(variance, 0.0))', 6)} AS std_dev FROM (SELECT step_id, parameter, count(*) AS n, {_r('avg(value)', 4)} AS mean_value, {_r('var_pop(value)', 6)} AS variance FROM measurements WHERE step_id = {STEP} GROUP BY step_id, parameter) JOIN process_steps USING (step_id)"),
     "expected_pass_counts": (yields.expected_pass_counts, [NODES, EXPECTED], "SELECT record_id, wafer_id, CAST(round_even(die_count * e / 100, 0) AS INT) AS expected_pass FROM expected"),

@@ -10,6 +10,7 @@ DDL = {
     "yield_records": "record_id BIGINT, wafer_id BIGINT, die_count INT, pass_count INT, yield_pct DOUBLE, defect_density DOUBLE",
 }
 FLAGS_DDL = "flag_id BIGINT, measurement_id BIGINT, step_id INT, parameter STRING, rule_violated STRING, flagged_at TIMESTAMP_NTZ"
+COLUMNS = {table: [c.split()[0] for c in ddl.split(", ")] for table, ddl in {**DDL, "spc_flags": FLAGS_DDL}.items()}
 PRIMARY_KEYS = {"lots": "lot_id", "wafers": "wafer_id", "process_steps": "step_id", "measurements": "measurement_id", "yield_records": "record_id", "spc_flags": "flag_id"}
 #: (child, column, parent, key)
 REFERENCES = [("wafers", "lot_id", "lots", "lot_id"), ("measurements", "wafer_id", "wafers", "wafer_id"), ("measurements", "step_id", "process_steps", "step_id"), ("yield_records", "wafer_id", "wafers", "wafer_id"), ("spc_flags", "measurement_id", "measurements", "measurement_id")]
@@ -20,3 +21,15 @@ WIDTHS = {
     "measurements": {"parameter": 32, "unit": 16},
     "spc_flags": {"rule_violated": 32},
 }
+#: table -> rule -> what breaks it, in SQL that reads alike in other engines
+RANGES = {
+    "yield_records": {
+        "yield_in_70_98": "pass_count > 0 AND NOT (yield_pct BETWEEN 70 AND 98)",
+        "pass_count_le_die_count": "pass_count > die_count",
+        "defect_density_positive": "defect_density <= 0",
+        "die_count_positive": "die_count <= 0",
+    },
+    "wafers": {"wafer_number_1_25": "NOT (wafer_number BETWEEN 1 AND 25)"},
+    "lots": {"known_technology_node": "technology_node NOT IN ('28nm', '65nm', '130nm', '180nm')"},
+    "measurements": {"value_is_a_number": "isnan(value)"},
+}

@@ -123,7 +123,8 @@ def test_series_against_brute_force(spark):
     tied = df.withColumn("timestamp", F.when(F.col("measurement_id") % 1000 < 60, F.lit(START)).otherwise(F.col("timestamp")))
     assert set(values(spc.check_long_series(tied, 20), "measurement_id", "rule_violated")) == set(values(spc.check_series(tied), "measurement_id", "rule_violated"))
     assert spc.check_series(points(spark, [105] * 9 + [95])).count() == 9 and spc.check_series(points(spark, [0.1] * 50)).count() == 0
-    assert set(values(spc.check_with(df, {"rule1_3sigma": lambda v, m, s: abs(v - m) > 3 * s}), "measurement_id", "rule_violated")) == {x for x in want if x[1] == "rule1_3sigma"}
+    for size in (1, 20, 10**6):
+        assert set(values(spc.check_with(df, {"rule1_3sigma": (lambda v, m, s: abs(v - m) > 3 * s, 0)}, size), "measurement_id", "rule_violated")) == {x for x in want if x[1] == "rule1_3sigma"}
 
 
 def test_load_and_checks(spark, t, tmp_path):
