@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fabriloom.functions.numeric import rounded
+from fabriloom.functions.quantiles import exact_quantiles
+from fabriloom.sources.shared import kept
 from fabriloom.sources.tables import Tables
 
 #: Technology node -> (dies on a wafer, die area in cm2, base defect density).
@@ -18,24 +20,47 @@ def star(t: Tables) -> DataFrame:
     return t["yield_records"].join(wafers, "wafer_id").join(t["lots"], "lot_id")
 
 
+LOT = ["lot_id", "product", "technology_node", "start_date", "status"]
+_SUMS = ["records", "yields", "yield_sum", "densities", "density_sum"]
+
+
+def lot_state(t: Tables) -> DataFrame:
+    """One row for each lot that has yield records: counts and sums, from which all averages follow. Records are summed up by
+    wafer before they meet wafers, and by lot before they meet lots."""
+    own = [F.count("record_id").alias("records"), F.count("yield_pct").alias("yields"), F.sum("yield_pct").alias("yield_sum"), F.count("defect_density").alias("densities"), F.sum("defect_density").alias("density_sum")]
+    by_wafer = t["yield_records"].groupBy("wafer_id").agg(*own)
+    by_lot = by_wafer.join(t["wafers"].select("wafer_id", "lot_id"), "wafer_id").groupBy("lot_id").agg(*(F.sum(c).alias(c) for c in _SUMS))
+    return by_lot.join(t["lots"], "lot_id").select(*LOT, *_SUMS)
+
+
 def _measures() -> list[Column]:
-    return [F.count("record_id").alias("wafer_count"), rounded(F.avg("yield_pct"), 2).alias("avg_yield_pct"), rounded(F.avg("defect_density"), 4).alias("avg_defect_density")]
+    """Measures over rows of lot_state()."""
+    return [F.sum("records").alias("wafer_count"), rounded(F.sum("yield_sum") / F.sum("yields"), 2).alias("avg_yield_pct"), rounded(F.sum("density_sum") / F.sum("densities"), 4).alias("avg_defect_density")]
+
+
+def yield_by_lot(t: Tables, state: DataFrame | None = None) -> DataFrame:
+    return (lot_state(t) if state is None else state).groupBy(*LOT).agg(*_measures()).orderBy("lot_id")
 
 
-def yield_by_lot(t: Tables) -> DataFrame:
-    return star(t).groupBy("lot_id", "product", "technology_node", "start_date", "status").agg(*_measures()).orderBy("lot_id")
+def yield_by_product(t: Tables, state: DataFrame | None = None) -> DataFrame:
+    return (lot_state(t) if state is None else state).groupBy("product").agg(*_measures()).orderBy(F.desc("avg_yield_pct"), "product")
 
 
-def yield_by_product(t: Tables) -> DataFrame:
-    return star(t).groupBy("product").agg(*_measures()).orderBy(F.desc("avg_yield_pct"), "product")
+def yield_by_node(t: Tables, state: DataFrame | None = None) -> DataFrame:
+    return (lot_state(t) if state is None else state).groupBy("technology_node").agg(*_measures()).orderBy(F.desc("avg_yield_pct"), "technology_node")
 
 
-def yield_by_node(t: Tables) -> DataFrame:
-    return star(t).groupBy("technology_node").agg(*_measures()).orderBy(F.desc("avg_yield_pct"), "technology_node")
+def yield_rollup(t: Tables) -> DataFrame:
+    """(level, lot_id, product, technology_node, measures): all lots, products and nodes, by grouping sets over one join."""
+    level = F.when(F.grouping("lot_id") == 0, "lot").when(F.grouping("product") == 0, "product").otherwise("node")
+    sets = [[F.col("lot_id")], [F.col("product")], [F.col("technology_node")]]
+    return lot_state(t).groupingSets(sets, "lot_id", "product", "technology_node").agg(level.alias("level"), *_measures()).select("level", "lot_id", "product", "technology_node", "wafer_count", "avg_yield_pct", "avg_defect_density")
 
 
 def yield_summary(t: Tables) -> dict[str, DataFrame]:
-    return {"by_lot": yield_by_lot(t), "by_product": yield_by_product(t), "by_node": yield_by_node(t)}
+    """The three reports over one join, whose sums by lot are kept in the shared folder."""
+    state = kept(lot_state(t))
+    return {"by_lot": yield_by_lot(t, state), "by_product": yield_by_product(t, state), "by_node": yield_by_node(t, state)}
 
 
 def low_yield_wafers(t: Tables, threshold: float = 80.0) -> DataFrame:
@@ -65,12 +90,11 @@ def defect_by_product(t: Tables) -> DataFrame:
     return yield_by_lot(t).groupBy("product").agg(rounded(F.avg("avg_defect_density"), 4).alias("mean_lot_density")).orderBy(F.desc("mean_lot_density"), "product")
 
 
-def defect_box_by_node(t: Tables, exact: bool = True) -> DataFrame:
-    """Quartiles, whiskers within 1.5 IQR and outliers of the lots' densities. exact=False takes approximate quartiles,
-    for nodes with very many lots."""
-    lots = yield_by_lot(t).select("technology_node", F.col("avg_defect_density").alias("d"))
-    quartiles = F.percentile("d", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact else F.percentile_approx("d", [0.25, 0.5, 0.75], 10_000)
-    box = lots.groupBy("technology_node").agg(quartiles.alias("q")).select("technology_node", F.get("q", 0).alias("q1"), F.get("q", 1).alias("median"), F.get("q", 2).alias("q3"))
+def defect_box_by_node(t: Tables) -> DataFrame:
+    """Quartiles (exact), whiskers within 1.5 IQR and outliers of the lots' densities. Lots may be any number: the quartiles are
+    selected by histograms (exact_quantiles), so no node's lots meet in one place."""
+    lots = kept(yield_by_lot(t).select("technology_node", F.col("avg_defect_density").alias("d")))
+    box = exact_quantiles(lots, "technology_node", "d", [0.25, 0.5, 0.75]).toDF("technology_node", "q1", "median", "q3")
     rows = lots.join(box, "technology_node")
     iqr = F.col("q3") - F.col("q1")
     inside = F.col("d").between(F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr)

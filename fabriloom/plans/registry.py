@@ -150,6 +150,12 @@ PLANS: dict[str, tuple[Build, list[str], str]] = {
     "spc_flags_bucketed": (lambda t: spc.check_long_series(t["measurements"], 100), [FLAGS], "SELECT * FROM flags"),
     "spc_user_rules": (lambda t: spc.with_ids(spc.check_with(t["measurements"], USER_RULES, 200)).select("measurement_id", "step_id", "parameter", "rule_violated", (F.col("flag_id") < 0).alias("own_id")), [FLAGS, USER_FLAGS], "SELECT measurement_id, step_id, parameter, rule_violated, true AS own_id FROM user_flags"),
     "append_gate": (lambda t: gate.gate({"measurements": arriving(t)}, t), [ARRIVING], "SELECT 'measurements' AS table_name, * FROM (" + " UNION ALL ".join(GATE) + ")"),
+    "lot_genealogy_pages": (
+        lambda t: genealogy.lot_genealogy_pages(t, _flags(t), 4),
+        [FLAGS, "placed AS (SELECT wafer_id, measurement_id, (row_number() OVER (PARTITION BY wafer_id ORDER BY measurement_id) - 1) // 4 AS page FROM measurements), per_flag AS (SELECT measurement_id, count(*) AS f FROM flags GROUP BY measurement_id), pages AS (SELECT wafer_id, page, count(*) AS points, CAST(sum(coalesce(f, 0)) AS INTEGER) AS flags, min(measurement_id) AS first_point, max(measurement_id) AS last_point FROM placed LEFT JOIN per_flag USING (measurement_id) GROUP BY wafer_id, page), records AS (SELECT wafer_id, count(*) AS n FROM yield_records GROUP BY wafer_id)"],
+        "SELECT l.lot_id, w.wafer_id, coalesce(page, 0) AS page, CAST(CASE WHEN coalesce(page, 0) = 0 THEN coalesce(r.n, 0) ELSE 0 END AS INTEGER) AS yields, CAST(coalesce(points, 0) AS INTEGER) AS points, coalesce(p.flags, 0) AS flags, first_point, last_point FROM lots l LEFT JOIN wafers w USING (lot_id) LEFT JOIN pages p ON p.wafer_id = w.wafer_id LEFT JOIN records r ON r.wafer_id = w.wafer_id",
+    ),
+    "yield_summary": (yields.yield_rollup, [BY_LOT], f"SELECT 'lot' AS level, lot_id, CAST(NULL AS VARCHAR) AS product, CAST(NULL AS VARCHAR) AS technology_node, wafer_count, avg_yield_pct, avg_defect_density FROM by_lot UNION ALL SELECT 'product', NULL, product, NULL, {MEASURES} FROM {STAR} GROUP BY product UNION ALL SELECT 'node', NULL, NULL, technology_node, {MEASURES} FROM {STAR} GROUP BY technology_node"),
     "lot_genealogy_points": (lambda t: genealogy.lot_genealogy_points(t, _flags(t)), [FLAGS], "SELECT lot_id, wafer_id, wafer_number, measurement_id, step_name, m.parameter, value, coalesce((SELECT string_agg(rule_violated, ',' ORDER BY rule_violated) FROM flags f WHERE f.measurement_id = m.measurement_id), '') AS flags FROM measurements m JOIN wafers USING (wafer_id) JOIN lots USING (lot_id) LEFT JOIN process_steps USING (step_id)"),
     "process_step_stats_of_one": (lambda t: process.process_step_stats(t, STEP), [], f"SELECT step_id, step_name, tool_id, sequence_order, parameter, n, mean_value, variance, {_r('sqrt(greatest(variance, 0.0))', 6)} AS std_dev FROM (SELECT step_id, parameter, count(*) AS n, {_r('avg(value)', 4)} AS mean_value, {_r('var_pop(value)', 6)} AS variance FROM measurements WHERE step_id = {STEP} GROUP BY step_id, parameter) JOIN process_steps USING (step_id)"),
     "expected_pass_counts": (yields.expected_pass_counts, [NODES, EXPECTED], "SELECT record_id, wafer_id, CAST(round_even(die_count * e / 100, 0) AS INT) AS expected_pass FROM expected"),
@@ -168,6 +174,6 @@ def _query(build: Build) -> Callable[[SparkSession, str], DataFrame]:
 
 
 QUERIES = {name: _query(build) for name, (build, _, _) in PLANS.items()}
-#: Nested rows have no SQL of their own; lot_genealogy_points compares what is in them.
+#: Nested rows have no SQL of their own; lot_genealogy_points and lot_genealogy_pages compare what is in them.
 QUERIES["lot_genealogy"] = _query(lambda t: genealogy.lot_genealogy(t, _flags(t)))
 ORACLE_SQL = {name: f"{', '.join([VIEWS, *more])} {select}" for name, (_, more, select) in PLANS.items()}
