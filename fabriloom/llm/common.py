@@ -151,15 +151,17 @@ def held_out(doc_id, mod: int, remainder: int):
     return F.coalesce(F.crc32(doc_id.cast("string")) % mod == remainder, F.lit(True))
 
 
-def label_sample(rows: DataFrame, by: str, per_class: int, seed: int = 7, classes: int = 64) -> DataFrame:
+def label_sample(rows: DataFrame, by: str, per_class: int, seed: int = 7, classes: int = 64, total: int | None = None) -> DataFrame:
     """About per_class rows of each value of by, chosen by the hash of doc_id over all rows. Of more than so many
-    values the most frequent are learned.
+    values the most frequent are learned. With total, many values share so many rows evenly.
 
     The counts come from one aggregate over every row; what is returned is bounded by the number of
     classes times per_class, however large the input is."""
     counts = rows.groupBy(by).count().orderBy(F.desc("count"), by).limit(classes).collect()
     if not counts:
         return rows.limit(0)
+    if total is not None:
+        per_class = min(per_class, -(-total // len(counts)))
     share = F.lit(0.0)
     for r in counts:
         share = F.when(F.col(by) == F.lit(r[by]), F.lit(min(1.0, per_class / r["count"]))).otherwise(share)

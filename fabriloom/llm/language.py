@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from fabriloom.llm import textops as T
 from fabriloom.llm.common import held_out, label_sample, sample_texts, small_batches
 
-#: log2 of the n-gram buckets, labelled texts of each language to learn from, largest margin gap called ambiguous.
-BITS, PER_LANGUAGE, AMBIGUOUS = 12, 600, 0.1
+#: log2 of the n-gram buckets; labelled texts of each language to learn from, and of all together; languages that codewords are
+#: made for (a table of lang with more values learns the most frequent); largest margin gap called ambiguous.
+BITS, PER_LANGUAGE, TEXTS, LANGUAGES, AMBIGUOUS = 12, 600, 38_400, 2_000, 0.1
 _LETTER = regex.compile(r"\p{L}")
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -41,9 +42,9 @@ def codewords(n: int, longest: int = 15, draws: int = 200, seed: int = 11) -> np
         return np.tile(every, (1, -(-6 // every.shape[1])))
     size = longest if n <= 7 else max(longest, 5 * (n - 1).bit_length())
     best, least = None, -1
-    for _ in range(draws):
+    for _ in range(draws if n <= 200 else 5):
         code = every[:, rng.choice(every.shape[1], size, replace=False)] if n <= 7 else rng.choice((-1, 1), (n, size))
-        apart = min(int((code[i] != code[j]).sum()) for i in range(n) for j in range(i))
+        apart = int(((size - code.astype(np.float32) @ code.T) / 2 + size * np.eye(n)).min())
         if apart > least and (np.abs(code.sum(0)) < n).all():
             best, least = code, apart
     return best
@@ -116,10 +117,11 @@ def predict(texts: pa.Array, model: dict) -> tuple[list[str], np.ndarray, np.nda
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
-    """The model of about per_language texts of each language (of very many languages, the most frequent), none of them held
-    out. Texts are whole; of the drawn ones as many are taken, in the order of a hash, as sample_texts() has bytes for."""
+    """The model of about per_language texts of each language (of TEXTS in all, if there are more than 64 languages), none of
+    them held out. Texts are whole; of the drawn ones as many are taken, in the order of a hash, as sample_texts() has
+    bytes for."""
     usable = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), 4, 2))
-    got = sample_texts(usable, label_sample(usable, "lang", per_language).select("doc_id", "lang").distinct(), "lang", ("doc_id", "lang"))
+    got = sample_texts(usable, label_sample(usable, "lang", per_language, classes=LANGUAGES, total=TEXTS).select("doc_id", "lang").distinct(), "lang", ("doc_id", "lang"))
     return train(got.column("text").cast(pa.large_string()).combine_chunks(), got.column("lang").to_pylist())
 
 
