@@ -179,9 +179,9 @@ def test_licenses_with_many_telling_words(spark):
         for label, template, keys, others in licenses.TEMPLATES:
             parts = template.split()
             total = sum(idf[x] for x in parts if x in idf)
+            first = [next(p for p in range(len(parts)) if parts[p : p + len(k.split())] == k.split()) for k in keys]
             for at in range(-len(parts), len(w)):
                 here = lambda p: w[at + p] if 0 <= at + p < len(w) else None  # noqa: B023, E731
-                first = [next(p for p in range(len(parts)) if parts[p : p + len(k.split())] == k.split()) for k in keys]
                 other = any(w[max(0, at + min(first)) :][: len(o.split())] == o.split() for o in others)
                 if not other and all(here(f + j) == x for f, k in zip(first, keys) for j, x in enumerate(k.split())):
                     held = sum(idf[x] for p, x in enumerate(parts) if x in idf and here(p) == x) / total
@@ -313,14 +313,16 @@ def test_registered_queries(spark, docs, tmp_path):
     """Every opN query runs on a small folder and keeps the rows; what SQL can express is compared with it elsewhere."""
     from fabriloom.llm.queries import QUERIES
 
-    plain_docs = docs.select("doc_id", "text", F.lit("aa").alias("lang"))
+    plain_docs = docs.select("doc_id", "text", F.lit("aa").alias("lang"), F.lit("web").alias("source"), F.length("text").alias("n_chars"))
     plain_docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, i % 2, int(i % 3 == 0)) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([("a", dict(corpus())[20])], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(1, "u", "x"), (2, "u", "x"), (3, "v", None), (4, "v", "")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(i, [float(i % 5), float(i % 3)]) for i in range(20)] + [(20, None)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    counts = {"op2_warc": 4, "op12_whitening": 40, "embedding_deviations": 40}
     for name, query in QUERIES.items():
         rows = query(spark, str(tmp_path)).collect()
-        assert len(rows) == (4 if name == "op2_warc" else docs.count()), name
+        assert len(rows) == counts.get(name, docs.count()), name
         if name == "op2_warc":
             digest = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
             assert sorted(tuple(r) for r in rows) == [(1, 1, digest(b"x"), "response", None), (2, 1, digest(b"x"), "revisit", 1), (3, 0, digest(b""), "response", None), (4, 0, digest(b""), "revisit", 3)]
