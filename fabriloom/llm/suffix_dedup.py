@@ -57,8 +57,7 @@ def phrases(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     none = np.zeros(0, np.int64)
     if len(data) < length:
         return {"trigger": none.view(np.uint64), "phrase": none.view(np.uint64), "row": none, "first": none, "last": none}
-    prefix = T.Prefix(data)
-    grams = prefix.grams(gram)
+    grams = T.grams(data, gram)
     starts = np.arange(len(grams))
     # equal hashes count as equal grams, of which the leftmost is taken: that is the same in equal windows
     lowest = _sliding_min((grams & ~_PLACE) | starts.astype(np.uint64), length - gram + 1)
@@ -69,7 +68,7 @@ def phrases(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     cut = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (row[1:] != row[:-1])]) if len(whole) else none
     first, last = whole[cut], whole[np.r_[cut[1:], len(whole)] - 1] if len(whole) else none
     trigger = at[cut]
-    phrase = T.mix64(prefix.spans(first, last + length) + (trigger - first).astype(np.uint64))
+    phrase = T.mix64(T.span_hashes(data, first, last + length) + (trigger - first).astype(np.uint64))
     return {"trigger": grams[trigger], "phrase": phrase, "row": row[cut], "first": first, "last": last}
 
 
@@ -201,7 +200,7 @@ def compare_hot(rows: DataFrame, length: int = LENGTH) -> DataFrame:
             phrase = T.column(batch, "phrase").to_numpy(zero_copy_only=False)
             for at in range(0, len(phrase), 200):
                 data, owner, place, start = _suffixes(T.column(batch, "body").slice(at, 200).to_pylist(), length)
-                yield _batch(suffix=_longs(T.Prefix(data).spans(start, start + length)), phrase=pa.array(phrase[at : at + 200][owner]), place=pa.array(place))
+                yield _batch(suffix=_longs(T.grams(data, length)[start]), phrase=pa.array(phrase[at : at + 200][owner]), place=pa.array(place))
 
     each = rows.mapInArrow(run, "suffix long, phrase long, place long")
     common = each.groupBy("suffix").agg(F.min("phrase").alias("p"), F.max("phrase").alias("q")).where("p < q").select("suffix")

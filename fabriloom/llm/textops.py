@@ -4,6 +4,7 @@ Every function takes a block: the concatenated bytes of some rows and the offset
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,9 +12,8 @@ import pyarrow as pa
 
 from fabriloom.llm.common import mix64
 
-BASE = np.uint64(0x9E6C63D0876A9A35)
-BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
+#: Odd multipliers of the hashes, and the bytes from which on a span is hashed by blake2b.
+SPREAD, TURN, LONG = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), 65
 
 
 def _table(bytes_of, word: bool = True) -> np.ndarray:
@@ -29,17 +29,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE^i and BASE^-i mod 2^64 for i < n."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, 1 << 19)
-        for name, base in (("up", BASE), ("down", BASE_INVERSE)):
-            step = np.full(size, base)
-            step[0] = 1
-            _powers[name] = np.multiply.accumulate(step)
-    return _powers["up"][:n], _powers["down"][:n]
-
-
 def blocks(column: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) for runs of rows of about limit bytes; nulls are empty. What Arrow
     freed of earlier batches goes back to the system first: two Python workers stand beside a full JVM heap."""
@@ -58,37 +47,48 @@ def blocks(column: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, int, n
         lo = hi
 
 
-class Prefix:
-    """Rolling hashes of a block. A span of 8 bytes or more is hashed as a polynomial over its scrambled runs of 8 bytes,
-    so that sequences of two letters that cancel out in a polynomial over bytes (Thue-Morse words, modulo 2^64) don't; a
-    shorter span by its bytes themselves."""
-
-    def __init__(self, data: np.ndarray):
-        n = len(data)
-        padded = np.zeros(n + 8, np.uint8)
-        padded[:n] = data
-        self.runs = np.ndarray((n + 1,), "<u8", padded, strides=(1,)).astype(np.uint64)
-        value = self.runs * np.uint64(0xD6E8FEB86659FD93)
-        value ^= value >> np.uint64(32)
-        value *= powers(n + 1)[0]
-        self.sums = np.zeros(n + 2, np.uint64)
-        np.cumsum(value, out=self.sums[1:])
-
-    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """A hash of the bytes from start to end that does not depend on where they stand."""
-        size = (end - start).astype(np.uint64)
-        short = size < 8
-        total = (self.sums[np.maximum(end - 7, start)] - self.sums[start]) * powers(len(self.runs))[1][start]
-        if short.any():
-            own = self.runs[start[short]] & ((np.uint64(1) << (size[short] * np.uint64(8))) - np.uint64(1))
-            total[short] = mix64(own + np.uint64(0x9E3779B97F4A7C15))
-        return mix64(total + size)
-
-    def grams(self, width: int) -> np.ndarray:
-        """spans() of every run of width bytes, 8 or more."""
-        n = len(self.runs) - 1
-        total = (self.sums[width - 7 : n - 6] - self.sums[: n - width + 1]) * powers(n + 1)[1][: n - width + 1]
-        return mix64(total + np.uint64(width))
+def _runs(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place of a block on, as a number; behind the block come zeros."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the bytes from start to end that does not depend on where they stand: of spans below LONG bytes their
+    runs of 8 bytes, scrambled one after the other, so that nothing cancels out; of longer ones blake2b."""
+    runs, size = _runs(data), end - start
+    own, tail = runs[start], runs[np.maximum(end - 8, start)]
+    short = size < 8
+    if short.any():
+        own[short] &= (np.uint64(1) << (size[short].astype(np.uint64) * np.uint64(8))) - np.uint64(1)
+        tail[short] = 0
+    total = mix64(own + size.astype(np.uint64) * SPREAD)
+    at = np.flatnonzero((size > 16) & (size < LONG))
+    for step in range(8, LONG, 8):
+        at = at[size[at] > step + 8]
+        if not len(at):
+            break
+        total[at] = mix64(total[at] * TURN + runs[start[at] + step])
+    total = mix64(total * TURN + tail)
+    if (size >= LONG).any():
+        raw = memoryview(np.ascontiguousarray(data))
+        for i in np.flatnonzero(size >= LONG):
+            total[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : end[i]], digest_size=8).digest(), "little")
+    return total
+
+
+def grams(data: np.ndarray, width: int) -> np.ndarray:
+    """A hash of every run of width bytes, 8 or more, of a block: of two halves (which overlap where width is no power of two),
+    scrambled at every doubling, so that nothing cancels out."""
+    if len(data) < width:
+        return np.zeros(0, np.uint64)
+    out, have = mix64(_runs(data)[: len(data) - 7] + np.uint64(width * int(TURN) % 2**64)), 8
+    while have < width:
+        step = min(have, width - have)
+        out = mix64(out[:-step] * SPREAD + (out[step:] ^ (out[step:] >> np.uint64(29))))
+        have += step
+    return out
 
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,7 +124,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, limi
         return tuple(np.concatenate(x) for x in zip(*out))
     low = LOWER[data]
     start, end, row = word_bounds(low, offsets, is_word)
-    return Prefix(low).spans(start, end), row, start, end
+    return span_hashes(low, start, end), row, start, end
 
 
 SHINGLE_FACTORS = np.random.default_rng(51).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

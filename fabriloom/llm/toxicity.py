@@ -48,7 +48,7 @@ def _subwords(data: np.ndarray, offsets: np.ndarray, bits: int):
         if n in _MULTIPLY:
             i = np.flatnonzero(letters[n - 1 : len(s)] - letters[1 : len(s) - n + 2] == n - 2)
             grams.append((i, ((packed[i] * _MULTIPLY[n]) >> np.uint64(64 - bits)).astype(np.int64)))
-    whole = T.Prefix(s).spans(start, end) >> np.uint64(64 - bits)
+    whole = T.span_hashes(s, start, end) >> np.uint64(64 - bits)
     return grams, start, end, row, whole.astype(np.int64), len(s)
 
 
@@ -89,7 +89,7 @@ def pooled(z: np.ndarray, rows: np.ndarray, n: int, bias: float) -> np.ndarray:
     return out
 
 
-def train(texts: pa.Array, labels: np.ndarray, bits: int = BITS, rounds: int = 40, rate: float = 4.0, least_share: float = 0.01, seed: int = 3) -> dict:
+def train(texts: pa.Array, labels: np.ndarray, bits: int = BITS, rounds: int = 90, rate: float = 4.0, shrink: float = 0.01, seed: int = 3) -> dict:
     """Embeddings and softmax by gradient steps on the whole sample at once; returns each embedding's softmax value."""
     labels = np.asarray(labels, np.float64)
     if not len(labels) or labels.min() == labels.max():
@@ -113,11 +113,12 @@ def train(texts: pa.Array, labels: np.ndarray, bits: int = BITS, rounds: int = 4
         n_passages += len(first)
     bucket, passage, rows = (np.concatenate([np.zeros(0, x[0].dtype if x else np.int32), *x]) for x in (bucket, passage, rows))
     size = np.bincount(passage, minlength=n_passages).astype(np.float64)
-    # subwords of few documents can only memorise wrong labels; they keep the value 0 and count in the averages
-    used = np.flatnonzero(docs_with >= max(2, least_share * len(labels)))
-    if not len(used):
+    used = np.flatnonzero(docs_with)
+    if docs_with.max() < 2:
         share = labels.mean()
         return {"values": np.zeros(1 << bits, np.float32), "bias": float(np.log(share / (1 - share))), "bits": bits, "flat": True}
+    # what few documents hold can only memorise wrong labels: its embedding moves so much more slowly
+    trust = (docs_with[used] / (docs_with[used] + shrink * len(labels))) ** 2
     place = np.full(1 << bits, -1, np.int32)
     place[used] = np.arange(len(used))
     kept = place[bucket] >= 0
@@ -129,7 +130,7 @@ def train(texts: pa.Array, labels: np.ndarray, bits: int = BITS, rounds: int = 4
         return sum((np.bincount(to[c], values[of[c]], n) for c in parts), np.zeros(n))
 
     rng = np.random.default_rng(seed)
-    e, w, bias = rng.normal(0, 0.1, (len(used), SIZE)), rng.normal(0, 0.5, (SIZE, 2)), -4.0
+    e, w, bias = rng.normal(0, 0.1, (len(used), SIZE)) * trust[:, None], rng.normal(0, 0.5, (SIZE, 2)), -4.0
     importance = np.full(len(labels), 1 / len(labels))
     first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
     many, doc = np.diff(np.r_[first, len(rows)]), rows[first]
@@ -142,7 +143,7 @@ def train(texts: pa.Array, labels: np.ndarray, bits: int = BITS, rounds: int = 4
         p = 1 / (1 + np.exp(-np.clip(top + np.log(total), -50, 50)))
         slope = np.repeat(importance[doc] * (p - labels[doc]) / total, many) * share
         g = summed(bucket, slope / size, passage, len(used))
-        g_e, g_w = np.outer(g, direction), e.T @ g
+        g_e, g_w = np.outer(trust * g, direction), e.T @ g
         pace = rate * (1 - step / rounds) ** 0.5
         # steps in proportion to the slopes: what many documents share moves, what a few have hardly does
         e -= pace * g_e / (np.abs(g_e).max() + 1e-30)

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fabriloom.llm import decontamination, fingerprints, jaccard_join, language, licenses, mixing, quality, suffix_dedup, toxicity, warc
+from fabriloom.llm import textops as T
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 PLAIN = re.compile("[^\x20\x09-\x0d]+")
@@ -79,13 +80,14 @@ def test_jaccard_join(docs, empty):
 
 
 def test_jaccard_join_of_hostile_texts(spark):
-    # Thue-Morse words and their complements agree modulo 2^64 under every polynomial over bytes
+    # Thue-Morse words and their complements agree modulo 2^64 under every polynomial over bytes, or over blocks of 8 bytes
     thue = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+    blocks = ["ccccccc" + "".join(f"{two[bin(k).count('1') % 2]}ccccccc" for k in range(n)) for n in (4, 256, 1024) for two in ("ab", "ba")]
     rng = random.Random(12)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
     # a large comp in several units, with a text that is similar to one of its members only
     base = [word() for _ in range(60)]
-    rows = [thue[:1024], thue[1024:], thue, *(" ".join([*base[:k % 7], word(), *base[k % 7 :]]) for k in range(200))]
+    rows = [thue[:1024], thue[1024:], thue, *blocks, *(" ".join([*base[:k % 7], word(), *base[k % 7 :]]) for k in range(200))]
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
     sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)} for w in (t.split() for t in rows)]
     root = list(range(len(rows)))
@@ -95,7 +97,7 @@ def test_jaccard_join_of_hostile_texts(spark):
                 old, new = max(root[a], root[b]), min(root[a], root[b])
                 root = [new if v == old else v for v in root]
     got = {r["doc_id"]: r["component_id"] for r in jaccard_join.components(docs).collect()}
-    assert got == dict(enumerate(root)) and len(set(root[:3])) == 3
+    assert got == dict(enumerate(root)) and len(set(root[:9])) == 9
 
 
 @pytest.mark.parametrize(("hot", "piece"), [(2000, 1 << 22), (2, 1000)])
@@ -247,6 +249,24 @@ def test_warc(spark, tmp_path):
             assert r["response"]["warc_type"] == "revisit" and page[r["response"]["refers_to"]] == first[payload]
 
 
+def test_hashes_of_spans():
+    rng = np.random.default_rng(4)
+    data = rng.integers(97, 99, 6000).astype(np.uint8)
+    start = rng.integers(0, 5800, 4000)
+    end = start + rng.integers(0, 140, 4000)
+    texts = [bytes(data[a:z]) for a, z in zip(start, end)]
+    # equal bytes, and only they, have equal hashes, wherever they stand
+    pairs = set(zip(texts, T.span_hashes(data, start, end).tolist()))
+    assert len(pairs) == len(set(texts)) == len({h for _, h in pairs})
+    moved = np.concatenate([data[:3], data])
+    assert (T.span_hashes(moved, start + 3, end + 3) == T.span_hashes(data, start, end)).all()
+    for width in (8, 13, 50, 200):
+        runs = [bytes(data[k : k + width]) for k in range(len(data) - width + 1)]
+        pairs = set(zip(runs, T.grams(data, width).tolist()))
+        assert len(pairs) == len(set(runs)) == len({h for _, h in pairs})
+    assert len(T.grams(data[:7], 8)) == 0
+
+
 def test_tiny_blocks():
     rng = np.random.default_rng(1)
     model = toxicity.train(pa.array(["a bad word here", "a good word here"] * 10), np.array([1, 0] * 10))
