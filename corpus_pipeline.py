@@ -1,8 +1,8 @@
 """The corpus pipeline: documents in, weighted training documents out.
 
 Each stage takes (spark, docs, sf_dir), works on every row that its predecessor kept, and returns a DataFrame; all
-but the last return the columns of documents. run() writes each stage's rows to the shared folder and reads them again
-for the next one.
+but the last return the columns of documents. run() writes each stage's rows to the shared folder, reads them again
+for the next one, and deletes them once that is written.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fabriloom.llm import decontamination, jaccard_join, mixing, suffix_dedup, toxicity
-from fabriloom.llm.common import fresh, small_batches, stage
+from fabriloom.llm.common import discard, fresh, small_batches, stage
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,6 +80,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = None
     for name, function in STAGES:
-        docs = stage(function(spark, docs, sf_dir), name)
+        docs, before = stage(function(spark, docs, sf_dir), name), kept
+        if before is not None:  # what the stage read is no longer needed
+            discard(before)
+        kept = docs
     return docs
