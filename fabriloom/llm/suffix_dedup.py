@@ -13,9 +13,13 @@ the same window have the same trigger), each task builds the suffix array of its
 bytes, and suffixes next to one another that agree to the depth of a window are places where different phrases repeat.
 Phrases whose trigger nothing shares are alone at their places in that order and are left out of it.
 
-Texts go by content: copies have the same phrases, so the spans of a text are worked out once. The suffixes of
-triggers with more than HOT phrases are grouped by Spark, by 64-bit identities and combined before the shuffle. Phrase
-and text identities are 64-bit hashes. Texts of many megabytes are parsed in overlapping pieces.
+A trigger of more than MANY phrases would fill a task, so its phrases are parsed once more, by the gram that is least
+after the trigger (equal windows agree on that one too): the shorter phrases are counted like the first ones, and
+those of one second trigger are a part of the dictionary with a suffix array of its own. Should more than HOT different ones
+share even that, Spark groups their suffixes by 128-bit identities, combined before the shuffle.
+
+Texts go by content: copies have the same phrases, so the spans of a text are worked out once. Phrases and texts are
+identified by 128 bits. Texts of many megabytes are parsed in overlapping pieces.
 
 Defined results: a null text is empty; texts shorter than `length` keep everything; copies of long enough
 texts lose everything, as do repeated rows; a null doc_id is kept as null; extra columns, whatever their names, are ignored
@@ -35,9 +39,12 @@ from pyspark.sql import functions as F
 from fabriloom.llm import textops as T
 from fabriloom.llm.common import BitMap, Seen, bit_map, discard, fresh, small_batches, stage
 
-#: Bytes of a string whose repetition is removed; bytes of a trigger; phrases of a trigger beyond which Spark groups their
-#: suffixes (up to there a task holds 7 MB of them at most); bytes of a text that are parsed at once.
-LENGTH, GRAM, HOT, PIECE = 200, 50, 20_000, 1 << 22
+#: Bytes of a string whose repetition is removed; bytes of a trigger; phrases of a trigger beyond which they are parsed by a
+#: second one; phrases of both beyond which Spark groups their suffixes (up to there a task holds 7 MB of them at most); bytes
+#: of a text that are parsed at once.
+LENGTH, GRAM, MANY, HOT, PIECE = 200, 50, 1_000, 20_000, 1 << 22
+#: What identifies a phrase, and a text.
+PHRASE, TEXT = ["phrase", "check"], ["text_key", "text_check"]
 _PLACE = np.uint64((1 << 28) - 1)
 
 
@@ -53,10 +60,11 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def phrases(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> dict:
-    """The phrases of the rows of a block: trigger hash, phrase hash, row, first and last window start in the block."""
+    """The phrases of the rows of a block: trigger hash, both halves of the phrase's identity, row, first and last window
+    start in the block."""
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return {"trigger": none.view(np.uint64), "phrase": none.view(np.uint64), "row": none, "first": none, "last": none}
+        return {n: none.view(np.uint64) for n in ("trigger", *PHRASE)} | {n: none for n in ("row", "first", "last")}
     grams = T.grams(data, gram)
     starts = np.arange(len(grams))
     # equal hashes count as equal grams, of which the leftmost is taken: that is the same in equal windows
@@ -68,8 +76,8 @@ def phrases(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     cut = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (row[1:] != row[:-1])]) if len(whole) else none
     first, last = whole[cut], whole[np.r_[cut[1:], len(whole)] - 1] if len(whole) else none
     trigger = at[cut]
-    phrase = T.mix64(T.span_hashes(data, first, last + length) + (trigger - first).astype(np.uint64))
-    return {"trigger": grams[trigger], "phrase": phrase, "row": row[cut], "first": first, "last": last}
+    phrase = T.digests(data, first, last + length)
+    return {"trigger": grams[trigger], "phrase": phrase[:, 0], "check": phrase[:, 1], "row": row[cut], "first": first, "last": last}
 
 
 def parsed(text: pa.Array, length: int, piece: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int, dict]]:
@@ -92,26 +100,22 @@ def _batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-def content_key(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A 64-bit identity of each row's bytes."""
-    return np.array([int.from_bytes(hashlib.blake2b(data[a:z], digest_size=8).digest(), "little", signed=True) for a, z in zip(offsets, offsets[1:])], np.int64)
-
-
 def dictionary(docs: DataFrame, length: int = LENGTH, piece: int = PIECE) -> DataFrame:
-    """(trigger, phrase, n): the distinct phrases and how often they are parsed. One task sends each phrase of a block once."""
+    """(trigger, phrase, check, n): the distinct phrases and how often they are parsed. One task sends each phrase of a block
+    once."""
 
     def run(batches):
         for batch in batches:
             for *_, p in parsed(T.column(batch, "text"), length, piece):
                 if len(p["phrase"]):
                     _, at, n = np.unique(p["phrase"], return_index=True, return_counts=True)
-                    yield _batch(trigger=_longs(p["trigger"][at]), phrase=_longs(p["phrase"][at]), n=pa.array(n))
+                    yield _batch(**{c: _longs(p[c][at]) for c in ("trigger", *PHRASE)}, n=pa.array(n))
 
-    return docs.select("text").mapInArrow(run, "trigger long, phrase long, n long").groupBy("trigger", "phrase").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "trigger long, phrase long, check long, n long").groupBy("trigger", *PHRASE).agg(F.sum("n").alias("n"))
 
 
 def shared_phrases(docs: DataFrame, shared: BitMap, length: int = LENGTH, piece: int = PIECE) -> DataFrame:
-    """(trigger, phrase, body): the bytes of each phrase whose trigger passes, once."""
+    """(trigger, phrase, check, body): the bytes of each phrase whose trigger passes, once."""
 
     def run(batches):
         seen = Seen()
@@ -123,9 +127,9 @@ def shared_phrases(docs: DataFrame, shared: BitMap, length: int = LENGTH, piece:
                 hit = hit[seen.new(p["phrase"][hit])]
                 if len(hit):
                     body = [data[a:z].tobytes() for a, z in zip(base + p["first"][hit], base + p["last"][hit] + length)]
-                    yield _batch(trigger=_longs(p["trigger"][hit]), phrase=_longs(p["phrase"][hit]), body=pa.array(body, pa.binary()))
+                    yield _batch(**{c: _longs(p[c][hit]) for c in ("trigger", *PHRASE)}, body=pa.array(body, pa.binary()))
 
-    return docs.select("text").mapInArrow(run, "trigger long, phrase long, body binary").groupBy("trigger", "phrase").agg(F.first("body").alias("body"))
+    return docs.select("text").mapInArrow(run, "trigger long, phrase long, check long, body binary").groupBy("trigger", *PHRASE).agg(F.first("body").alias("body"))
 
 
 def _suffixes(body: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -155,15 +159,15 @@ def suffix_array(data: np.ndarray, start: np.ndarray, depth: int) -> tuple[np.nd
     return order, np.r_[False, rank[order][1:] == rank[order][:-1]]
 
 
-def _runs(phrase: np.ndarray, owner: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    """(phrase, first place, last place) of runs of neighbouring windows; owner and place are in order."""
+def _runs(table: pa.Table, owner: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """(phrase, check, first place, last place) of runs of neighbouring windows; owner and place are in order."""
     new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (place[1:] != place[:-1] + 1)]) if len(owner) else np.zeros(0, np.int64)
     end = np.r_[new[1:], len(owner)] - 1 if len(new) else new
-    return _batch(phrase=_longs(phrase[owner[new]]), a=pa.array(place[new]), z=pa.array(place[end]))
+    return _batch(**{c: pa.array(table.column(c).to_numpy()[owner[new]]) for c in PHRASE}, a=pa.array(place[new]), z=pa.array(place[end]))
 
 
 def compare(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(phrase, a, z): places of windows that another phrase also has, by the suffix arrays of the parts of the dictionary. All
+    """(phrase, check, a, z): places of windows that another phrase also has, by the suffix arrays of the parts of the dictionary. All
     phrases of a trigger come one after another, so memory holds a batch and one trigger's phrases."""
 
     def run(batches):
@@ -187,9 +191,9 @@ def compare(rows: DataFrame, length: int = LENGTH) -> DataFrame:
         if len(start):
             order, same = suffix_array(data, start, length)
             again[order[same]] = again[order[:-1][same[1:]]] = True
-        return _runs(table.column("phrase").to_numpy().view(np.uint64), owner[again], place[again])
+        return _runs(table, owner[again], place[again])
 
-    return rows.repartition("trigger").sortWithinPartitions("trigger").mapInArrow(run, "phrase long, a long, z long")
+    return rows.repartition("trigger").sortWithinPartitions("trigger").mapInArrow(run, "phrase long, check long, a long, z long")
 
 
 def compare_hot(rows: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -197,21 +201,71 @@ def compare_hot(rows: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            phrase = T.column(batch, "phrase").to_numpy(zero_copy_only=False)
-            for at in range(0, len(phrase), 200):
+            own = [T.column(batch, c).to_numpy(zero_copy_only=False) for c in PHRASE]
+            for at in range(0, batch.num_rows, 200):
                 data, owner, place, start = _suffixes(T.column(batch, "body").slice(at, 200).to_pylist(), length)
-                yield _batch(suffix=_longs(T.grams(data, length)[start]), phrase=pa.array(phrase[at : at + 200][owner]), place=pa.array(place))
+                yield _batch(suffix=_longs(T.grams(data, length)[start]), suffix_check=_longs(T.grams(data, length, 1)[start]), **{c: pa.array(x[at : at + 200][owner]) for c, x in zip(PHRASE, own)}, place=pa.array(place))
 
-    each = rows.mapInArrow(run, "suffix long, phrase long, place long")
-    common = each.groupBy("suffix").agg(F.min("phrase").alias("p"), F.max("phrase").alias("q")).where("p < q").select("suffix")
+    each, suffix = rows.mapInArrow(run, "suffix long, suffix_check long, phrase long, check long, place long"), ["suffix", "suffix_check"]
+    ends = [f(c).alias(f"{n}_{c}") for c in PHRASE for n, f in (("low", F.min), ("top", F.max))]
+    common = each.groupBy(*suffix).agg(*ends).where("low_phrase < top_phrase or low_check < top_check").select(*suffix)
     # neighbouring places of a phrase, of which there are at most as many as a phrase has bytes, become runs
-    places = each.join(common, "suffix", "left_semi").groupBy("phrase").agg(F.collect_set("place").alias("p"))
+    places = each.join(common, suffix, "left_semi").groupBy(*PHRASE).agg(F.collect_set("place").alias("p"))
     first, last = (F.array_sort(F.filter("p", lone)) for lone in (lambda x: ~F.array_contains("p", x - 1), lambda x: ~F.array_contains("p", x + 1)))
-    return places.select("phrase", first.alias("a"), last.alias("z")).select("phrase", F.explode(F.arrays_zip("a", "z")).alias("r")).select("phrase", "r.a", "r.z")
+    return places.select(*PHRASE, first.alias("a"), last.alias("z")).select(*PHRASE, F.explode(F.arrays_zip("a", "z")).alias("r")).select(*PHRASE, "r.a", "r.z")
+
+
+def second_cuts(body: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A phrase cut where the least gram besides its trigger changes: that gram's hash, first and last window of each run. All
+    windows of a phrase hold its trigger, so minima from there to either side decide; of equal ones the leftmost."""
+    grams = T.grams(np.frombuffer(body, np.uint8), gram)
+    ranked = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
+    trigger = int(ranked.argmin())
+    ranked[trigger] = np.iinfo(np.uint64).max
+    before = np.minimum.accumulate(ranked[trigger::-1])[::-1]
+    after = np.minimum.accumulate(ranked[trigger:])
+    window = np.arange(len(body) - length + 1)
+    second = np.minimum(before[window], after[window + length - gram - trigger])
+    cut = np.flatnonzero(np.r_[True, second[1:] != second[:-1]])
+    return grams[(second[cut] & _PLACE).astype(np.int64)], cut, np.r_[cut[1:], len(window)] - 1
+
+
+def compare_large(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """compare() for triggers of many phrases, which are parsed once more by a second trigger; and the staged tables that
+    its result reads."""
+
+    def run(batches):
+        for batch in batches:
+            out, owner = {n: [] for n in ("trigger", "piece", "first", "many", "body")}, []
+            body = T.column(batch, "body").to_pylist()
+            for i, (trigger, own) in enumerate(zip(T.column(batch, "trigger").to_pylist(), body)):
+                second, first, last = second_cuts(own, length, gram)
+                out["trigger"].append(T.mix64(T.mix64(second) + np.uint64(trigger % 2**64)))
+                out["piece"].append(T.digests(np.frombuffer(own, np.uint8), first, last + length))
+                out["first"].append(first)
+                out["many"].append(last - first + 1)
+                out["body"] += [own[a : z + length] for a, z in zip(first.tolist(), last.tolist())]
+                owner += [i] * len(first)
+            if owner:
+                whole = {n: np.concatenate(out[n]) for n in ("trigger", "piece", "first", "many")}
+                outer = {f"outer_{c}": T.column(batch, c).take(pa.array(owner)) for c in PHRASE}
+                yield _batch(trigger=_longs(whole["trigger"]), phrase=_longs(whole["piece"][:, 0]), check=_longs(whole["piece"][:, 1]), **outer, first=pa.array(whole["first"]), many=pa.array(whole["many"]), body=pa.array(out["body"], pa.binary()))
+
+    cuts = stage(rows.mapInArrow(run, "trigger long, phrase long, check long, outer_phrase long, outer_check long, first long, many long, body binary"), "cuts")
+    # a window stands at one place of a phrase, so a piece that is cut twice is of two phrases
+    pieces = stage(cuts.groupBy("trigger", *PHRASE).agg(F.count(F.lit(1)).alias("n"), F.first("body").alias("body")), "pieces")
+    repeated = pieces.where("n > 1").select(*PHRASE)
+    by_trigger = pieces.groupBy("trigger").agg(F.count(F.lit(1)).alias("phrases")).where("phrases > 1")
+    few, many = (pieces.join(by_trigger.where(x), "trigger", "left_semi") for x in (F.col("phrases") <= HOT, F.col("phrases") > HOT))
+    parts = compare(few, length).union(compare_hot(many, length)).join(repeated, PHRASE, "left_anti")
+    known = repeated.select(*PHRASE, F.lit(0).cast("long").alias("a"), F.lit(None).cast("long").alias("z")).union(parts)
+    places = F.col("first") + F.col("a"), F.col("first") + F.coalesce("z", F.col("many") - 1)
+    return cuts.drop("body").join(known, PHRASE).select(*(F.col(f"outer_{c}").alias(c) for c in PHRASE), places[0].alias("a"), places[1].alias("z")), (cuts, pieces)
 
 
 def parse(docs: DataFrame, wanted: BitMap, length: int = LENGTH, piece: int = PIECE) -> DataFrame:
-    """The parse, as far as the filter lets pass: (text_key, phrase, start, windows), starts in bytes of the text."""
+    """The parse, as far as the filter lets pass: (text_key, text_check, phrase, check, start, windows), starts in bytes of
+    the text."""
 
     def run(batches):
         for batch in batches:
@@ -219,35 +273,35 @@ def parse(docs: DataFrame, wanted: BitMap, length: int = LENGTH, piece: int = PI
                 hit = wanted.hit(p["phrase"])
                 row = p["row"][hit]
                 if len(row):
-                    key = np.zeros(len(offsets) - 1, np.int64)
-                    for r in np.unique(row):
-                        key[r] = content_key(data, offsets[r : r + 2])[0]
-                    yield _batch(text_key=pa.array(key[row]), phrase=_longs(p["phrase"][hit]), start=pa.array(base + p["first"][hit] - offsets[row]), windows=pa.array(p["last"][hit] - p["first"][hit] + 1))
+                    some, own = np.unique(row, return_inverse=True)
+                    key = T.digests(data, offsets[some], offsets[some + 1])[own]
+                    yield _batch(text_key=_longs(key[:, 0]), text_check=_longs(key[:, 1]), **{c: _longs(p[c][hit]) for c in PHRASE}, start=pa.array(base + p["first"][hit] - offsets[row]), windows=pa.array(p["last"][hit] - p["first"][hit] + 1))
 
-    return docs.select("text").mapInArrow(run, "text_key long, phrase long, start long, windows long")
+    return docs.select("text").mapInArrow(run, "text_key long, text_check long, phrase long, check long, start long, windows long")
 
 
 def spans(docs: DataFrame, length: int = LENGTH, piece: int = PIECE) -> DataFrame:
-    """(text_key, spans): the maximal removed byte runs [start, end) of each different text that loses any. Staged."""
+    """(text_key, text_check, spans): the maximal removed byte runs [start, end) of each different text that loses any. Staged."""
     words = stage(dictionary(docs, length, piece), "dictionary")
-    repeated = words.where("n > 1").select("phrase")
+    repeated = words.where("n > 1").select(*PHRASE)
     by_trigger = words.groupBy("trigger").agg(F.count(F.lit(1)).alias("phrases")).where("phrases > 1")
     shared = stage(by_trigger, "triggers")
     bodies = stage(shared_phrases(docs, bit_map(shared.select("trigger")), length, piece), "phrases")
-    few, many = (bodies.join(shared.where(x), "trigger", "left_semi") for x in (F.col("phrases") <= HOT, F.col("phrases") > HOT))
+    few, many = (bodies.join(shared.where(x), "trigger", "left_semi") for x in (F.col("phrases") <= MANY, F.col("phrases") > MANY))
     # a phrase parsed twice repeats all its windows; of one parsed once, those count that other phrases have too
-    parts = stage(compare(few, length).union(compare_hot(many, length)).join(repeated, "phrase", "left_anti"), "parts")
-    known = repeated.select("phrase", F.lit(0).cast("long").alias("a"), F.lit(None).cast("long").alias("z")).union(parts)
+    large, work = compare_large(many, length)
+    parts = stage(compare(few, length).union(large).join(repeated, PHRASE, "left_anti"), "parts")
+    known = repeated.select(*PHRASE, F.lit(0).cast("long").alias("a"), F.lit(None).cast("long").alias("z")).union(parts)
     rows = parse(docs, bit_map(known.select("phrase")), length, piece).distinct()
-    sure = rows.join(known, "phrase").select("text_key", (F.col("start") + F.col("a")).alias("start"), (F.coalesce("z", F.col("windows") - 1) - F.col("a") + length).alias("size"))
+    sure = rows.join(known, PHRASE).select(*TEXT, (F.col("start") + F.col("a")).alias("start"), (F.coalesce("z", F.col("windows") - 1) - F.col("a") + length).alias("size"))
     # adjoining and overlapping pieces of a text become one run
-    order = Window.partitionBy("text_key").orderBy("start", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy(*TEXT).orderBy("start", "size").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.max(F.col("start") + F.col("size")).over(order)
-    run = F.sum(F.when(F.col("reach") >= F.col("start"), 0).otherwise(1)).over(Window.partitionBy("text_key").orderBy("start", "size").rowsBetween(Window.unboundedPreceding, 0))
+    run = F.sum(F.when(F.col("reach") >= F.col("start"), 0).otherwise(1)).over(Window.partitionBy(*TEXT).orderBy("start", "size").rowsBetween(Window.unboundedPreceding, 0))
     marked = sure.withColumn("reach", reach).withColumn("run", run)
-    runs = marked.groupBy("text_key", "run").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"))
-    found = stage(runs.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans")), "spans")
-    discard(words, shared, bodies, parts)
+    runs = marked.groupBy(*TEXT, "run").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"))
+    found = stage(runs.groupBy(*TEXT).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans")), "spans")
+    discard(words, shared, bodies, parts, *work)
     return found
 
 
@@ -255,30 +309,30 @@ def cut(docs: DataFrame, change, schema, length: int = LENGTH, piece: int = PIEC
     """change(batch, spans) for all rows of docs, spans being a list of runs for each row. Only texts that may lose bytes meet
     their spans in a join; all others pass without a shuffle. Columns of docs may have any names."""
     found = spans(docs, length, piece)
-    key, runs = fresh("text_key", docs), fresh("spans", docs)
+    key, check, runs = (fresh(n, docs) for n in (*TEXT, "spans"))
     some, names = bit_map(found.select("text_key")), docs.columns
 
     def keys(batch):
-        return np.concatenate([np.zeros(0, np.int64), *(content_key(data, offsets) for _, _, data, offsets in T.blocks(T.column(batch, "text")))])
+        return np.concatenate([np.zeros((0, 2), np.uint64), *(T.digests(data, offsets[:-1], offsets[1:]) for _, _, data, offsets in T.blocks(T.column(batch, "text")))])
 
     def rest(batches):
         for batch in batches:
-            own = batch.filter(pa.array(~some.hit(keys(batch))))
+            own = batch.filter(pa.array(~some.hit(keys(batch)[:, 0])))
             yield change(own, [None] * own.num_rows)
 
     def hit(batches):
         for batch in batches:
             key_of = keys(batch)
-            yes = some.hit(key_of)
+            yes = some.hit(key_of[:, 0])
             own = batch.filter(pa.array(yes))
-            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(key_of[yes])], names=[*names, key])
+            yield pa.RecordBatch.from_arrays([*own.columns, *(_longs(key_of[yes, i]) for i in (0, 1))], names=[*names, key, check])
 
     def joined(batches):
         for batch in batches:
             yield change(batch.select(names), T.column(batch, runs).to_pylist())
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    met = docs.mapInArrow(hit, f"{fields}, {key} long").join(found.select(F.col("text_key").alias(key), F.col("spans").alias(runs)), key, "left").select(*(F.col(f"`{n}`") for n in names), runs)
+    met = docs.mapInArrow(hit, f"{fields}, {key} long, {check} long").join(found.select(F.col("text_key").alias(key), F.col("text_check").alias(check), F.col("spans").alias(runs)), [key, check], "left").select(*(F.col(f"`{n}`") for n in names), runs)
     return docs.mapInArrow(rest, schema).union(met.mapInArrow(joined, schema))
 
 

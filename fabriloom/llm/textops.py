@@ -78,12 +78,19 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return total
 
 
-def grams(data: np.ndarray, width: int) -> np.ndarray:
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128 bits of blake2b of the bytes from start to end of each span, as a row of two numbers."""
+    raw = memoryview(np.ascontiguousarray(data))
+    found = b"".join(hashlib.blake2b(raw[a:z], digest_size=16).digest() for a, z in zip(start.tolist(), end.tolist()))
+    return np.frombuffer(found, "<u8").reshape(-1, 2)
+
+
+def grams(data: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
     """A hash of every run of width bytes, 8 or more, of a block: of two halves (which overlap where width is no power of two),
     scrambled at every doubling, so that nothing cancels out."""
     if len(data) < width:
         return np.zeros(0, np.uint64)
-    out, have = mix64(_runs(data)[: len(data) - 7] + np.uint64(width * int(TURN) % 2**64)), 8
+    out, have = mix64(_runs(data)[: len(data) - 7] + np.uint64((width * int(TURN) + seed) % 2**64)), 8
     while have < width:
         step = min(have, width - have)
         out = mix64(out[:-step] * SPREAD + (out[step:] ^ (out[step:] >> np.uint64(29))))

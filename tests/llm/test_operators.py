@@ -100,8 +100,9 @@ def test_jaccard_join_of_hostile_texts(spark):
     assert got == dict(enumerate(root)) and len(set(root[:9])) == 9
 
 
-@pytest.mark.parametrize(("hot", "piece"), [(2000, 1 << 22), (2, 1000)])
-def test_suffix_dedup(docs, empty, hot, piece, monkeypatch):
+@pytest.mark.parametrize(("many", "hot", "piece"), [(1000, 2000, 1 << 22), (2, 1000, 1 << 22), (2, 2, 1000)])
+def test_suffix_dedup(docs, empty, many, hot, piece, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MANY", many)
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     rows = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.select("doc_id", "text").collect()]
     n = {}
@@ -122,7 +123,7 @@ def test_suffix_dedup(docs, empty, hot, piece, monkeypatch):
         t, kept = dict(rows)[r["doc_id"]], want[r["doc_id"]]
         assert (r["n_bytes"], r["n_removed"], r["kept_sha256"]) == (len(t), len(t) - len(kept), hashlib.sha256(kept).hexdigest())
         assert r["n_spans"] == runs[r["doc_id"]]
-    if hot > 2:
+    if many > 2:
         assert suffix_dedup.remove_repeats(empty).count() == suffix_dedup.removed(empty).count() == 0
         clash = docs.withColumns({c: F.lit(c) for c in ("spans", "text_key", "maybe", "phrase", "rows")})
         assert suffix_dedup.remove_repeats(clash).columns == clash.columns and suffix_dedup.remove_repeats(clash).where("spans = 'spans' and text_key = 'text_key'").count() == docs.count()
@@ -265,6 +266,27 @@ def test_hashes_of_spans():
         pairs = set(zip(runs, T.grams(data, width).tolist()))
         assert len(pairs) == len(set(runs)) == len({h for _, h in pairs})
     assert len(T.grams(data[:7], 8)) == 0
+    assert not np.intersect1d(T.grams(data, 50), T.grams(data, 50, 1)).size
+
+
+def test_second_triggers():
+    rng = np.random.default_rng(5)
+    text = bytes(rng.integers(97, 99, 3000).astype(np.uint8))
+    found = suffix_dedup.phrases(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    whole, pieces = {}, {}
+    for first, last in zip(found["first"], found["last"]):
+        body = text[first : last + 200]
+        second, low, high = suffix_dedup.second_cuts(body, 200, 50)
+        # every window of a phrase stands in one piece
+        assert [k for a, z in zip(low, high) for k in range(a, z + 1)] == list(range(last - first + 1))
+        for trigger, a, z in zip(second, low, high):
+            for k in range(a, z + 1):
+                grams = T.grams(np.frombuffer(body[k : k + 200], np.uint8), 50)
+                assert trigger in grams and trigger >> np.uint64(28) == np.sort(grams >> np.uint64(28))[1]
+                # and equal windows have equal second triggers
+                assert pieces.setdefault(body[k : k + 200], trigger) == trigger
+        whole[body] = True
+    assert len(whole) > 10
 
 
 def test_tiny_blocks():
