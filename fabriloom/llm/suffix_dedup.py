@@ -49,14 +49,12 @@ _PLACE = np.uint64((1 << 28) - 1)
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of each run of width values (running minima from both ends of blocks of that width)."""
-    n = len(x)
-    padded = np.full(-(-n // width) * width, np.iinfo(np.uint64).max, np.uint64)
-    padded[:n] = x
-    rows = padded.reshape(-1, width)
-    ahead = np.minimum.accumulate(rows, axis=1).ravel()
-    back = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
+    """Minimum of each run of width values, from those of two shorter runs."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        x, have = np.minimum(x[:-step], x[step:]), have + step
+    return x
 
 
 def phrases(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> dict:
@@ -66,18 +64,18 @@ def phrases(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     if len(data) < length:
         return {n: none.view(np.uint64) for n in ("trigger", *PHRASE)} | {n: none for n in ("row", "first", "last")}
     grams = T.grams(data, gram)
-    starts = np.arange(len(grams))
     # equal hashes count as equal grams, of which the leftmost is taken: that is the same in equal windows
-    lowest = _sliding_min((grams & ~_PLACE) | starts.astype(np.uint64), length - gram + 1)
-    at = (lowest & _PLACE).astype(np.int64)
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    whole = np.flatnonzero(row[: len(data) - length + 1] == row[length - 1 :])
-    at, row = at[whole], row[whole]
-    cut = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (row[1:] != row[:-1])]) if len(whole) else none
-    first, last = whole[cut], whole[np.r_[cut[1:], len(whole)] - 1] if len(whole) else none
-    trigger = at[cut]
+    lowest = _sliding_min((grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64), length - gram + 1)
+    new = np.r_[True, lowest[1:] != lowest[:-1]]
+    new[offsets[offsets < len(new)]] = True
+    first = np.flatnonzero(new)
+    row = np.searchsorted(offsets, first, "right") - 1
+    end = offsets[row + 1] - length  # windows from here on would cross into the next row
+    last = np.minimum(np.r_[first[1:], len(new)] - 1, end)
+    whole = first <= end
+    first, last, row = first[whole], last[whole], row[whole]
     phrase = T.digests(data, first, last + length)
-    return {"trigger": grams[trigger], "phrase": phrase[:, 0], "check": phrase[:, 1], "row": row[cut], "first": first, "last": last}
+    return {"trigger": grams[(lowest[first] & _PLACE).astype(np.int64)], "phrase": phrase[:, 0], "check": phrase[:, 1], "row": row, "first": first, "last": last}
 
 
 def parsed(text: pa.Array, length: int, piece: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int, dict]]:
