@@ -19,7 +19,9 @@ before the exact join.
 
 Defined results: null, empty and blank texts have the empty set and link with nothing; texts with fewer words
 than a shingle have one shingle of all words; repeated rows share a component; component ids are the least
-non-null doc_id of a component; extra columns are ignored. Token and class identities are 64-bit hashes.
+non-null doc_id of a component; extra columns are ignored. A class is named by 64 bits of a hash of 128 of its set; if
+different sets share such a name (one pair is expected in 6 x 10^9 sets), they are named by the other half. Tokens are
+64-bit hashes, compared only between the two sets of a pair.
 """
 
 from __future__ import annotations
@@ -46,15 +48,29 @@ REPORT, TOKENS, FREQUENT = 4, 1 << 20, 1 << 17
 _SEEDS = np.random.default_rng(55).integers(1, 1 << 63, BANDS * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def sets(text: pa.Array, shingle: int = SHINGLE):
-    """Yields (row, sorted distinct token array, class id) for each row whose set isn't empty."""
+class Names:
+    """The names of classes: so many bits of one half of a hash, or the other half where the name is in shared."""
+
+    def __init__(self, bits: int = 64, shared: frozenset[int] = frozenset()):
+        self.bits, self.shared = bits, shared
+
+    def of(self, own: np.ndarray) -> tuple[int, int]:
+        """Name and other half of a set."""
+        raw = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+        name, check = (int.from_bytes(x, "little", signed=True) for x in (raw[:8], raw[8:]))
+        name >>= 64 - self.bits
+        return (check if name in self.shared else name), check
+
+
+def sets(text: pa.Array, names: Names, shingle: int = SHINGLE):
+    """Yields (row, sorted distinct token array, class, check) for each row whose set isn't empty."""
     for lo, _, data, offsets in T.blocks(text):
         words, row, *_ = T.word_hashes(data, offsets, T.NOT_SPACE)
         token, of, _ = T.shingle_hashes(words, row, shingle, short=True)
         cut = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
         for a, z in zip(cut, np.r_[cut[1:], len(of)]):
             own = np.unique(token[a:z])
-            yield lo + int(of[a]), own, int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
+            yield lo + int(of[a]), own, *names.of(own)
 
 
 def bands(own: np.ndarray) -> list[int]:
@@ -71,8 +87,8 @@ def _longs(x) -> pa.Array:
     return pa.array(np.asarray(x, np.uint64).view(np.int64))
 
 
-def survey(docs: DataFrame) -> DataFrame:
-    """One pass over the texts. Rows of documents: (doc_id, class, n, bands), class null for the empty set and bands
+def survey(docs: DataFrame, names: Names) -> DataFrame:
+    """One pass over the texts. Rows of documents: (doc_id, class, check, n, bands), class null for the empty set and bands
     only where the class first shows in the task; and rows (token, count) of tokens that a task meets often."""
 
     def run(batches):
@@ -83,14 +99,14 @@ def survey(docs: DataFrame) -> DataFrame:
             token, count = token[count >= REPORT], count[count >= REPORT]
             tokens.clear()
             k = len(token)
-            return _rows(doc_id=pa.nulls(k, pa.int64()), **{"class": pa.nulls(k, pa.int64())}, n=pa.array(count.astype(np.int64)), bands=pa.nulls(k, pa.list_(pa.int64())), token=_longs(token))
+            return _rows(doc_id=pa.nulls(k, pa.int64()), **{c: pa.nulls(k, pa.int64()) for c in ("class", "check")}, n=pa.array(count.astype(np.int64)), bands=pa.nulls(k, pa.list_(pa.int64())), token=_longs(token))
 
         held = 0
         for batch in batches:
             size = batch.num_rows
-            klass, n, keys = [None] * size, [0] * size, [None] * size
-            for r, own, c in sets(T.column(batch, "text")):
-                klass[r], n[r] = c, len(own)
+            klass, other, n, keys = [None] * size, [None] * size, [0] * size, [None] * size
+            for r, own, c, check in sets(T.column(batch, "text"), names):
+                klass[r], other[r], n[r] = c, check, len(own)
                 if seen.first(c):
                     keys[r] = bands(own)
                     tokens.append(own)
@@ -98,21 +114,33 @@ def survey(docs: DataFrame) -> DataFrame:
                     if held > TOKENS:
                         yield frequent()
                         held = 0
-            yield _rows(doc_id=T.column(batch, "doc_id").cast(pa.int64()), **{"class": pa.array(klass, pa.int64())}, n=pa.array(n, pa.int64()), bands=pa.array(keys, pa.list_(pa.int64())), token=pa.nulls(size, pa.int64()))
+            yield _rows(doc_id=T.column(batch, "doc_id").cast(pa.int64()), **{"class": pa.array(klass, pa.int64())}, check=pa.array(other, pa.int64()), n=pa.array(n, pa.int64()), bands=pa.array(keys, pa.list_(pa.int64())), token=pa.nulls(size, pa.int64()))
         if tokens:
             yield frequent()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, class long, n long, bands array<long>, token long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, class long, check long, n long, bands array<long>, token long")
+
+
+def surveyed(docs: DataFrame, bits: int = 64) -> tuple[DataFrame, Names]:
+    """The staged survey, and names that no two classes share. Shared ones are as few as collisions of the hash."""
+    names = Names(bits)
+    rows = stage(survey(docs, names), "survey")
+    found = rows.where("class is not null").groupBy("class").agg(F.min("check").alias("a"), F.max("check").alias("z")).where("a < z").select("class").toArrow()
+    if found.num_rows:
+        discard(rows)
+        names = Names(bits, frozenset(found.column("class").to_pylist()))
+        rows = stage(survey(docs, names), "survey")
+    return rows, names
 
 
-def members(docs: DataFrame, wanted: BitMap) -> DataFrame:
+def members(docs: DataFrame, wanted: BitMap, names: Names) -> DataFrame:
     """(class, n, tokens): the packed sets of the classes that the filter lets pass, at least once each."""
 
     def run(batches):
         seen = Seen()
         for batch in batches:
             out = [[], [], []]
-            for _, own, c in sets(T.column(batch, "text")):
+            for _, own, c, _ in sets(T.column(batch, "text"), names):
                 if wanted.hit(np.array([c], np.int64).view(np.uint64))[0] and seen.first(c):
                     for kept, value in zip(out, (c, len(own), own.tobytes())):
                         kept.append(value)
@@ -136,7 +164,7 @@ def prefix(own: np.ndarray, frequent: np.ndarray, counts: np.ndarray, percent: i
     return np.r_[rare, common[order[: size - len(rare)]]]
 
 
-def prefixes(docs: DataFrame, store: DataFrame, starred: BitMap, frequent: np.ndarray, counts: np.ndarray, percent: int) -> tuple[DataFrame, DataFrame]:
+def prefixes(docs: DataFrame, names: Names, store: DataFrame, starred: BitMap, frequent: np.ndarray, counts: np.ndarray, percent: int) -> tuple[DataFrame, DataFrame]:
     """Two tables (class, n, tokens): the packed prefix of each class. The first has the classes that starred lets pass, which
     are those of store; the second all others, read from the texts."""
 
@@ -155,7 +183,7 @@ def prefixes(docs: DataFrame, store: DataFrame, starred: BitMap, frequent: np.nd
     def others(batches):
         seen = Seen()
         for batch in batches:
-            yield packed((len(own), own, c) for _, own, c in sets(T.column(batch, "text")) if not starred.hit(np.array([c], np.int64).view(np.uint64))[0] and seen.first(c))
+            yield packed((len(own), own, c) for _, own, c, _ in sets(T.column(batch, "text"), names) if not starred.hit(np.array([c], np.int64).view(np.uint64))[0] and seen.first(c))
 
     schema = "class long, n long, tokens binary"
     return store.select("class", "n", "tokens").mapInArrow(stored, schema), docs.select("text").mapInArrow(others, schema)
@@ -308,9 +336,9 @@ def meetings(postings: DataFrame, percent: int) -> DataFrame:
     return settled.union(common.where(enough).select("unit_a", "unit_b"))
 
 
-def class_components(docs: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+def class_components(docs: DataFrame, rows: DataFrame, names: Names, percent: int = PERCENT) -> DataFrame:
     """(class, component): which classes hang together by links; classes without a link to another are left out.
-    rows: the staged survey of docs."""
+    rows, names: of surveyed(docs)."""
     # groups: each band has several leaders, drawn by hash, so that a class that is unlike one may be like another
     keys = rows.where("bands is not null").select("class", "n", F.explode("bands").alias("band"))
     drawn = [F.min(F.struct(F.xxhash64("class", F.lit(salt)).alias("draw"), F.col("class").alias("b"), F.col("n").alias("n_b"))).alias(f"leader_{salt}") for salt in range(LEADERS)]
@@ -319,7 +347,7 @@ def class_components(docs: DataFrame, rows: DataFrame, percent: int = PERCENT) -
     near = (F.col("n") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n") * percent) & (F.col("class") != F.col("b"))
     stars = stage(keys.join(leaders, "band").where(near).select(F.greatest("class", "b").alias("a"), F.least("class", "b").alias("b")).distinct(), "stars")
     starred = bit_map(stars.select(F.explode(F.array("a", "b"))))
-    store = stage(members(docs, starred), "star-sets")
+    store = stage(members(docs, starred, names), "star-sets")
     close = stage(close_pairs(stars, store, percent, LOOSE), "close")
     comps, units = groups_of(close, store)
     units = stage(units, "units")
@@ -333,7 +361,7 @@ def class_components(docs: DataFrame, rows: DataFrame, percent: int = PERCENT) -
         return df.join(units, "class", "left").withColumns({n: F.coalesce(n, "class") for n in ("comp", "unit", "key")})
 
     # only classes of store can be in units; all others are units of their own and need no look-up
-    known, others = prefixes(docs, store, starred, token[order], count[order], percent)
+    known, others = prefixes(docs, names, store, starred, token[order], count[order], percent)
     index = in_unit(known).select("unit", "comp", "key", "n", "tokens").union(others.select(*(F.col("class").alias(n) for n in ("unit", "comp", "key")), "n", "tokens"))
     index = stage(index, "prefixes")
     discard(stars, close, store)
@@ -348,7 +376,7 @@ def class_components(docs: DataFrame, rows: DataFrame, percent: int = PERCENT) -
     # the members of the units that meet, a row for each unit, and their unions
     opened = stage(hit.select(F.explode(F.array("unit_a", "unit_b")).alias("unit")).distinct(), "opened")
     wanted = bit_map(units.join(opened, "unit", "left_semi").select("class").union(opened.select(F.col("unit").alias("class"))))
-    packs = in_unit(members(docs, wanted)).join(opened, "unit", "left_semi").groupBy("unit").agg(F.collect_list(F.struct("class", "comp", "tokens")).alias("pack"))
+    packs = in_unit(members(docs, wanted, names)).join(opened, "unit", "left_semi").groupBy("unit").agg(F.collect_list(F.struct("class", "comp", "tokens")).alias("pack"))
     packs = stage(packs, "packs")
     matrix = stage(unions(packs), "matrix")
     # the unit with fewer members is the group, that with more the queries
@@ -368,10 +396,11 @@ def class_components(docs: DataFrame, rows: DataFrame, percent: int = PERCENT) -
     return linked.union(joined.join(comps.select(F.col("class").alias("comp")), "comp", "left_anti").select(F.col("comp").alias("class"), "component"))
 
 
-def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, class) of each row of docs; class is null for the empty set."""
-    rows = stage(survey(docs), "survey")
-    found = class_components(docs, rows, percent)
+def components(docs: DataFrame, percent: int = PERCENT, bits: int = 64) -> DataFrame:
+    """(doc_id, n_shingles, component_id, class) of each row of docs; class is null for the empty set. bits: of the names of
+    classes, fewer in tests."""
+    rows, names = surveyed(docs, bits)
+    found = class_components(docs, rows, names, percent)
     own = rows.where("token is null").select("doc_id", F.col("n").alias("n_shingles"), "class")
     # empty sets get keys of their own, so that they neither meet nor fill one task
     named = own.join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
