@@ -95,7 +95,8 @@ def splitters(measurements: DataFrame, rows_per_bucket: int, total: int, reach:
     reach further."""
     spare, rate = _sampling(rows_per_bucket, total, reach)
     at = F.struct("timestamp", "measurement_id")
-    sample = F.array_sort(F.array_distinct(F.collect_list(F.when(F.pmod(F.xxhash64("measurement_id"), F.lit(rate)) == 0, at))))
+    # a set: array_distinct compares each struct with every other one
+    sample = F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("measurement_id"), F.lit(rate)) == 0, at)))
     series = measurements.where(~F.isnan("value")).groupBy(*SERIES).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), sample.alias("s"))
     # a last bucket with fewer sampled points than spare joins the one before it
     starts = F.when(F.size("s") >= 2 * spare, F.sequence(F.lit(spare), F.size("s") - spare, F.lit(spare))).otherwise(F.array().cast("array<int>"))
@@ -123,9 +124,11 @@ def dealt(measurements: DataFrame, rows_per_bucket: int, total: int, reach: int
     at = F.struct("timestamp", "measurement_id")
     near_next = (F.col("bucket") < F.size("cuts")) & (F.get("before", F.col("bucket")) <= at)
     near_last = (F.col("bucket") > 0) & (F.get("after", F.col("bucket") - 1) >= at)
-    place = lambda b, own: F.struct(b.alias("bucket"), F.lit(own).alias("home"))
-    places = F.array_compact(F.array(place(F.col("bucket"), True), F.when(near_last, place(F.col("bucket") - 1, False)), F.when(near_next, place(F.col("bucket") + 1, False))))
-    return home.select("measurement_id", *SERIES, "value", "timestamp", "mean", "sd", F.explode(places).alias("p")).select("*", "p.bucket", "p.home").drop("p")
+    # only numbers go on to explode: a row that carries its series' cuts would copy them, tens of kilobytes, for every point
+    own = home.select("measurement_id", *SERIES, "value", "timestamp", "mean", "sd", "bucket", F.when(near_last, F.col("bucket") - 1).alias("last"), F.when(near_next, F.col("bucket") + 1).alias("next"))
+    places = F.explode(F.array("bucket", "last", "next")).alias("place")
+    rows = own.select("measurement_id", *SERIES, "value", "timestamp", "mean", "sd", "bucket", places).where("place is not null")
+    return rows.select("measurement_id", *SERIES, "value", "timestamp", "mean", "sd", F.col("place").alias("bucket"), (F.col("place") == F.col("bucket")).alias("home"))
 
 
 def numbered(measurements: DataFrame, rows_per_bucket: int = ROWS) -> DataFrame:

@@ -88,3 +88,18 @@ def test_numbers_of_long_series(tangled):
     none = tangled.limit(0).selectExpr("measurement_id", "step_id", "parameter")
     charts = [series.control_chart({"measurements": tangled.withColumn("value", F.nanvl("value", F.lit(0.0)))}, none, 1, "p", size).collect() for size in (100, 10**6)]
     assert charts[0] == charts[1] and [r["sample"] for r in charts[0]] == list(range(5000))
+
+
+def test_cuts_stay_out_of_the_points_rows(tangled):
+    """Sampled points are made distinct by hash, and explode gets numbers only, not its series' cuts."""
+    plan = spc.dealt(tangled, 100, 6000)._jdf.queryExecution().optimizedPlan().toString()
+    exploded = [line for line in plan.splitlines() if "Generate explode" in line]
+    assert exploded and not any("cuts" in line or "before" in line for line in exploded)
+    assert "array_distinct" not in plan
+
+
+def test_repeated_points_do_not_meet_in_the_cuts(tangled):
+    """A point that is there 40 times is one sampled point, so the halo of its bucket is no shorter."""
+    often = tangled.withColumn("again", F.explode(F.sequence(F.lit(1), F.when(F.pmod("measurement_id", F.lit(500)) == 0, 40).otherwise(1)))).drop("again")
+    want = sorted(set(flags(spc.check_series(often))))
+    assert want and sorted(set(flags(spc.check_long_series(often, 64)))) == want
