@@ -16,6 +16,8 @@ from fabriloom.sources.tables import Tables
 REACH = 7
 #: Points of a series that one task takes; sampled points of all series together, at most about (a hash decides).
 ROWS, SAMPLES = 1_000_000, 2_000_000
+#: Points that a task gets when buckets are dealt out.
+SHARE = 100_000
 
 
 def _order(keys: list[str]):
@@ -128,7 +130,9 @@ def dealt(measurements: DataFrame, rows_per_bucket: int, total: int, reach: int
     own = home.select("measurement_id", *SERIES, "value", "timestamp", "mean", "sd", "bucket", F.when(near_last, F.col("bucket") - 1).alias("last"), F.when(near_next, F.col("bucket") + 1).alias("next"))
     places = F.explode(F.array("bucket", "last", "next")).alias("place")
     rows = own.select("measurement_id", *SERIES, "value", "timestamp", "mean", "sd", "bucket", places).where("place is not null")
-    return rows.select("measurement_id", *SERIES, "value", "timestamp", "mean", "sd", F.col("place").alias("bucket"), (F.col("place") == F.col("bucket")).alias("home"))
+    rows = rows.select("measurement_id", *SERIES, "value", "timestamp", "mean", "sd", F.col("place").alias("bucket"), (F.col("place") == F.col("bucket")).alias("home"))
+    # the join may have dealt the points by series, which would do for what groups by bucket, but puts a series in one task
+    return rows.repartition(-(-total // SHARE) or 1, *SERIES, "bucket")
 
 
 def numbered(measurements: DataFrame, rows_per_bucket: int = ROWS) -> DataFrame:

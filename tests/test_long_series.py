@@ -103,3 +103,16 @@ def test_repeated_points_do_not_meet_in_the_cuts(tangled):
     often = tangled.withColumn("again", F.explode(F.sequence(F.lit(1), F.when(F.pmod("measurement_id", F.lit(500)) == 0, 40).otherwise(1)))).drop("again")
     want = sorted(set(flags(spc.check_series(often))))
     assert want and sorted(set(flags(spc.check_long_series(often, 64)))) == want
+
+
+def test_buckets_of_one_series_are_in_many_tasks(spark):
+    """Also where the join has dealt the points by series."""
+    n, before = 1_000_000, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    df = spark.range(n).selectExpr("id AS measurement_id", "1L AS wafer_id", "1 AS step_id", "'p' AS parameter", "CAST(hash(id) % 1000 AS DOUBLE) AS value", "'u' AS unit", "TIMESTAMP_NTZ'2025-10-01 00:00:00' + make_dt_interval(0, 0, 0, id) AS timestamp")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spc.marked(spc.dealt(df, 2000, n), [*spc.SERIES, "bucket"])
+        sizes = [r["n"] for r in rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(sizes) >= 8 and max(sizes) < 250_000
