@@ -99,7 +99,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     if nulls:
         copies = F.when(F.col("doc_id").isNull(), F.lit(numbers[-1])).otherwise(copies)
     rows = rows.withColumn("homes", F.when(copies.isNotNull(), F.array(F.struct(F.col("r").alias("r"), F.lit(False).alias("copy")), F.struct(copies.alias("r"), F.lit(True).alias("copy")))).otherwise(F.array(F.struct(F.col("r").alias("r"), F.lit(False).alias("copy")))))
-    rows = rows.select("doc_id", "text", F.explode("homes").alias("h")).select("doc_id", "text", "h.r", "h.copy")
+    # as many tasks as ranges: what a task sorts, here and term by term later on, is a few ranges, however many documents there are
+    rows = rows.select("doc_id", "text", F.explode("homes").alias("h")).select("doc_id", "text", "h.r", "h.copy").repartition(len(numbers), "r")
     order = Window.partitionBy("r").orderBy("copy", F.col("doc_id").asc_nulls_first(), "text")
     return rows.withColumn("rn", F.row_number().over(order)).withColumn("next_text", F.lead("text").over(order))
 

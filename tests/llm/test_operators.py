@@ -210,6 +210,13 @@ def test_fingerprints(docs, empty):
     assert fingerprints.fingerprints(empty).count() == 0
 
 
+def test_ranges_of_fingerprints_are_in_many_tasks(spark):
+    docs = spark.range(12_000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    rows = fingerprints.with_next(docs)
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(sizes) >= 8 and max(sizes) <= 5 * (fingerprints.RANGE + 60) and sum(sizes) == 12_020
+
+
 def test_fingerprints_of_texts_outside_the_band(spark):
     rng = random.Random(9)
     common = [f"w{k}" for k in range(400)]
