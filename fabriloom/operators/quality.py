@@ -30,15 +30,24 @@ def null_counts(tables: Tables) -> DataFrame:
     return _union(parts)
 
 
-def orphans(tables: Tables) -> DataFrame:
-    """(edge, key, n): child rows whose parent is missing."""
+def orphans(tables: Tables, rows_per_task: int | None = None) -> DataFrame:
+    """(edge, key, n): child rows whose parent is missing. With rows_per_task, the keys of parents that have more rows are
+    dealt out in as many parts as that asks for, whatever number Spark would choose; tables stored in buckets need none.
+    Flags are not counted for it, as that would work them out twice: a measurement has a few at most."""
     parts = []
     for child, column, parent, key in REFERENCES:
         if child not in tables or parent not in tables:
             continue
         keys = tables[parent].select(F.col(key).alias("parent_key"))
-        lost = tables[child].join(keys, F.col(column) == F.col("parent_key"), "left_anti").where(F.col(column).isNotNull())
-        parts.append(lost.groupBy(F.col(column).cast("long").alias("key")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(f"{child}.{column}").alias("edge"), "key", "n"))
+        rows = tables[child].select(column).where(F.col(column).isNotNull())
+        if rows_per_task and (many := tables[parent].count()) > rows_per_task:
+            many = -(-max(many, 0 if child == "spc_flags" else tables[child].count()) // rows_per_task)
+            # as one type, or else equal keys would be dealt to different parts
+            rows, keys = (df.withColumn(c, F.col(c).cast("long")).repartition(many, c) for df, c in ((rows, column), (keys, "parent_key")))
+        # rows of one key are counted before they are sorted for the join
+        found = rows.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+        lost = found.join(keys, F.col(column) == F.col("parent_key"), "left_anti")
+        parts.append(lost.select(F.lit(f"{child}.{column}").alias("edge"), F.col(column).cast("long").alias("key"), "n"))
     return _union(parts)
 
 

@@ -111,7 +111,7 @@ PLANS: dict[str, tuple[Build, list[str], str]] = {
     "table_counts": (sources.counts, [], " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}" for t, _ in _ALL)),
     "dq_duplicate_keys": (_with_flags(quality.duplicate_keys), [FLAGS, FLAG_IDS], " UNION ALL ".join(f"SELECT '{t}' AS table_name, CAST({k} AS BIGINT) AS key, count(*) AS n FROM {t} GROUP BY {k} HAVING count(*) > 1" for t, k in _KEYS.items())),
     "dq_null_counts": (_with_flags(quality.null_counts), [FLAGS, FLAG_IDS], " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) - count({c}) AS nulls FROM {t}" for t, cs in _CHECKED for c in cs)),
-    "dq_orphans": (_with_flags(quality.orphans), [FLAGS, FLAG_IDS], " UNION ALL ".join(f"SELECT '{a}.{c}' AS edge, CAST({c} AS BIGINT) AS key, count(*) AS n FROM {a} WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT {c} FROM {b}) GROUP BY {c}" for a, c, b in _EDGES)),
+    "dq_orphans": (_with_flags(lambda t: quality.orphans(t, spc.SHARE)), [FLAGS, FLAG_IDS], " UNION ALL ".join(f"SELECT '{a}.{c}' AS edge, CAST({c} AS BIGINT) AS key, count(*) AS n FROM {a} WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT {c} FROM {b}) GROUP BY {c}" for a, c, b in _EDGES)),
     "dq_string_length": (_with_flags(quality.long_strings), [FLAGS, FLAG_IDS], " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) FILTER (WHERE length({c}) > {n}) AS too_long FROM {t}" for t, cs in _WIDTHS.items() for c, n in cs.items())),
     "dq_range_rules": (quality.range_rules, [], " UNION ALL ".join(f"SELECT '{r}' AS rule, count(*) FILTER (WHERE {w}) AS violations FROM {t}" for r, t, w in _RULES)),
     "measurements_for_step": (lambda t: process.measurements_for_step(t, STEP, PARAMETER), [], f"SELECT measurement_id, wafer_id, value, timestamp FROM measurements WHERE step_id = {STEP} AND parameter = '{PARAMETER}'"),

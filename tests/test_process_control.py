@@ -175,6 +175,15 @@ def test_quality(spark, t, flags):
     assert values(quality.long_strings(worse).where("too_long > 0"), "table_name", "column_name") == [("spc_flags", "rule_violated")]
 
 
+def test_orphans_of_large_parents_are_in_many_tasks(spark):
+    lots = spark.range(20_000).selectExpr("id AS lot_id", "'p' AS product", "'28nm' AS technology_node", "DATE '2025-10-01' AS start_date", "'hold' AS status")
+    wafers = spark.range(30_000).selectExpr("id AS wafer_id", "CAST(nullif(id % 10000 * 3, 0) AS INT) AS lot_id", "1 AS wafer_number", "'active' AS status")
+    found = quality.orphans({"lots": lots, "wafers": wafers}, 1000)
+    assert sorted(values(found, "edge", "key", "n")) == [("wafers.lot_id", k, 3) for k in range(20_001, 30_000, 3)]
+    sizes = [r["n"] for r in found.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) > 20 and max(sizes) < 300
+
+
 def test_one_step_and_pass_counts(spark, t):
     assert values(process.process_step_stats(t, 1), "parameter", "n") == [("cd_nm", 2), ("thickness_nm", 1)] and not values(process.process_step_stats(t, 2), "n")
     # ties go to the even number: 70 % of 250, 350 and 450 hundredths of dies
